@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, isomedia, line_dedup, sentencepiece_dropout, sharding, simhash, token_table, toxicity, warc
+from . import decontaminate, isomedia, line_dedup, pii, sentencepiece_dropout, sharding, simhash, token_table, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 

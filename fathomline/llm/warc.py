@@ -215,7 +215,9 @@ def resolve(captures: DataFrame) -> DataFrame:
         .groupBy(F.col("record_id").alias("original"))
         .agg(F.first("page_id").alias("original_page"), F.first("response.payload_bytes").alias("original_bytes"), F.first("response.payload_digest").alias("original_digest"))
     )
-    return rows.join(originals, "original", "left")
+    # Only revisits look for an original; the others would all meet at the null key.
+    revisits = rows.filter("original is not null").join(originals, "original", "left")
+    return revisits.unionByName(rows.filter("original is null"), allowMissingColumns=True)
 
 
 def roundtrip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -224,7 +226,7 @@ def roundtrip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(pages, path, least_bytes)
     records = settle(read_records(spark, path, payloads=False))
-    return resolve(assemble(records)).select(
+    return resolve(settle(assemble(records))).select(
         "page_id",
         F.coalesce("response.payload_bytes", "original_bytes").alias("payload_bytes"),
         F.coalesce("response.payload_digest", "original_digest").alias("payload_digest"),
