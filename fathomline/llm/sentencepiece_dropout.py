@@ -22,6 +22,7 @@ import heapq
 import re
 import zlib
 from functools import lru_cache
+from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,10 @@ from .common import map_batches
 BLANK = "▁"
 UNITS = re.compile(" *[^ \n▁]+| +|\n|▁")
 GOLDEN = 0x9E3779B97F4A7C15
-PLACE = 0xD6E8FEB86659FD93
 MIX = 0xBF58476D1CE4E5B9
 MASK = (1 << 64) - 1
+NEVER = float("-inf")
+SHORT = 48
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -70,7 +72,7 @@ class DropoutBPE:
                     raise ValueError(f"the model has a piece that goes on after a word end: {piece!r}")
                 self.score[piece], self.id[piece] = sp.get_score(i), i
                 self.raw.append(piece.replace(BLANK, " ").encode())
-        self.memory: list[dict[str, tuple]] = [{} for _ in range(self.streams)]
+        self.memory: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
         self.held = 0
 
     def unit(self, unit: str, stream: int) -> tuple[int, ...]:
@@ -78,16 +80,51 @@ class DropoutBPE:
         if unit == BLANK:  # the text's own sign, not a blank
             return tuple(self.byte[b] for b in BLANK.encode())
         text = unit.replace(" ", BLANK)
-        n = len(text)
+        key = xxhash.xxh64_intdigest(f"{stream}/{unit}", self.seed & MASK) if self.limit else 0
+        pieces = self._short(text, key) if len(text) <= SHORT else self._long(text, key)
+        out: list[int] = []
+        for piece in pieces:
+            found = self.id.get(piece)
+            if found is not None:
+                out.append(found)
+            else:
+                out += [self.byte[b] for b in piece.replace(BLANK, " ").encode()]
+        return tuple(out)
+
+    def _short(self, text: str, key: int) -> list[str]:
+        """The agenda as a list beside the symbols: quick for words."""
+        score, limit = self.score.get, self.limit
+        symbols = list(text)
+        agenda = [score(a + b, NEVER) for a, b in zip(text, text[1:])]
+        while agenda:
+            best = max(agenda)
+            if best == NEVER:
+                break
+            k = agenda.index(best)
+            if limit:
+                key = key + GOLDEN & MASK
+                if (key ^ key >> 29) * MIX & MASK < limit:
+                    agenda[k] = NEVER  # the keyed hash skips this merge
+                    continue
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del agenda[k]
+            if k < len(agenda):
+                agenda[k] = score(symbols[k] + symbols[k + 1], NEVER)
+            if k:
+                agenda[k - 1] = score(symbols[k - 1] + symbols[k], NEVER)
+        return symbols
+
+    def _long(self, text: str, key: int) -> list[str]:
+        """The same with a heap and linked symbols: in time for tokens of any length."""
+        score, limit, n = self.score.get, self.limit, len(text)
+        agenda: list[tuple] = []
         ends = list(range(1, n + 1))  # end of the symbol that starts at k; 0: merged away
         before = list(range(-1, n - 1))
-        score, agenda, limit = self.score, [], self.limit
-        key = xxhash.xxh64_intdigest(f"{stream}/{unit}", self.seed & MASK) if limit else 0
 
         def propose(a: int) -> None:
             b = ends[a]
-            if a >= 0 and b < n:
-                s = score.get(text[a : ends[b]])
+            if b < n:
+                s = score(text[a : ends[b]])
                 if s is not None:
                     heapq.heappush(agenda, (-s, a, b, ends[b]))
 
@@ -97,8 +134,10 @@ class DropoutBPE:
             _, a, b, e = heapq.heappop(agenda)
             if ends[a] != b or ends[b] != e:
                 continue
-            if limit and ((key + a * PLACE + e * GOLDEN) * MIX & MASK) < limit:
-                continue  # the keyed hash of this merge skips it
+            if limit:
+                key = key + GOLDEN & MASK
+                if (key ^ key >> 29) * MIX & MASK < limit:
+                    continue
             ends[a], ends[b] = e, 0
             if e < n:
                 before[e] = a
@@ -107,20 +146,18 @@ class DropoutBPE:
             propose(a)
         out, k = [], 0
         while k < n:
-            piece = text[k : ends[k]]
-            found = self.id.get(piece)
-            if found is not None:
-                out.append(found)
-            else:
-                out += [self.byte[b] for b in piece.replace(BLANK, " ").encode()]
+            out.append(text[k : ends[k]])
             k = ends[k]
-        return tuple(out)
+        return out
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit little-endian integers."""
         if not text:
-            return []
+            return b""
         units = UNITS.findall(" " + text)
-        out: list[int] = []
         if self.streams == 1:
             chosen = [0] * len(units)
         else:
@@ -130,20 +167,24 @@ class DropoutBPE:
             places *= np.uint64(MIX)
             chosen = ((places >> np.uint64(33)) % np.uint64(self.streams)).tolist()
         memory = self.memory
+        try:
+            return b"".join(map(getitem, [memory[k] for k in chosen], units))
+        except KeyError:
+            pass
+        if self.held >= self.remembered:
+            self.memory = memory = [{} for _ in range(self.streams)]
+            self.held = 0
+        out = []
         for unit, stream in zip(units, chosen):
             known = memory[stream]
-            if unit in known:
-                out += known[unit]
-            else:
-                ids = self.unit(unit, stream)
-                out += ids
+            ids = known.get(unit)
+            if ids is None:
+                ids = np.array(self.unit(unit, stream), "<i4").tobytes()
                 if len(unit) <= 64:
-                    if self.held >= self.remembered:
-                        self.memory = memory = [{} for _ in range(self.streams)]
-                        self.held = 0
-                    memory[stream][unit] = ids
+                    known[unit] = ids
                     self.held += 1
-        return out
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode() if ids else ""
@@ -166,17 +207,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1
             parts, sizes, sums, same, digests = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
-                ids = model.encode(text)
-                back = model.decode(ids)
-                data = np.array(ids, "<i4")
+                data = model.packed(text)
+                back = model.decode(np.frombuffer(data, "<i4").tolist())
                 parts.append(data)
-                sizes.append(len(ids))
-                sums.append(zlib.crc32(data.tobytes()))
+                sizes.append(len(data) // 4)
+                sums.append(zlib.crc32(data))
                 same.append(back == text)
                 digests.append(hashlib.sha256(back.encode()).hexdigest())
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), ids, pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(same), pa.array(digests, pa.string())],
                 names=["doc_id", "ids", "n_tokens", "ids_crc32", "lossless", "decoded_sha256"],

@@ -13,17 +13,23 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, map_batches
 
 END_ID = 2
+PLAIN = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070))]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,28 +44,84 @@ def _lists(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
-def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 64) -> DataFrame:
-    """Columns shard (the partition), doc_id, n_tokens, tokens; row order is kept."""
-    path = vocabulary or tokenizer_path()
+def _letters(kind: str) -> str:
+    """The characters of a general category (or white space, "Z") in the plain range, for a character class."""
+    chosen = [c for c in PLAIN if (regex.fullmatch(r"\s", c) if kind == "Z" else unicodedata.category(c)[0] == kind)]
+    return "".join(f"\\u{ord(c):04x}" for c in chosen)
 
-    def make():
+
+class WordMemory:
+    """Encodes whole texts with the tokenizers library, each distinct pre-token once.
+
+    A byte-level BPE encodes the pieces that its pre-tokenizer cuts one by one, so a text's ids are
+    those of its pieces in order. Texts of the plain range are cut here and their pieces looked up;
+    pieces not met before go through the library, as do, whole, all texts with other characters (whose
+    classes might depend on the Unicode version) and all texts of other kinds of tokenizers.
+    """
+
+    def __init__(self, path: str, remembered: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        encode = getattr(model, "encode_batch_fast", model.encode_batch)
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.remembered = remembered
+        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        before = described.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not described.get("normalizer") and not described["model"].get("dropout")
+        letter, number, space = (_letters(k) for k in "LNZ")
+        self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.plain = re.compile("[\\x00-\u024f\u2000-\u206f]*").fullmatch
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        out = []
+        for k in range(0, len(texts), 4_096):
+            out += [np.array(x.ids, "<i4").tobytes() for x in encode(texts[k : k + 4_096], add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit little-endian integers."""
+        if not self.cuts:
+            return self._library(texts)
+        pieces = [self.cut(x) if self.plain(x) else None for x in texts]
+        if len(self.known) > self.remembered:
+            self.known = {}
+        known = self.known
+        new = list({w for p in pieces if p for w in p if w not in known})
+        known.update(zip(new, self._library(new)))
+        return [self._library([x])[0] if p is None else b"".join(map(known.__getitem__, p)) for x, p in zip(texts, pieces)]
+
+
+@lru_cache(maxsize=2)
+def _memory(path: str, remembered: int) -> WordMemory:
+    """One for all tasks of a Python worker."""
+    return WordMemory(path, remembered)
+
+
+def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 1 << 20, remembered: int = 400_000) -> DataFrame:
+    """Columns shard (the partition), doc_id, n_tokens, tokens; row order is kept. ``at_once``: characters encoded together."""
+    path = vocabulary or tokenizer_path()
+    end = np.array([end_id], "<i4").tobytes()
+
+    def make():
+        model = _memory(path, remembered)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            parts, sizes = [], []
-            for k in range(0, len(texts), at_once):
-                for found in encode(texts[k : k + at_once], add_special_tokens=False):
-                    ids = found.ids
-                    ids.append(end_id)
-                    sizes.append(len(ids))
-                    parts.append(np.array(ids, np.int32))
-            tokens = _lists(np.concatenate(parts), sizes)
+            found: list[bytes] = []
+            group: list[str] = []
+            held = 0
+            for text in batch.column("text").to_pylist():
+                group.append(text or "")
+                held += len(group[-1])
+                if held >= at_once:
+                    found += model.encode(group)
+                    group, held = [], 0
+            found += model.encode(group)
+            sizes = [len(x) // 4 + 1 for x in found]
+            tokens = _lists(np.frombuffer(end.join([*found, b""]), np.int32), sizes)
             return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(sizes, pa.int64()), tokens], names=["shard", "doc_id", "n_tokens", "tokens"])
 
         return step
