@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from functools import lru_cache
 from operator import getitem
 
@@ -35,7 +36,7 @@ from .common import map_batches
 BLANK = "▁"
 UNITS = re.compile(" *[^ \n▁]+| +|\n|▁")
 GOLDEN = 0x9E3779B97F4A7C15
-MIX = 0xBF58476D1CE4E5B9
+MIX = 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
 NEVER = float("-inf")
 SHORT = 48
@@ -50,7 +51,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 class DropoutBPE:
     """Encoder and decoder of one model, seed and rate."""
 
-    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = 8, remembered: int = 800_000):
+    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = 8, remembered: int = 600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
@@ -70,26 +71,22 @@ class DropoutBPE:
             else:
                 if len(piece) > 1 and (re.search(f"[^{BLANK}]{BLANK}", piece) or "\n" in piece):
                     raise ValueError(f"the model has a piece that goes on after a word end: {piece!r}")
-                self.score[piece], self.id[piece] = sp.get_score(i), i
-                self.raw.append(piece.replace(BLANK, " ").encode())
+                plain = piece.replace(BLANK, " ")
+                self.score[plain], self.id[plain] = sp.get_score(i), i
+                self.raw.append(plain.encode())
         self.memory: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
+        self.older = self.memory  # the generation before; what is met again moves up
         self.held = 0
 
-    def unit(self, unit: str, stream: int) -> tuple[int, ...]:
+    def unit(self, unit: str, stream: int) -> list[int]:
         """Ids of one unit in one hash stream, by the agenda."""
-        if unit == BLANK:  # the text's own sign, not a blank
-            return tuple(self.byte[b] for b in BLANK.encode())
-        text = unit.replace(" ", BLANK)
-        key = xxhash.xxh64_intdigest(f"{stream}/{unit}", self.seed & MASK) if self.limit else 0
-        pieces = self._short(text, key) if len(text) <= SHORT else self._long(text, key)
-        out: list[int] = []
-        for piece in pieces:
-            found = self.id.get(piece)
-            if found is not None:
-                out.append(found)
-            else:
-                out += [self.byte[b] for b in piece.replace(BLANK, " ").encode()]
-        return tuple(out)
+        # The model's blank sign is a space in these tables, so a text's own sign is an unknown character.
+        key = xxhash.xxh64_intdigest(unit, (self.seed * self.streams + stream) & MASK) if self.limit else 0
+        pieces = self._short(unit, key) if len(unit) <= SHORT else self._long(unit, key)
+        try:
+            return [self.id[x] for x in pieces]
+        except KeyError:
+            return [i for x in pieces for i in ((self.id[x],) if x in self.id else (self.byte[b] for b in x.encode()))]
 
     def _short(self, text: str, key: int) -> list[str]:
         """The agenda as a list beside the symbols: quick for words."""
@@ -102,8 +99,8 @@ class DropoutBPE:
                 break
             k = agenda.index(best)
             if limit:
-                key = key + GOLDEN & MASK
-                if (key ^ key >> 29) * MIX & MASK < limit:
+                key = key * MIX + GOLDEN & MASK
+                if key < limit:
                     agenda[k] = NEVER  # the keyed hash skips this merge
                     continue
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
@@ -135,8 +132,8 @@ class DropoutBPE:
             if ends[a] != b or ends[b] != e:
                 continue
             if limit:
-                key = key + GOLDEN & MASK
-                if (key ^ key >> 29) * MIX & MASK < limit:
+                key = key * MIX + GOLDEN & MASK
+                if key < limit:
                     continue
             ends[a], ends[b] = e, 0
             if e < n:
@@ -172,6 +169,7 @@ class DropoutBPE:
         except KeyError:
             pass
         if self.held >= self.remembered:
+            self.older = self.memory
             self.memory = memory = [{} for _ in range(self.streams)]
             self.held = 0
         out = []
@@ -179,7 +177,7 @@ class DropoutBPE:
             known = memory[stream]
             ids = known.get(unit)
             if ids is None:
-                ids = np.array(self.unit(unit, stream), "<i4").tobytes()
+                ids = self.older[stream].get(unit) or array("i", self.unit(unit, stream)).tobytes()
                 if len(unit) <= 64:
                     known[unit] = ids
                     self.held += 1

@@ -18,6 +18,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -67,6 +68,7 @@ class WordMemory:
         self.model.encode_special_tokens = True
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         before = described.get("pre_tokenizer") or {}
@@ -79,7 +81,7 @@ class WordMemory:
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         out = []
         for k in range(0, len(texts), 4_096):
-            out += [np.array(x.ids, "<i4").tobytes() for x in encode(texts[k : k + 4_096], add_special_tokens=False)]
+            out += [array("i", x.ids).tobytes() for x in encode(texts[k : k + 4_096], add_special_tokens=False)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -88,9 +90,12 @@ class WordMemory:
             return self._library(texts)
         pieces = [self.cut(x) if self.plain(x) else None for x in texts]
         if len(self.known) > self.remembered:
-            self.known = {}
-        known = self.known
-        new = list({w for p in pieces if p for w in p if w not in known})
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = {w for p in pieces if p for w in p if w not in known}
+        again = new.intersection(older)  # what is met again moves to the younger generation
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
         known.update(zip(new, self._library(new)))
         return [self._library([x])[0] if p is None else b"".join(map(known.__getitem__, p)) for x, p in zip(texts, pieces)]
 
@@ -101,7 +106,7 @@ def _memory(path: str, remembered: int) -> WordMemory:
     return WordMemory(path, remembered)
 
 
-def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 1 << 20, remembered: int = 400_000) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 1 << 20, remembered: int = 700_000) -> DataFrame:
     """Columns shard (the partition), doc_id, n_tokens, tokens; row order is kept. ``at_once``: characters encoded together."""
     path = vocabulary or tokenizer_path()
     end = np.array([end_id], "<i4").tobytes()
