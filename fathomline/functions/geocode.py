@@ -31,6 +31,10 @@ def olc_encode(lat: Column, lon: Column, size: int = 11) -> Column:
 def olc_decode(code: Column) -> Column:
     """Struct lat_lo, lon_lo, lat_hi, lon_hi, lat, lon: the code's box and its centre."""
     clean = F.replace(F.replace(F.upper(code), F.lit("+"), F.lit("")), F.lit("0"), F.lit(""))
+    return F.transform(F.array(clean), _box)[0]  # the code is used many times below; this way it is made once
+
+
+def _box(clean: Column) -> Column:
     n = F.least(F.char_length(clean), F.lit(15))
     digit = lambda k: F.when(n >= k, F.position(F.substring(clean, k, 1), F.lit(DIGITS)) - 1).otherwise(0)
     lat, lon = F.lit(-90.0), F.lit(-180.0)
