@@ -93,7 +93,7 @@ class Machine:
 def train(rows: list[tuple[int, list[int]]], terms: list[int], start: np.ndarray, factors: int = FACTORS, steps: int = 300, rate: float = 0.05, decay: float = 2e-3, seed: int = 3) -> Machine:
     """Fit on (label, kept term places) by Adam over the whole sample."""
     y = np.array([t for t, _ in rows], float)
-    sizes = np.array([len(p) for _, p in rows])
+    sizes = np.array([len(p) for _, p in rows], int)
     row = np.repeat(np.arange(len(rows)), sizes)
     col = np.array([i for _, p in rows for i in p], int)
     n, m = len(rows), len(terms)
