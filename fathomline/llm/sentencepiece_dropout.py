@@ -74,10 +74,6 @@ class DropoutBPE:
                 plain = piece.replace(BLANK, " ")
                 self.score[plain], self.id[plain] = sp.get_score(i), i
                 self.raw.append(plain.encode())
-        self.sp = sp
-        self.floor = max(self.byte) + 1  # ids under it are bytes or signs, if the model lists them first
-        if self.id and min(self.id.values()) < self.floor:
-            self.floor = len(self.raw)  # else the library's segmentation is not used
         self.memory: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
         self.older = self.memory  # the generation before; what is met again moves up
         self.held = 0
@@ -85,7 +81,7 @@ class DropoutBPE:
     def unit(self, unit: str, stream: int) -> list[int]:
         """Ids of one unit in one hash stream, by the agenda."""
         # The model's blank sign is a space in these tables, so a text's own sign is an unknown character.
-        key = self._key(unit, stream)
+        key = xxhash.xxh64_intdigest(unit, (self.seed * self.streams + stream) & MASK) if self.limit else 0
         pieces = self._short(unit, key) if len(unit) <= SHORT else self._long(unit, key)
         try:
             return [self.id[x] for x in pieces]
@@ -107,12 +103,12 @@ class DropoutBPE:
                 if key < limit:
                     agenda[k] = NEVER  # the keyed hash skips this merge
                     continue
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
             del agenda[k]
-            merged = symbols[k] = symbols[k] + symbols.pop(k + 1)
             if k < len(agenda):
-                agenda[k] = score(merged + symbols[k + 1], NEVER)
+                agenda[k] = score(symbols[k] + symbols[k + 1], NEVER)
             if k:
-                agenda[k - 1] = score(symbols[k - 1] + merged, NEVER)
+                agenda[k - 1] = score(symbols[k - 1] + symbols[k], NEVER)
         return symbols
 
     def _long(self, text: str, key: int) -> list[str]:
@@ -176,46 +172,17 @@ class DropoutBPE:
             self.older = self.memory
             self.memory = memory = [{} for _ in range(self.streams)]
             self.held = 0
-        extra = self._learn({(u, k) for u, k in zip(units, chosen) if u not in memory[k]})
-        return b"".join([memory[k][u] if u in memory[k] else extra[u, k] for u, k in zip(units, chosen)])
-
-    def _learn(self, missing: set[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
-        """Remember units in streams; those too long to remember are returned.
-
-        A unit none of whose merges is skipped has the model's own segmentation: the library gives that, and
-        the merges it took are as many as it has characters more than pieces. Only units with
-        a skipped merge go through the agenda here.
-        """
-        new = []
-        for pair in missing:
-            found = self.older[pair[1]].get(pair[0])
-            if found is None:
-                new.append(pair)
-            else:
-                self.memory[pair[1]][pair[0]] = found
-        extra = {}
-        whole = self.sp.encode([u[1:] if u[0] == " " else "" for u, _ in new], num_threads=1)
-        for (unit, stream), ids in zip(new, whole):
-            if not ids or len(unit) > SHORT or min(ids) < self.floor or self._any_skipped(unit, stream, len(unit) - len(ids)):
-                ids = self.unit(unit, stream)
-            data = array("i", ids).tobytes()
-            if len(unit) <= 64:
-                self.memory[stream][unit] = data
-            else:
-                extra[unit, stream] = data
-        self.held += len(missing)
-        return extra
-
-    def _key(self, unit: str, stream: int) -> int:
-        return xxhash.xxh64_intdigest(unit, (self.seed * self.streams + stream) & MASK) if self.limit else 0
-
-    def _any_skipped(self, unit: str, stream: int, merges: int) -> bool:
-        limit, key = self.limit, self._key(unit, stream)
-        for _ in range(merges if limit else 0):
-            key = key * MIX + GOLDEN & MASK
-            if key < limit:
-                return True
-        return False
+        out = []
+        for unit, stream in zip(units, chosen):
+            known = memory[stream]
+            ids = known.get(unit)
+            if ids is None:
+                ids = self.older[stream].get(unit) or array("i", self.unit(unit, stream)).tobytes()
+                if len(unit) <= 64:
+                    known[unit] = ids
+                    self.held += 1
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode() if ids else ""
