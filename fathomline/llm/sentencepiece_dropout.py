@@ -23,7 +23,6 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
-from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,8 @@ MIX = 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
 NEVER = float("-inf")
 SHORT = 48
+NONE = np.iinfo(np.int32).max
+IN_STEP = 4_096
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -74,6 +75,7 @@ class DropoutBPE:
                 plain = piece.replace(BLANK, " ")
                 self.score[plain], self.id[plain] = sp.get_score(i), i
                 self.raw.append(plain.encode())
+        self._pair_tables()
         self.memory: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
         self.older = self.memory  # the generation before; what is met again moves up
         self.held = 0
@@ -147,42 +149,178 @@ class DropoutBPE:
             k = ends[k]
         return out
 
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that the pieces a and b make together; -1: none. Open addressing with linear probing."""
+        wanted = a.astype(np.int64) << 32 | b
+        slot = self._slot(wanted)
+        made = self.pair_piece[slot]
+        found = self.pair_key[slot]
+        made[found != wanted] = -1
+        open_ = np.flatnonzero((found != wanted) & (found >= 0))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & self.pair_mask
+            found = self.pair_key[slot[open_]]
+            hit = found == wanted[open_]
+            made[open_[hit]] = self.pair_piece[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return made
+
+    def _slot(self, wanted: np.ndarray) -> np.ndarray:
+        mixed = wanted.astype(np.uint64) * np.uint64(GOLDEN)
+        return (mixed >> np.uint64(40)).astype(np.int64) & self.pair_mask
+
+    def _pair_tables(self) -> None:
+        """Every way to split a piece into two pieces, and the pieces' places in the order of scores."""
+        splits = {(self.id[s[:k]] << 32 | self.id[s[k:]]): i for s, i in self.id.items() for k in range(1, len(s)) if s[:k] in self.id and s[k:] in self.id}
+        keys, made = np.array(list(splits), np.int64), np.array(list(splits.values()), np.int32)
+        self.pair_mask = (1 << max(10, (4 * len(keys)).bit_length())) - 1
+        self.pair_key, self.pair_piece = np.full(self.pair_mask + 1, -1, np.int64), np.full(self.pair_mask + 1, -1, np.int32)
+        slot = self._slot(keys)
+        rest = np.arange(len(keys))
+        while len(rest):
+            free = rest[self.pair_key[slot[rest]] < 0]
+            self.pair_key[slot[free]] = keys[free]  # of several at one place the last stays
+            rest = rest[self.pair_key[slot[rest]] != keys[rest]]
+            slot[rest] = slot[rest] + 1 & self.pair_mask
+        self.pair_piece[slot] = made
+        ranks = np.unique([-self.score[s] for s in self.id], return_inverse=True)[1]
+        self.rank = np.full(len(self.raw) + 1, NONE, np.int32)  # the last place: no piece
+        self.rank[list(self.id.values())] = ranks * (SHORT + 16)
+        self.symbol = np.full(max((ord(c) for c in self.id if len(c) == 1), default=0) + 2, -1, np.int32)
+        for c, i in self.id.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = i
+
+    def units(self, units: list[str], streams: list[int]) -> list[bytes]:
+        """Packed ids of many units, each in its hash stream; agendas of short units are popped in step."""
+        out: list[bytes] = [b""] * len(units)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(lengths, kind="stable")
+        order = order[: np.count_nonzero(lengths <= SHORT)].tolist()
+        alone = np.ones(len(units), bool)
+        for k in range(0, len(order), IN_STEP):
+            part = order[k : k + IN_STEP]
+            sizes = lengths[part]
+            points = np.frombuffer("".join([units[i] for i in part]).encode("utf-32-le", "surrogatepass"), "<u4")
+            symbols = self.symbol[np.minimum(points, len(self.symbol) - 1)]
+            whole = np.minimum.reduceat(symbols, np.cumsum(sizes) - sizes) >= 0
+            symbols, sizes = symbols[np.repeat(whole, sizes)], sizes[whole]
+            part = [i for i, w in zip(part, whole.tolist()) if w]  # units with unknown characters go one by one
+            if not part:
+                continue
+            keys = None
+            if self.limit:
+                keys = np.array([xxhash.xxh64_intdigest(units[i], (self.seed * self.streams + streams[i]) & MASK) for i in part], np.uint64)
+            ids, counts = self._in_step(symbols, sizes, keys)
+            data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            for i, a, b in zip(part, [0, *ends], ends):
+                out[i] = data[a:b]
+            alone[part] = False
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = array("i", self.unit(units[i], streams[i])).tobytes()
+        return out
+
+    def _in_step(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The agendas of many units as columns of one table: each round pops the best candidate of every
+        column, skips it by its keyed hash or merges. An entry is the score's place and the row, so ties
+        go to the left as in the agenda of one unit."""
+        n, height = len(sizes), int(sizes.max())
+        cols = np.arange(n)
+        rows = np.arange(height)
+        table = np.full((height + 1, n), -1, np.int32)
+        inside = rows[:, None] < sizes
+        table[:-1].T[inside.T] = symbols
+        made = np.full((height + 1, n), -1, np.int32)
+        made[:-2][inside[1:]] = self._lookup(table[:-2][inside[1:]], table[1:-1][inside[1:]])
+        agenda = np.where(made >= 0, self.rank[made] + np.arange(height + 1)[:, None], NONE).astype(np.int32)
+        after = np.repeat(np.arange(1, height + 2)[:, None], n, 1).astype(np.int8)
+        after[:-1][~inside] = height
+        after[sizes - 1, cols] = height
+        before = np.repeat(np.arange(-1, height)[:, None], n, 1).astype(np.int8)
+        live = cols
+        while len(live):
+            best = agenda.min(0) if len(live) == agenda.shape[1] else agenda[:, live].min(0)
+            going = best < NONE
+            if not going.all():
+                live, best = live[going], best[going]
+            k = best % (SHORT + 16)
+            merging = live
+            agenda[k, live] = NONE
+            if keys is not None:
+                keys[live] = keys[live] * np.uint64(MIX) + np.uint64(GOLDEN)
+                kept = keys[live] >= np.uint64(self.limit)
+                merging, k = live[kept], k[kept]
+            right = after[k, merging]
+            table[k, merging] = made[k, merging]
+            table[right, merging] = -1
+            agenda[right, merging] = NONE
+            end = after[right, merging]
+            after[k, merging] = end
+            before[end, merging] = k
+            left = before[k, merging]
+            has_left, has_right = left >= 0, end < height
+            a = np.concatenate([left[has_left], k[has_right]])
+            b = np.concatenate([k[has_left], end[has_right]])
+            at = np.concatenate([merging[has_left], merging[has_right]])
+            new = self._lookup(table[a, at], table[b, at])
+            made[a, at] = new
+            agenda[a, at] = np.where(new >= 0, self.rank[new] + a, NONE)
+        present = (table[:-1] >= 0).T
+        return table[:-1].T[present], present.sum(1)
+
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<i4").tolist()
+        return np.frombuffer(self.packed([text])[0], "<i4").tolist()
 
-    def packed(self, text: str) -> bytes:
-        """The ids as 32-bit little-endian integers."""
-        if not text:
-            return b""
-        units = UNITS.findall(" " + text)
+    def _chosen(self, text: str, n: int) -> list[int]:
+        """The hash streams of a text's units."""
         if self.streams == 1:
-            chosen = [0] * len(units)
-        else:
-            key = xxhash.xxh64_intdigest(text.encode(), self.seed & MASK)
-            places = np.arange(1, len(units) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(key)
-            places ^= places >> np.uint64(31)
-            places *= np.uint64(MIX)
-            chosen = ((places >> np.uint64(33)) % np.uint64(self.streams)).tolist()
-        memory = self.memory
-        try:
-            return b"".join(map(getitem, [memory[k] for k in chosen], units))
-        except KeyError:
-            pass
+            return [0] * n
+        key = xxhash.xxh64_intdigest(text.encode(), self.seed & MASK)
+        places = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(key)
+        places ^= places >> np.uint64(31)
+        places *= np.uint64(MIX)
+        return ((places >> np.uint64(33)) % np.uint64(self.streams)).tolist()
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit little-endian integers."""
         if self.held >= self.remembered:
             self.older = self.memory
-            self.memory = memory = [{} for _ in range(self.streams)]
+            self.memory = [{} for _ in range(self.streams)]
             self.held = 0
-        out = []
-        for unit, stream in zip(units, chosen):
-            known = memory[stream]
-            ids = known.get(unit)
-            if ids is None:
-                ids = self.older[stream].get(unit) or array("i", self.unit(unit, stream)).tobytes()
-                if len(unit) <= 64:
-                    known[unit] = ids
-                    self.held += 1
-            out.append(ids)
-        return b"".join(out)
+        memory, older = self.memory, self.older
+        units: list[str] = []
+        streams: list[int] = []
+        ends = []
+        for text in texts:
+            own = UNITS.findall(" " + text) if text else []
+            units += own
+            streams += self._chosen(text, len(own)) if own else []
+            ends.append(len(units))
+        found = list(map(dict.get, map(memory.__getitem__, streams), units))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        wanted: list[set[str]] = [set() for _ in memory]
+        for i in lacking:
+            wanted[streams[i]].add(units[i])
+        new: list[str] = []
+        of: list[int] = []
+        for stream, (mine, known, old) in enumerate(zip(wanted, memory, older)):
+            again = mine.intersection(old)  # what is met again moves up
+            known.update((u, old[u]) for u in again)
+            mine -= again
+            new += mine
+            of += [stream] * len(mine)
+            self.held += len(again) + len(mine)
+        made = self.units(new, of)
+        at = 0
+        for mine, known in zip(wanted, memory):
+            known.update(zip(new[at : at + len(mine)], made[at : at + len(mine)]))
+            at += len(mine)
+        for i in lacking:
+            found[i] = memory[streams[i]][units[i]]
+        for mine, known in zip(wanted, memory):
+            for u in [u for u in mine if len(u) > 64]:  # long units are not remembered
+                del known[u]
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode() if ids else ""
@@ -194,24 +332,28 @@ def _model(path: str | None, rate: float, seed: int, streams: int) -> DropoutBPE
     return DropoutBPE(path, rate, seed, streams)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = 8) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = 8, at_once: int = 1 << 18) -> DataFrame:
     """Columns doc_id, ids, n_tokens, ids_crc32 (over 32-bit little-endian ids), lossless (decoding gave
-    the text) and decoded_sha256."""
+    the text) and decoded_sha256. ``at_once``: characters encoded together."""
 
     def make():
         model = _model(path, rate, seed, streams)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts, sizes, sums, same, digests = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                data = model.packed(text)
-                back = model.decode(np.frombuffer(data, "<i4").tolist())
-                parts.append(data)
-                sizes.append(len(data) // 4)
-                sums.append(zlib.crc32(data))
-                same.append(back == text)
-                digests.append(hashlib.sha256(back.encode()).hexdigest())
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            parts, group, held = [], [], 0
+            for text in texts:
+                group.append(text)
+                held += len(text)
+                if held >= at_once:
+                    parts += model.packed(group)
+                    group, held = [], 0
+            parts += model.packed(group)
+            backs = [model.decode(np.frombuffer(data, "<i4").tolist()) for data in parts]
+            sizes = [len(data) // 4 for data in parts]
+            sums = [zlib.crc32(data) for data in parts]
+            same = [back == text for back, text in zip(backs, texts)]
+            digests = [hashlib.sha256(back.encode()).hexdigest() for back in backs]
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))
