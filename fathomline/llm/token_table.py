@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, map_batches
 
 END_ID = 2
+JOINED = 256
 PLAIN = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070))]
 
 
@@ -73,6 +74,8 @@ class WordMemory:
             described = json.load(f)
         before = described.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not described.get("normalizer") and not described["model"].get("dropout")
+        self.id_bytes = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())], np.int64)  # a character a byte
+        self.blank = {c for c in PLAIN if regex.fullmatch(r"\s", c)}
         letter, number, space = (_letters(k) for k in "LNZ")
         self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.plain = re.compile("[\\x00-\u024f\u2000-\u206f]*").fullmatch
@@ -84,20 +87,49 @@ class WordMemory:
             out += [array("i", x.ids).tobytes() for x in encode(texts[k : k + 4_096], add_special_tokens=False)]
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pre-tokens. Those of a blank and a character that is not white space are cut again
+        where they were joined, so they go to the library in longer texts; the bytes that each id
+        stands for tell where a piece ends. All others go one by one."""
+        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        joined, rest = [], []
+        for w in pieces:
+            (joined if len(w) > 1 and w[0] == " " and w[1] not in self.blank else rest).append(w)
+        for k in range(0, len(joined), JOINED):
+            part = joined[k : k + JOINED]
+            ids = np.array(encode(["".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
+            reached = np.cumsum(self.id_bytes[ids])
+            last = np.searchsorted(reached, ends)
+            if last[-1] == len(ids) - 1 and (reached[last] == ends).all():
+                data, at = ids.tobytes(), (4 * (last + 1)).tolist()
+                self.known.update(zip(part, [data[a:b] for a, b in zip([0, *at], at)]))
+            else:
+                rest += part
+        self.known.update(zip(rest, self._library(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
         if not self.cuts:
             return self._library(texts)
-        pieces = [self.cut(x) if self.plain(x) else None for x in texts]
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = {w for p in pieces if p for w in p if w not in known}
-        again = new.intersection(older)  # what is met again moves to the younger generation
+        pieces: list[str] = []
+        ends = []
+        for x in texts:
+            if self.plain(x):
+                pieces += self.cut(x)
+            ends.append(len(pieces))
+        found = list(map(known.get, pieces))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        wanted = {pieces[i] for i in lacking}
+        again = wanted.intersection(older)  # what is met again moves to the younger generation
         known.update((w, older[w]) for w in again)
-        new = list(new - again)
-        known.update(zip(new, self._library(new)))
-        return [self._library([x])[0] if p is None else b"".join(map(known.__getitem__, p)) for x, p in zip(texts, pieces)]
+        self._learn(list(wanted - again))
+        for i in lacking:
+            found[i] = known[pieces[i]]
+        return [b"".join(found[a:b]) if a < b or not x else self._library([x])[0] for x, a, b in zip(texts, [0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +138,7 @@ def _memory(path: str, remembered: int) -> WordMemory:
     return WordMemory(path, remembered)
 
 
-def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 1 << 20, remembered: int = 700_000) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 1 << 18, remembered: int = 700_000) -> DataFrame:
     """Columns shard (the partition), doc_id, n_tokens, tokens; row order is kept. ``at_once``: characters encoded together."""
     path = vocabulary or tokenizer_path()
     end = np.array([end_id], "<i4").tobytes()
