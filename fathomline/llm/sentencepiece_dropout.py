@@ -304,7 +304,7 @@ class DropoutBPE:
         new: list[str] = []
         of: list[int] = []
         for stream, (mine, known, old) in enumerate(zip(wanted, memory, older)):
-            again = mine.intersection(old)  # what is met again moves up
+            again = {u for u in mine if u in old}  # what is met again moves up
             known.update((u, old[u]) for u in again)
             mine -= again
             new += mine
