@@ -124,7 +124,7 @@ class WordMemory:
         found = list(map(known.get, pieces))
         lacking = [i for i, x in enumerate(found) if x is None]
         wanted = {pieces[i] for i in lacking}
-        again = wanted.intersection(older)  # what is met again moves to the younger generation
+        again = {w for w in wanted if w in older}  # what is met again moves to the younger generation
         known.update((w, older[w]) for w in again)
         self._learn(list(wanted - again))
         for i in lacking:
