@@ -74,6 +74,7 @@ class WordMemory:
             described = json.load(f)
         before = described.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not described.get("normalizer") and not described["model"].get("dropout")
+        self.cuts = self.cuts and all(t["special"] for t in described.get("added_tokens") or [])  # others may lie across pieces
         self.id_bytes = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())], np.int64)  # a character a byte
         self.blank = {c for c in PLAIN if regex.fullmatch(r"\s", c)}
         letter, number, space = (_letters(k) for k in "LNZ")
