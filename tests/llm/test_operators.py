@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,27 @@ def test_sentencepiece(docs, texts):
     assert all(m._short(w, k) == m._long(w, k) for w in (" pathological", " internationalisation") for k in range(50))
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
+def test_sentencepiece_units_in_step(texts, rate):
+    m = sentencepiece_dropout.DropoutBPE(rate=rate, seed=7, remembered=40)
+    text = " ".join(t for t in texts if t) + " " + " ".join("ab" * k for k in range(60)) + " é🙂ß 日本 x▁y\x00"
+    units = sentencepiece_dropout.UNITS.findall(" " + text)
+    streams = [k % m.streams for k in range(len(units))]
+    want = [np.array(m.unit(u, s), "<i4").tobytes() for u, s in zip(units, streams)]
+    assert m.units(units, streams) == want and m.units([], []) == []
+    rows = [t or "" for t in texts]
+    once = m.packed(rows)
+    assert [m.packed([t])[0] for t in rows] == once == m.packed(rows)  # through several generations of memory
+    assert [m.decode(np.frombuffer(x, "<i4").tolist()) for x in once] == rows
+
+
+def test_token_memory_against_library(texts):
+    memory = token_table.WordMemory(token_table.tokenizer_path(), remembered=30)
+    rows = [t or "" for t in texts] + ["a\x1cb \x1c c\x1f d", "x \x85y \xa0 z", "é’s don't 12 ½ !? ", "a   b\t\tc \n d ", " <|endoftext|> </s> x"]
+    want = memory._library(rows)
+    assert memory.encode(rows) == want and [memory.encode([t])[0] for t in rows * 2] == want * 2
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 30).replace("idiot", "thing") + (" scumlike fools" if i % 3 == 0 else ""), i % 3 == 0) for i in range(300)]
