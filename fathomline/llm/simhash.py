@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, settle, utf8
 from .graph import components
+from .set_join import groups
 
 SEED = 42
 BITS = 3
@@ -117,14 +118,11 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the row with the smallest doc_id (rows that tie in
-    doc_id: the least text hash, then one of the equal rows). Columns as they come; rows of a
-    component whose ids are all null keep one row too."""
-    fps = settle(fingerprints(docs.withColumn("hash_", F.xxhash64("text")), ["doc_id", "hash_"]))
-    found = fps.join(classes(fps), "fp")
-    stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("null_fp")).agg(
-        F.min_by(F.struct("doc_id", "hash_"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash_")).alias("one")
-    )
+    """The documents that stay: of each group of near copies (``set_join``: five words, similarity 0.8) the row
+    with the smallest doc_id (rows that tie in doc_id: the least text hash, then one of the equal
+    rows). Columns as they come; a group whose ids are all null keeps one row too."""
+    found = groups(docs)
+    stay = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "hash_"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash_")).alias("one"))
     stay = settle(stay.select(F.col("one.doc_id").alias("stay_id"), F.col("one.hash_").alias("stay_hash")))
     rows = docs.withColumn("hash_", F.xxhash64("text"))
     kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["stay_id"]) & (rows["hash_"] == stay["stay_hash"]), "left_semi")

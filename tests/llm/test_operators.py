@@ -106,6 +106,27 @@ def test_simhash_components(docs, texts):
     assert simhash.representatives(docs).filter("doc_id in (4, 15)").count() == 1
 
 
+def test_representatives_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = []
+    for size in (6, 30, 80, 300):
+        for _ in range(6):
+            base = prose(rng, size).split()
+            rows.append(base)
+            for changes in (1, 1, 2, 3, size // 50, size // 30):
+                copy = list(base)
+                for k in rng.sample(range(size), changes):
+                    copy[k] = "new%d" % rng.randrange(1000)
+                rows.append(copy)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(rows))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert got == set(root) and len(got) < len(rows) - 40
+
+
 def test_pigeonring_links_against_all_pairs(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(40)]
