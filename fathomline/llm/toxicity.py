@@ -1,14 +1,15 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms of a text are its words and their 4 to 6 byte beginnings, hashed to buckets; a term
-counts once per document. From a bounded sample of labelled rows (``fit_rows``, the rows with the
-smallest keyed hash), Spark counts each bucket by class; the buckets whose log odds stand out
-(at most ``max_terms``) get a weight and a factor vector. The machine's score is
-sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>), so two terms that are harmless alone (an insult's
-stem, the mention of a group) can weigh together.
+Terms of a text are its words and their 4 to 6 byte beginnings, hashed to buckets of a table of fixed
+size; a term counts once per document. Every bucket that a bounded sample of labelled rows
+(``fit_rows``, the rows with the smallest keyed hash) holds gets a weight and a factor vector. The
+machine's score is sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>), so two terms that are harmless alone
+(an insult's stem, the mention of a group) can weigh together.
 
-The fit is Adam on the log loss over the sample's kept terms: a matrix of bounded size on the
-driver. Scoring is one pass over all rows with a table of bounded size.
+The fit is on the log loss over the sample, on the driver. Buckets whose log odds stand out are
+fitted alone first, by Adam; that is where AdaGrad, row by row over all buckets, begins, so what
+the outstanding terms explain already moves nothing else. Scoring is one pass over all rows with the
+table.
 
 Defined cases: null and word-free texts get the score of no terms; rows without a label, null
 labels and null ids are not learned from; a doc_id with several labels is toxic if one of
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from .common import map_batches, utf8
 from .decontaminate import words
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 20
 FIT_ROWS = 20_000
-MAX_TERMS = 4_096
 FACTORS = 4
+EPOCHS = 8
+START_TERMS = 4_096
+LEARNED = 1e-2
 REMEMBERED = 400_000
 
 
@@ -45,64 +48,82 @@ def buckets(word: bytes) -> list[int]:
     return [zlib.crc32(x) % BUCKETS for x in forms]
 
 
+def _places(word: bytes, known: dict[bytes, list[int]]) -> list[int]:
+    try:
+        return known[word]
+    except KeyError:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        found = known[word] = buckets(word)
+        return found
+
+
+def places(text: bytes, known: dict[bytes, list[int]]) -> np.ndarray:
+    """The distinct buckets of a text, ascending."""
+    return np.unique(np.array([b for w in set(words(text)) for b in _places(w, known)], np.int32))
+
+
 def _terms(docs: DataFrame) -> DataFrame:
-    """(toxic, row_, terms): distinct buckets of each row."""
+    """(doc_id, toxic, terms): distinct buckets of each row as packed 32-bit integers."""
 
     def make():
+        known: dict[bytes, list[int]] = {}
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted({b for w in set(words(x)) for b in buckets(w)}) for x in utf8(batch.column("text"))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
+            found = [places(x, known).tobytes() for x in utf8(batch.column("text"))]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "terms"])
 
         return step
 
-    return map_batches(docs.select("doc_id", "text", "toxic"), "doc_id long, toxic int, terms array<int>", make)
+    return map_batches(docs.select("doc_id", "text", "toxic"), "doc_id long, toxic int, terms binary", make)
 
 
 class Machine:
-    """Bias, bucket index, weights and factors."""
+    """Bias, and of each bucket the weight and factors."""
 
-    def __init__(self, bias: float, terms: list[int], w: np.ndarray, v: np.ndarray):
+    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray):
         self.bias, self.w, self.v = bias, w, v
-        self.index = {b: i for i, b in enumerate(terms)}
-        self.known: dict[bytes, tuple] = {}
-
-    def places(self, text: bytes) -> list[int]:
-        known, out = self.known, set()
-        for word in set(words(text)):
-            try:
-                found = known[word]
-            except KeyError:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[word] = tuple(i for b in buckets(word) if (i := self.index.get(b)) is not None)
-            if found:
-                out.update(found)
-        return sorted(out)
-
-    def margin(self, places: list[int]) -> float:
-        if not places:
+        self.known: dict[bytes, list[int]] = {}
+
+    def margin(self, at: np.ndarray) -> float:
+        if not len(at):
             return self.bias
-        v = self.v[places]
+        v = self.v[at]
         s = v.sum(0)
-        return float(self.bias + self.w[places].sum() + 0.5 * (s @ s - (v * v).sum()))
+        return float(self.bias + self.w[at].sum() + 0.5 * (s @ s - np.vdot(v, v)))
 
     def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(self.places(text)), -35, 35))))
-
-
-def train(rows: list[tuple[int, list[int]]], terms: list[int], start: np.ndarray, factors: int = FACTORS, steps: int = 300, rate: float = 0.05, decay: float = 2e-3, seed: int = 3) -> Machine:
-    """Fit on (label, kept term places) by Adam over the whole sample."""
+        return float(1 / (1 + np.exp(-np.clip(self.margin(places(text, self.known)), -35, 35))))
+
+
+def _outstanding(rows: list[tuple[int, np.ndarray]], most: int = START_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose log odds stand out from chance, and half those odds."""
+    n, pos = len(rows), sum(t for t, _ in rows)
+    of = np.zeros((2, BUCKETS), np.int32)
+    for t, x in rows:
+        of[t, x] += 1
+    a, b = of[1] + 0.5, of[0] + 0.5
+    odds = np.log(a / (pos + 1.0)) - np.log(b / (n - pos + 1.0))
+    z = np.where(of[0] + of[1] >= 3, odds / np.sqrt(1 / a + 1 / b), 0)
+    terms = np.argsort(-z, kind="stable")[:most]
+    terms = np.sort(terms[z[terms] >= 2.8])
+    return terms, 0.5 * np.clip(odds[terms], -4, 4)
+
+
+def _begin(rows: list[tuple[int, np.ndarray]], factors: int, steps: int = 300, rate: float = 0.05, decay: float = 2e-3, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Bias, buckets, weights and factors of the buckets that stand out alone, by Adam over the whole sample."""
+    terms, start = _outstanding(rows)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    kept = [k[k >= 0] for k in (place[x] for _, x in rows)]
     y = np.array([t for t, _ in rows], float)
-    sizes = np.array([len(p) for _, p in rows], int)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    col = np.array([i for _, p in rows for i in p], int)
+    row = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
+    col = np.concatenate(kept)
     n, m = len(rows), len(terms)
     base = (y.sum() + 0.5) / (n + 1)
-    theta = [np.array([np.log(base / (1 - base))]), start.copy(), np.random.default_rng(seed).normal(0, 0.05, (m, factors))]
+    theta = [np.array([np.log(base / (1 - base))]), start, np.random.default_rng(seed).normal(0, 0.05, (m, factors))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    if not m or y.min(initial=1) == y.max(initial=0):
-        return Machine(float(theta[0][0]), terms, np.zeros(m), np.zeros((m, factors)))
-    for t in range(1, steps + 1):
+    for t in range(1, steps * (m > 0) + 1):
         b, w, v = theta
         s = np.stack([np.bincount(row, v[col, f], n) for f in range(factors)], 1)
         squares = np.bincount(row, (v * v).sum(1)[col], n)
@@ -114,41 +135,51 @@ def train(rows: list[tuple[int, list[int]]], terms: list[int], start: np.ndarray
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad * grad
             theta[k] = theta[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
-    return Machine(float(theta[0][0]), terms, theta[1], theta[2])
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Machine:
+    return float(theta[0][0]), terms, theta[1], theta[2]
+
+
+def train(rows: list[tuple[int, np.ndarray]], factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4, spread: float = 0.01, seed: int = 3) -> Machine:
+    """Fit on (label, buckets): begin with what stands out alone, then AdaGrad over every bucket, row by row."""
+    n, pos = len(rows), sum(t for t, _ in rows)
+    w, v = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, factors), np.float32)
+    if not 0 < pos < n:
+        return Machine(float(np.log((pos + 0.5) / (n - pos + 0.5))), w, v)
+    rng = np.random.default_rng(seed)
+    there = np.zeros(BUCKETS, bool)
+    for _, x in rows:
+        there[x] = True
+    held = np.flatnonzero(there)  # what the sample lacks weighs nothing
+    v[held] = rng.normal(0, spread, (len(held), factors))
+    bias, terms, w[terms], v[terms] = _begin(rows, factors)
+    gw, gv = np.full(BUCKETS, 1e-2, np.float32), np.full((BUCKETS, factors), 1e-2, np.float32)
+    for _ in range(epochs):
+        for k in rng.permutation(n).tolist():
+            y, x = rows[k]
+            own, vx = w[x], v[x]
+            s = vx.sum(0)
+            margin = bias + float(own.sum()) + 0.5 * float(s @ s - np.vdot(vx, vx))
+            g = 1 / (1 + np.exp(-min(max(margin, -35.0), 35.0))) - y
+            if abs(g) < LEARNED:
+                continue
+            bias -= 0.01 * g
+            one = g + decay * own
+            two = g * (s - vx) + decay * vx
+            gw[x] += one * one
+            gv[x] += two * two
+            step = rate / max(len(x), 1) ** 0.5
+            w[x] = own - step * one / np.sqrt(gw[x])
+            v[x] = vx - step * two / np.sqrt(gv[x])
+    return Machine(bias, w, v)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
     """Learn from at most ``fit_rows`` labelled rows that are not held out."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = _terms(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).persist()  # ``fit_rows`` small rows
-    try:
-        n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-        a, b = F.col("pos") + 0.5, F.col("all") - F.col("pos") + 0.5
-        odds = F.log(a / (pos + 1.0)) - F.log(b / (n - pos + 1.0))
-        counted = (
-            sample.select("toxic", F.explode("terms").alias("term"))
-            .groupBy("term")
-            .agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("all"))
-            .filter("all >= 3")
-            .select("term", odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("z"))
-            .filter("z >= 2.8")
-            .orderBy(F.desc("z"), "term")
-            .limit(max_terms)
-            .collect()
-        )  # at most ``max_terms`` rows
-        terms = [r["term"] for r in counted]
-        start = np.clip(np.array([r["odds"] for r in counted]), -4, 4) * 0.5
-        if terms:
-            kept = sample.select("toxic", F.array_intersect("terms", F.from_json(F.lit(str(terms)), "array<int>")).alias("kept"))
-            place = {t: i for i, t in enumerate(terms)}
-            rows = [(r[0], [place[t] for t in r[1]]) for r in kept.toLocalIterator()]  # ``fit_rows`` rows of kept terms
-        else:
-            rows = [(1, [])] * pos + [(0, [])] * (n - pos)
-        return train(rows, terms, start)
-    finally:
-        sample.unpersist()
+    sample = _terms(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # ``fit_rows`` small rows
+    rows = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in sample.toLocalIterator())  # ``fit_rows`` rows of terms
+    return train([(t, np.frombuffer(x, np.int32)) for _, t, x in rows])
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -156,7 +187,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, name
     keep = keep or ["doc_id"]
     source = docs.select(*keep, F.col("text").cast("string").alias("text_"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    shared = docs.sparkSession.sparkContext.broadcast((machine.bias, list(machine.index), machine.w, machine.v))  # ``max_terms`` rows
+    shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))  # ``BUCKETS`` rows
 
     def make():
         own = Machine(*shared.value)

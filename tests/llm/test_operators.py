@@ -264,6 +264,19 @@ def test_toxicity(spark):
     assert none.count() == 302 and none.filter("score is null").count() == 0
 
 
+def test_toxicity_of_a_pair():
+    rng, rows = random.Random(5), []
+    for i in range(4000):
+        words = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(20)]
+        words += ["amber", "basalt"] if i % 8 == 0 else ["vileword"] if i % 8 == 4 else [rng.choice(["amber", "basalt"])]
+        rng.shuffle(words)
+        rows.append((int(i % 4 == 0), " ".join(words).encode()))
+    machine = toxicity.train([(y, toxicity.places(t, {})) for y, t in rows[:3200]])
+    pairs = [machine.score(t) >= 0.5 for _, t in rows[3200::8]]
+    alone = [machine.score(t) >= 0.5 for y, t in rows[3200:] if not y]
+    assert sum(pairs) > 0.8 * len(pairs) and sum(alone) < 0.05 * len(alone)
+
+
 def test_empty_tables(spark, docs):
     empty = docs.limit(0)
     assert line_dedup.report(empty).count() == simhash.near_duplicates(empty).count() == sharding.shard_rows(empty).count() == 0
