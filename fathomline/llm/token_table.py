@@ -58,7 +58,8 @@ class WordMemory:
     A byte-level BPE encodes the pieces that its pre-tokenizer cuts one by one, so a text's ids are
     those of its pieces in order. Texts of the plain range are cut here and their pieces looked up;
     pieces not met before go through the library, as do, whole, all texts with other characters (whose
-    classes might depend on the Unicode version) and all texts of other kinds of tokenizers.
+    classes might depend on the Unicode version), all that hold the content of an added token, and all texts of
+    other kinds of tokenizers.
     """
 
     def __init__(self, path: str, remembered: int):
@@ -66,7 +67,6 @@ class WordMemory:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -74,7 +74,8 @@ class WordMemory:
             described = json.load(f)
         before = described.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not described.get("normalizer") and not described["model"].get("dropout")
-        self.cuts = self.cuts and all(t["special"] for t in described.get("added_tokens") or [])  # others may lie across pieces
+        added = [t["content"] for t in described.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search  # may lie across pieces
         self.id_bytes = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())], np.int64)  # a character a byte
         self.blank = {c for c in PLAIN if regex.fullmatch(r"\s", c)}
         letter, number, space = (_letters(k) for k in "LNZ")
@@ -98,7 +99,11 @@ class WordMemory:
             (joined if len(w) > 1 and w[0] == " " and w[1] not in self.blank else rest).append(w)
         for k in range(0, len(joined), JOINED):
             part = joined[k : k + JOINED]
-            ids = np.array(encode(["".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            whole = "".join(part)
+            if self.added(whole):  # one that lies across joined pieces
+                rest += part
+                continue
+            ids = np.array(encode([whole], add_special_tokens=False)[0].ids, "<i4")
             ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
             reached = np.cumsum(self.id_bytes[ids])
             last = np.searchsorted(reached, ends)
@@ -119,7 +124,7 @@ class WordMemory:
         pieces: list[str] = []
         ends = []
         for x in texts:
-            if self.plain(x):
+            if self.plain(x) and not self.added(x):
                 pieces += self.cut(x)
             ends.append(len(pieces))
         found = list(map(known.get, pieces))

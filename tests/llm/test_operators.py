@@ -251,6 +251,19 @@ def test_token_memory_against_library(texts):
     assert memory.encode(rows) == want and [memory.encode([t])[0] for t in rows * 2] == want * 2
 
 
+def test_token_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(token_table.tokenizer_path())
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "plain a b", "x<|endoftext|><|endoftext|>y \n", "<|endoftext |>", "é日 <|endoftext|>", "<|endof text|> <|", "endoftext|>"]
+    want = [[*model.encode(t, add_special_tokens=False).ids, 2] for t in rows]
+    assert 50256 in want[0]
+    memory = token_table.WordMemory(token_table.tokenizer_path(), remembered=30)
+    assert [[*np.frombuffer(x, "<i4").tolist(), 2] for x in memory.encode(rows)] == want
+    got = by_id(token_table.roundtrip(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert [(got[i].n_tokens, got[i].ids_crc32) for i in range(len(rows))] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 30).replace("idiot", "thing") + (" scumlike fools" if i % 3 == 0 else ""), i % 3 == 0) for i in range(300)]
