@@ -5,8 +5,10 @@ each candidate that is popped is skipped if a keyed hash of seed, stream, text a
 falls below the dropout rate, so one seed always gives one segmentation and other seeds
 give others. No piece of the model goes on after a word end, so merges never cross one: the
 agenda runs over units (a word with the blanks before it). Each occurrence of a
-unit takes one of ``streams`` hash streams, chosen by a keyed hash of the document and the
-occurrence; a unit's segmentation in a stream is remembered, in a bounded table.
+unit has its own hash stream (one of ``streams``, 2^32), drawn by a keyed hash of the text and the
+occurrence, so every candidate of every occurrence is skipped or not by itself. What is remembered, in
+a bounded table, is independent of that: the segmentation and the number of candidates popped,
+by the unit and the places of the skipped ones.
 
 Characters the model lacks become byte pieces, and so does the model's own blank sign where
 a text holds it, so decoding gives back every text exactly.
@@ -41,6 +43,9 @@ NEVER = float("-inf")
 SHORT = 48
 NONE = np.iinfo(np.int32).max
 IN_STEP = 4_096
+STREAMS = 1 << 32
+WORD = 21  # characters of a unit of which at most 3 * 20 candidates are popped: the skipped ones fit 64 bits
+ALONE = b"\xff"  # remembered of units with unknown characters
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -52,7 +57,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 class DropoutBPE:
     """Encoder and decoder of one model, seed and rate."""
 
-    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = 8, remembered: int = 600_000):
+    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = STREAMS, remembered: int = 600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
@@ -76,9 +81,8 @@ class DropoutBPE:
                 self.score[plain], self.id[plain] = sp.get_score(i), i
                 self.raw.append(plain.encode())
         self._pair_tables()
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
-        self.older = self.memory  # the generation before; what is met again moves up
-        self.held = 0
+        self.memory: dict[str, bytes] = {}  # ids, and a byte for the candidates popped
+        self.older: dict[str, bytes] = {}  # the generation before; what is met again moves up
 
     def unit(self, unit: str, stream: int) -> list[int]:
         """Ids of one unit in one hash stream, by the agenda."""
@@ -193,7 +197,18 @@ class DropoutBPE:
 
     def units(self, units: list[str], streams: list[int]) -> list[bytes]:
         """Packed ids of many units, each in its hash stream; agendas of short units are popped in step."""
+        keys = None
+        if self.limit:
+            keys = np.array([xxhash.xxh64_intdigest(u, (self.seed * self.streams + s) & MASK) for u, s in zip(units, streams)], np.uint64)
+        out, _, alone = self._short_units(units, keys, None)
+        for i in alone:
+            out[i] = array("i", self.unit(units[i], streams[i])).tobytes()
+        return out
+
+    def _short_units(self, units: list[str], keys: np.ndarray | None, skips: np.ndarray | None) -> tuple[list[bytes], np.ndarray, list[int]]:
+        """Packed ids, numbers of candidates popped, and the places of units that are long or have unknown characters."""
         out: list[bytes] = [b""] * len(units)
+        popped = np.zeros(len(units), np.int64)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         order = np.argsort(lengths, kind="stable")
         order = order[: np.count_nonzero(lengths <= SHORT)].tolist()
@@ -208,21 +223,16 @@ class DropoutBPE:
             part = [i for i, w in zip(part, whole.tolist()) if w]  # units with unknown characters go one by one
             if not part:
                 continue
-            keys = None
-            if self.limit:
-                keys = np.array([xxhash.xxh64_intdigest(units[i], (self.seed * self.streams + streams[i]) & MASK) for i in part], np.uint64)
-            ids, counts = self._in_step(symbols, sizes, keys)
+            ids, counts, popped[part] = self._in_step(symbols, sizes, None if keys is None else keys[part], None if skips is None else skips[part])
             data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
             for i, a, b in zip(part, [0, *ends], ends):
                 out[i] = data[a:b]
             alone[part] = False
-        for i in np.flatnonzero(alone).tolist():
-            out[i] = array("i", self.unit(units[i], streams[i])).tobytes()
-        return out
+        return out, popped, np.flatnonzero(alone).tolist()
 
-    def _in_step(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _in_step(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, skips: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The agendas of many units as columns of one table: each round pops the best candidate of every
-        column, skips it by its keyed hash or merges. An entry is the score's place and the row, so ties
+        column, skips it (by its keyed hash, or where the round's bit in ``skips`` is set) or merges. An entry is the score's place and the row, so ties
         go to the left as in the agenda of one unit."""
         n, height = len(sizes), int(sizes.max())
         cols = np.arange(n)
@@ -237,7 +247,8 @@ class DropoutBPE:
         after[:-1][~inside] = height
         after[sizes - 1, cols] = height
         before = np.repeat(np.arange(-1, height)[:, None], n, 1).astype(np.int8)
-        live = cols
+        popped = np.zeros(n, np.int64)
+        live, turn = cols, 0
         while len(live):
             best = agenda.min(0) if len(live) == agenda.shape[1] else agenda[:, live].min(0)
             going = best < NONE
@@ -246,7 +257,11 @@ class DropoutBPE:
             k = best % (SHORT + 16)
             merging = live
             agenda[k, live] = NONE
-            if keys is not None:
+            popped[live] += 1
+            if skips is not None:
+                kept = skips[live] >> np.uint64(turn) & np.uint64(1) == 0
+                merging, k, turn = live[kept], k[kept], turn + 1
+            elif keys is not None:
                 keys[live] = keys[live] * np.uint64(MIX) + np.uint64(GOLDEN)
                 kept = keys[live] >= np.uint64(self.limit)
                 merging, k = live[kept], k[kept]
@@ -266,7 +281,7 @@ class DropoutBPE:
             made[a, at] = new
             agenda[a, at] = np.where(new >= 0, self.rank[new] + a, NONE)
         present = (table[:-1] >= 0).T
-        return table[:-1].T[present], present.sum(1)
+        return table[:-1].T[present], present.sum(1), popped
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed([text])[0], "<i4").tolist()
@@ -279,15 +294,31 @@ class DropoutBPE:
         places = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(key)
         places ^= places >> np.uint64(31)
         places *= np.uint64(MIX)
-        return ((places >> np.uint64(33)) % np.uint64(self.streams)).tolist()
+        return ((places >> np.uint64(32)) % np.uint64(self.streams)).tolist()
+
+    def _recall(self, wanted: list[str]) -> list[bytes]:
+        """What is remembered of units, or of units, a line end and the skipped candidates as a hexadecimal number."""
+        memory, older = self.memory, self.older
+        found = list(map(memory.get, wanted))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for w in {wanted[i] for i in lacking}:
+            if w in older:  # what is met again moves up
+                memory[w] = older[w]
+            else:
+                new.append(w)
+        split = [(w, "0") if w == "\n" else (w.partition("\n")[0], w.partition("\n")[2] or "0") for w in new]
+        made, popped, alone = self._short_units([u for u, _ in split], None, np.array([int(x, 16) for _, x in split], np.uint64))
+        memory.update((w, x + bytes((n,))) for w, x, n in zip(new, made, popped.tolist()))
+        memory.update((new[i], ALONE) for i in alone)
+        for i in lacking:
+            found[i] = memory[wanted[i]]
+        return found
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
-        if self.held >= self.remembered:
-            self.older = self.memory
-            self.memory = [{} for _ in range(self.streams)]
-            self.held = 0
-        memory, older = self.memory, self.older
+        if len(self.memory) >= self.remembered:
+            self.older, self.memory = self.memory, {}
         units: list[str] = []
         streams: list[int] = []
         ends = []
@@ -296,32 +327,43 @@ class DropoutBPE:
             units += own
             streams += self._chosen(text, len(own)) if own else []
             ends.append(len(units))
-        found = list(map(dict.get, map(memory.__getitem__, streams), units))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        wanted: list[set[str]] = [set() for _ in memory]
-        for i in lacking:
-            wanted[streams[i]].add(units[i])
-        new: list[str] = []
-        of: list[int] = []
-        for stream, (mine, known, old) in enumerate(zip(wanted, memory, older)):
-            again = {u for u in mine if u in old}  # what is met again moves up
-            known.update((u, old[u]) for u in again)
-            mine -= again
-            new += mine
-            of += [stream] * len(mine)
-            self.held += len(again) + len(mine)
-        made = self.units(new, of)
-        at = 0
-        for mine, known in zip(wanted, memory):
-            known.update(zip(new[at : at + len(mine)], made[at : at + len(mine)]))
-            at += len(mine)
-        for i in lacking:
-            found[i] = memory[streams[i]][units[i]]
-        for mine, known in zip(wanted, memory):
-            for u in [u for u in mine if len(u) > 64]:  # long units are not remembered
-                del known[u]
+        found: list[bytes] = [b""] * len(units)
+        words = [i for i, u in enumerate(units) if len(u) <= WORD]
+        alone = [i for i, u in enumerate(units) if len(u) > WORD]
+        for i, x in zip(words, self._recall([units[i] for i in words])):
+            found[i] = x
+        alone += [i for i in words if found[i] is ALONE]
+        if self.limit:
+            self._skip(units, streams, [i for i in words if found[i][-1] and found[i] is not ALONE], found)
+        found = [x[:-1] for x in found]
+        for i, x in zip(alone, self.units([units[i] for i in alone], [streams[i] for i in alone])):
+            found[i] = x
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
+    def _skip(self, units: list[str], streams: list[int], at: list[int], found: list[bytes]) -> None:
+        """Draw the skipped candidates of the occurrences ``at`` and replace what was found where there are any."""
+        base, digest = self.seed * self.streams, xxhash.xxh64_intdigest
+        key = np.array([digest(units[i], (base + streams[i]) & MASK) for i in at], np.uint64)
+        turn, skips = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+        place = np.array(at, np.int64)
+        while len(place):
+            popped = np.fromiter((found[i][-1] for i in place.tolist()), np.int64, len(place))
+            live = np.flatnonzero(turn < popped)
+            hits = []
+            while len(live):
+                key[live] = key[live] * np.uint64(MIX) + np.uint64(GOLDEN)
+                turn[live] += 1
+                skipped = key[live] < np.uint64(self.limit)
+                hits.append(live[skipped])
+                live = live[~skipped]
+                live = live[turn[live] < popped[live]]
+            hit = np.concatenate([np.zeros(0, np.int64), *hits])
+            key, turn, skips, place = key[hit], turn[hit], skips[hit], place[hit]
+            skips |= np.uint64(1) << (turn - 1).astype(np.uint64)
+            again = place.tolist()
+            for i, x in zip(again, self._recall([f"{units[i]}\n{m:x}" for i, m in zip(again, skips.tolist())])):
+                found[i] = x
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode() if ids else ""
 
@@ -332,7 +374,7 @@ def _model(path: str | None, rate: float, seed: int, streams: int) -> DropoutBPE
     return DropoutBPE(path, rate, seed, streams)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = 8, at_once: int = 1 << 18) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = STREAMS, at_once: int = 1 << 18) -> DataFrame:
     """Columns doc_id, ids, n_tokens, ids_crc32 (over 32-bit little-endian ids), lossless (decoding gave
     the text) and decoded_sha256. ``at_once``: characters encoded together."""
 

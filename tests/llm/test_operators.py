@@ -244,6 +244,23 @@ def test_sentencepiece_units_in_step(texts, rate):
     assert [m.decode(np.frombuffer(x, "<i4").tolist()) for x in once] == rows
 
 
+def test_sentencepiece_occurrences(texts):
+    m = sentencepiece_dropout.DropoutBPE(rate=0.1, seed=7, remembered=200)
+    for t in [t for t in texts if t] + [" pathological internationalisation the" * 30, "ab" * 40 + " é🙂ß\n\n  x"]:
+        units = sentencepiece_dropout.UNITS.findall(" " + t)
+        want = [i for u, s in zip(units, m._chosen(t, len(units))) for i in m.unit(u, s)]
+        assert m.encode(t) == want
+    found = {m.packed([f"{k} " + "pathological " * 50])[0] for k in range(4)}
+    assert len(found) == 4
+    forms, at = set(), ()
+    for i in m.encode("pathological " * 400):
+        if m.raw[i][:1] == b" " and at:
+            forms.add(at)
+            at = ()
+        at += (i,)
+    assert len(forms) > 8  # more than a fixed number of streams would give
+
+
 def test_token_memory_against_library(texts):
     memory = token_table.WordMemory(token_table.tokenizer_path(), remembered=30)
     rows = [t or "" for t in texts] + ["a\x1cb \x1c c\x1f d", "x \x85y \xa0 z", "é’s don't 12 ½ !? ", "a   b\t\tc \n d ", " <|endoftext|> </s> x"]
