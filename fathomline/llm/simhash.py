@@ -123,7 +123,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     rows). Columns as they come; a group whose ids are all null keeps one row too."""
     found = groups(docs)
     stay = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "hash_"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash_")).alias("one"))
-    stay = settle(stay.select(F.col("one.doc_id").alias("stay_id"), F.col("one.hash_").alias("stay_hash")))
-    rows = docs.withColumn("hash_", F.xxhash64("text"))
-    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["stay_id"]) & (rows["hash_"] == stay["stay_hash"]), "left_semi")
-    return kept.drop("hash_").dropDuplicates(docs.columns)
+    id_ = [F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("no_id_"), "hash_"]
+    stay = settle(stay.select("one.doc_id", "one.hash_").select(*id_))
+    rows = docs.withColumn("hash_", F.xxhash64("text")).select(*docs.columns, *id_)
+    key = ["id_", "no_id_", "hash_"]
+    return rows.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
