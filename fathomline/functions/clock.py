@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +20,22 @@ def _padded(text: Column) -> Column:
     return F.regexp_replace(text, r"(^|\s)(\d{3})$", "$10$2")
 
 
-def _read(text: Column, pattern: str) -> Column:
-    found = F.try_to_timestamp(text, F.lit(pattern))
+# What a pattern's letters can stand for, longest first; a text of another shape is never tried, for a miss is costly.
+SHAPES = {"yyyy": r"\d{4,}", "HHmm": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3,4}", "XXX": r"(?:Z|[+-]\d\d:\d\d)", "xx": r"[+-]\d{4}", "yy": r"\d{2}", "mm": r"\d{2}", "'T'": "T", "a": "[AaPp][Mm]"} | {x: r"0*\d{1,2}" for x in "MdHhms"}
+
+
+def shape(pattern: str) -> str:
+    """A regular expression that every text of a date pattern matches."""
+    return "^" + re.sub("|".join(map(re.escape, SHAPES)), lambda m: SHAPES[m[0]], pattern) + "$"
+
+
+def _read(text: Column, pattern: str, before: Column | None = None, pattern_before: str = "") -> Column:
+    """The text, after what stands ``before`` it, read by the patterns of both."""
+    whole, full = (text, pattern) if before is None else (F.concat_ws(" ", before, text), f"{pattern_before} {pattern}")
+    found = F.try_to_timestamp(whole, F.lit(full))
     if "yy" in pattern and "yyyy" not in pattern:  # two-digit years from 69 on are of the last century
         found = F.when(F.year(found) >= 2069, F.add_months(found, -1200) + (found - F.date_trunc("day", found))).otherwise(found)
-    return found
+    return F.when(F.regexp_like(text, F.lit(shape(pattern))), found)
 
 
 def parse_datetime(text: Column, default: Column) -> Column:
@@ -33,8 +46,8 @@ def parse_datetime(text: Column, default: Column) -> Column:
     """
     t = _padded(F.trim(text))
     day, year = F.date_format(default, "yyyy-MM-dd"), F.date_format(default, "yyyy")
-    tries = [_read(F.concat_ws(" ", day, t), f"yyyy-MM-dd {p}") for p in TIMES]
-    tries += [_read(F.concat_ws(" ", year, t), f"yyyy {d} {p}") for d in YEARLESS for p in TIMES]
+    tries = [_read(t, p, day, "yyyy-MM-dd") for p in TIMES]
+    tries += [_read(t, f"{d} {p}", year, "yyyy") for d in YEARLESS for p in TIMES]
     tries += [_read(t, p) for p in OFFSET]
     for d in FULL:
         tries += [_read(t, f"{d} {p}") for p in TIMES]
