@@ -16,24 +16,21 @@ from pyspark.sql import functions as F
 A2, B2, RADIUS = 40680631.6, 40408296.0, 6371.2
 
 
-def at_year(rows: list[tuple], year: float) -> tuple[np.ndarray, np.ndarray]:
-    """(g, h) matrices [n, m] for a decimal year, from (kind, n, m, epoch, value) rows. The row with the
+def at_years(rows: list[tuple], years: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(g, h) arrays [n, m, place] for decimal years, from (kind, n, m, epoch, value) rows. The row with the
     largest epoch holds the yearly change after the epoch before it."""
-    epochs = sorted({r[3] for r in rows})
-    if len(epochs) < 2 or year < epochs[0]:
-        raise ValueError(f"no coefficients for {year}")
-    last = epochs[-2]
-    if year >= last:
-        weights = {last: 1.0, epochs[-1]: year - last}
-    else:
-        k = max(i for i, e in enumerate(epochs) if e <= year)
-        part = (year - epochs[k]) / (epochs[k + 1] - epochs[k])
-        weights = {epochs[k]: 1 - part, epochs[k + 1]: part}
-    size = max(r[1] for r in rows) + 1
-    out = {"g": np.zeros((size, size)), "h": np.zeros((size, size))}
+    epochs = np.array(sorted({r[3] for r in rows}), float)
+    if len(epochs) < 2 or (years < epochs[0]).any():
+        raise ValueError(f"no coefficients for {years.min() if len(years) else 'any year'}")
+    size, place = max(r[1] for r in rows) + 1, {e: k for k, e in enumerate(epochs)}
+    table = {"g": np.zeros((size, size, len(epochs))), "h": np.zeros((size, size, len(epochs)))}
     for kind, n, m, epoch, value in rows:
-        out[kind][n, m] += weights.get(epoch, 0.0) * value
-    return out["g"], out["h"]
+        table[kind][n, m, place[epoch]] += value
+    k = np.minimum(np.searchsorted(epochs, years, "right") - 1, len(epochs) - 2)
+    last = k == len(epochs) - 2  # here the next column is a change a year
+    part = np.where(last, years - epochs[k], (years - epochs[k]) / (epochs[k + 1] - epochs[k]))
+    here = np.where(last, 1.0, 1 - part)
+    return tuple(here * table[kind][:, :, k] + part * table[kind][:, :, k + 1] for kind in "gh")
 
 
 def field(g: np.ndarray, h: np.ndarray, colatitude: np.ndarray, longitude: np.ndarray, altitude: np.ndarray, geodetic: bool = True):
@@ -81,10 +78,11 @@ def field_column(rows: list[tuple], lat: Column, lon: Column, year: Column, alti
     def run(lat: pd.Series, lon: pd.Series, year: pd.Series, alt: pd.Series) -> pd.DataFrame:
         out = np.full((len(lat), 4), np.nan)
         good = (lat.notna() & lon.notna() & year.notna()).to_numpy()
-        for when in np.unique(year[good]):
-            at = good & (year == when).to_numpy()
-            g, h = at_year(rows, float(when))
-            out[at] = np.stack(field(g, h, 90 - lat[at].to_numpy(float), lon[at].to_numpy(float) % 360, alt[at].to_numpy(float), geodetic), 1)
+        for k in range(0, len(out), 2_048):  # coefficients of so many places at once
+            at = k + np.flatnonzero(good[k : k + 2_048])
+            if len(at):
+                g, h = at_years(rows, year.to_numpy(float)[at])
+                out[at] = np.stack(field(g, h, 90 - lat.to_numpy(float)[at], lon.to_numpy(float)[at] % 360, alt.to_numpy(float)[at], geodetic), 1)
         return pd.DataFrame(out, columns=list("xyzf"))
 
     return run(lat, lon, year, F.lit(0.0) if altitude is None else altitude)
