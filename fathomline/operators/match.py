@@ -2,8 +2,8 @@
 
 A rule says when two waypoints match. Key rules (name, identifier, geocode prefix) are equi-joins.
 The distance rule is a range join: points fall into cells at least as wide as the limit, one side
-looks into the nine cells around it, and the exact distance decides. Arbitrary predicates
-are the caller's own nested loop. The result is a table of edges (left_id, right_id, rule).
+looks into the nine cells around it, and the exact distance decides. An arbitrary predicate is tried
+within groups that agree in a key; a comparison of all pairs has to be asked for. The result is a table of edges (left_id, right_id, rule).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import NM, distance
+from ..scratch import settle
 
 NEAR = 0.05
 
@@ -61,6 +62,24 @@ class NearRule:
         return a.join(b, ["row", "column"]).filter(near).select("left_id", "right_id", F.lit(self.name).alias("rule"))
 
 
+@dataclass(frozen=True)
+class PredicateRule:
+    """Waypoints match where a predicate of the two sides' columns holds (aliases ``l`` and ``r``), among those that
+    agree in ``key``. Without a key every pair is compared, which grows with the product of the sides: only with ``all_pairs``."""
+
+    name: str
+    predicate: Callable[[], Column]
+    key: Callable[[], Column] | None = None
+    all_pairs: bool = False
+
+    def edges(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        if self.key is None and not self.all_pairs:
+            raise ValueError(f"rule {self.name!r} has no key to join by; ask for all_pairs to compare every pair")
+        key = F.lit(0) if self.key is None else self.key()
+        l, r = left.withColumn("rule_key", key).alias("l"), right.withColumn("rule_key", key).alias("r")
+        return l.join(r, (F.col("l.rule_key") == F.col("r.rule_key")) & self.predicate()).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.lit(self.name).alias("rule"))
+
+
 def by_name() -> KeyRule:
     return KeyRule("name", lambda side: F.col("name"), null_matches=True)
 
@@ -96,6 +115,18 @@ def only(points: DataFrame, edges: DataFrame, side: str) -> DataFrame:
     return points.join(edges.select(F.col(side).alias("id")), "id", "left_anti")
 
 
+def matched(points: DataFrame, edges: DataFrame, side: str) -> DataFrame:
+    """The waypoints of one side that an edge touches, once each."""
+    return points.join(edges.select(F.col(side).alias("id")), "id", "left_semi")
+
+
+def crosswalk(left: DataFrame, right: DataFrame, edges: DataFrame, column: str = "sym") -> DataFrame:
+    """left_<column>, right_<column>, n: how often the sides' values stand on the ends of an edge."""
+    pairs = edges.select("left_id", "right_id").distinct()
+    a, b = (df.select(F.col("id").alias(f"{side}_id"), F.col(column).alias(f"{side}_{column}")) for df, side in ((left, "left"), (right, "right")))
+    return pairs.join(a, "left_id").join(b, "right_id").groupBy(f"left_{column}", f"right_{column}").agg(F.count(F.lit(1)).alias("n"))
+
+
 def rank_by_matches(points: DataFrame, edges: DataFrame, side: str) -> DataFrame:
     """id and match_count, most matches first (ties by id)."""
     counts = edges.groupBy(F.col(side).alias("id")).agg(F.count(F.lit(1)).alias("match_count"))
@@ -126,4 +157,24 @@ def survey(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
     common = lines.select(F.lit(0).alias("part"), F.col("left_name").alias("k1"), F.col("left_id").cast("string").alias("k2"), F.col("rule").alias("k3"), F.format_string("  %s %s = %s (%s)", F.col("rule"), "left_name", "right_name", "right_code").alias("text"))
     new = only(right, edges, "right_id").select(F.lit(1).alias("part"), F.coalesce("name", F.lit("")).alias("k1"), F.col("id").cast("string").alias("k2"), F.lit("").alias("k3"), F.format_string("+ %s %s", F.coalesce("name", F.lit("")), "geocode").alias("text"))
     every = common.unionByName(new)
-    return every.select((F.row_number().over(Window.orderBy("part", "k1", "k2", "k3", "text")) - 1).alias("line_no"), "text")
+    return numbered(every, ["part", "k1", "k2", "k3", "text"], "line_no").select("line_no", "text")
+
+
+def duplicates_report(points: DataFrame, prefix: int = 10) -> DataFrame:
+    """line_no, text: of each group of doubles (geocodes that share a prefix) a line for the group, the one that stays, and those it stands for."""
+    keyed = points.select(F.substring("geocode", 1, prefix).alias("cluster"), "id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("last_updated", F.lit("1900-01-01").cast("timestamp")).alias("at"))
+    best = keyed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "id")).alias("best")).filter("n > 1")
+    heads = best.select("cluster", F.lit(0).alias("part"), F.lit("").alias("k"), F.format_string("%s: %d", "cluster", "n").alias("text"))
+    rows = keyed.join(best, "cluster")
+    stays = F.struct("at", "id") == F.col("best")
+    lines = rows.select("cluster", F.when(stays, 1).otherwise(2).alias("part"), F.col("id").cast("string").alias("k"), F.concat(F.when(stays, "  * ").otherwise("    "), F.col("name"), F.lit(" "), F.date_format("at", "yyyy-MM-dd")).alias("text"))
+    return numbered(heads.unionByName(lines), ["cluster", "part", "k", "text"], "line_no").select("line_no", "text")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in an order, by ranges: each range's rows are counted where they lie, and only the counts meet in one place."""
+    ordered = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("place", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("range", F.shiftright("place", 33))
+    counts = ordered.groupBy("range").count()  # as many rows as ranges
+    base = counts.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("base"))
+    return ordered.join(F.broadcast(base), "range").withColumn(name, F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("range", "base", "place")

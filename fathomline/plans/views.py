@@ -35,13 +35,15 @@ ROUTES = """select l_orderkey as route, (row_number() over (partition by l_order
   from lineitem join orders on l_orderkey = o_orderkey"""
 
 
-def _waypoints(df: DataFrame, key: str, shift: float) -> DataFrame:
+def _waypoints(df: DataFrame, key: str, shift: float, away: float = 0.0) -> DataFrame:
+    """``away``: so far north is every seventh point, which has no guid."""
     k = F.col(key)
-    lat = F.lit(37.001) + (k % 313) / F.lit(100.0) + shift
+    far = (k % 7 == 3) & F.lit(away > 0)
+    lat = F.lit(37.001) + (k % 313) / F.lit(100.0) + shift + F.when(far, away).otherwise(0.0)
     lon = F.lit(-75.999) - (k % 17) / F.lit(100.0) - shift
     from ..functions.geocode import olc_encode
 
-    rows = df.select(k.cast("long").alias("id"), lat.alias("lat"), lon.alias("lon"), F.concat(F.lit("WP"), k % 500).alias("name"), F.when(k % 3 == 0, F.md5((k % 700).cast("string"))).alias("guid"), (k % 997).cast("int").alias("days"), k.alias("k"))
+    rows = df.select(k.cast("long").alias("id"), lat.alias("lat"), lon.alias("lon"), F.concat(F.lit("WP"), k % 500).alias("name"), F.when((k % 3 == 0) & ~far, F.md5((k % 700).cast("string"))).alias("guid"), (k % 997).cast("int").alias("days"), k.alias("k"))
     return rows.select("id", "lat", "lon", "name", "guid", olc_encode(F.col("lat"), F.col("lon")).alias("geocode"), F.expr("timestamp'2020-01-01' + make_dt_interval(days)").alias("last_updated"))
 
 
@@ -50,7 +52,7 @@ def left_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def right_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _waypoints(load(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 0.0003)
+    return _waypoints(load(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 0.0003, 20.0)
 
 
 DIGITS = "23456789CFGHJMPQRVWX"
@@ -70,15 +72,16 @@ def olc_sql(lat: str, lon: str, size: int = 11) -> str:
     return f"(substr({code}, 1, 8) || '+' || substr({code}, 9))"
 
 
-def _points_sql(table: str, key: str, shift: float) -> str:
+def _points_sql(table: str, key: str, shift: float, away: float = 0.0) -> str:
+    far = f"({key} % 7 = 3 and {away} > 0)"
     return f"""select id, lat, lon, name, guid, {olc_sql('lat', 'lon')} as geocode, last_updated from (
-      select {key}::BIGINT as id, 37.001::DOUBLE + ({key} % 313) / 100.0::DOUBLE + {shift}::DOUBLE as lat, -75.999::DOUBLE - ({key} % 17) / 100.0::DOUBLE - {shift}::DOUBLE as lon,
-      'WP' || ({key} % 500) as name, case when {key} % 3 = 0 then md5(({key} % 700)::VARCHAR) end as guid,
+      select {key}::BIGINT as id, 37.001::DOUBLE + ({key} % 313) / 100.0::DOUBLE + {shift}::DOUBLE + case when {far} then {away}::DOUBLE else 0.0::DOUBLE end as lat, -75.999::DOUBLE - ({key} % 17) / 100.0::DOUBLE - {shift}::DOUBLE as lon,
+      'WP' || ({key} % 500) as name, case when {key} % 3 = 0 and not {far} then md5(({key} % 700)::VARCHAR) end as guid,
       timestamp '2020-01-01' + to_days(({key} % 997)::INT) as last_updated from {table})"""
 
 
 LEFT = _points_sql("customer", "c_custkey", 0.0)
-RIGHT = _points_sql("supplier", "s_suppkey", 0.0003)
+RIGHT = _points_sql("supplier", "s_suppkey", 0.0003, 20.0)
 
 
 def leg_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float = 3440.069) -> tuple[str, str]:
