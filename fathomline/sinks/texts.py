@@ -25,11 +25,12 @@ def _joined(df: DataFrame, by: list[str], seq: str, line: Column, between: str)
 
 
 def waypoints_gpx(points: DataFrame, by: list[str], seq: str = "seq") -> DataFrame:
-    """GPX 1.1 documents of waypoints (lat, lon, name, last_updated, sym, type, guid); type is WPT by default."""
+    """GPX 1.1 documents of waypoints (lat, lon, name, last_updated, sym, type, guid, and description if there is one); type is WPT by default."""
     time = F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     tag = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"<{name}>"), escape(value), F.lit(f"</{name}>"))).otherwise("")
     line = F.concat(
         F.format_string('<wpt lat="%s" lon="%s">', F.col("lat"), F.col("lon")), tag("time", time), tag("name", F.col("name")),
+        tag("description", F.col("description") if "description" in points.columns else F.lit(None).cast("string")),
         tag("sym", F.col("sym")), tag("type", F.coalesce("type", F.lit("WPT"))),
         F.when(F.col("guid").isNotNull(), F.concat(F.lit("<extensions><opencpn:guid>"), escape(F.col("guid")), F.lit("</opencpn:guid></extensions>"))).otherwise(""), F.lit("</wpt>"),
     )
@@ -37,6 +38,18 @@ def waypoints_gpx(points: DataFrame, by: list[str], seq: str = "seq") -> DataFra
     return _joined(points, by, seq, line, "\n").withColumn("text", F.concat(F.lit(head), "text", F.lit("\n</gpx>\n")))
 
 
+def points_gpx(points: DataFrame, by: list[str], name: str, kind: str = "trk", seq: str = "seq") -> DataFrame:
+    """GPX 1.1 documents of one track (``trk``: lat, lon, time) or route (``rte``: lat, lon, name, description) for each ``by``, called by column ``name``."""
+    tag = lambda label, value: F.when(value.isNotNull(), F.concat(F.lit(f"<{label}>"), escape(value), F.lit(f"</{label}>"))).otherwise("")
+    if kind == "trk":
+        point, inner, wrap = "trkpt", tag("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), ("<trkseg>\n", "\n</trkseg>")
+    else:
+        point, inner, wrap = "rtept", F.concat(tag("name", F.col("name")), tag("desc", F.col("description"))), ("", "")
+    line = F.concat(F.format_string(f'<{point} lat="%s" lon="%s">', F.col("lat"), F.col("lon")), inner, F.lit(f"</{point}>"))
+    head = F.concat(F.lit(f'<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">\n<{kind}>'), tag("name", F.col(name).cast("string")), F.lit("\n" + wrap[0]))
+    return _joined(points, by, seq, line, "\n").withColumn("text", F.concat(head, "text", F.lit(f"{wrap[1]}\n</{kind}>\n</gpx>\n")))
+
+
 def _cells(df: DataFrame, columns: list[str], make) -> list[Column]:
     return [make(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in columns]
 
@@ -48,6 +61,18 @@ def table_html(df: DataFrame, by: list[str], seq: str, columns: list[str]) -> Da
     return _joined(df, by, seq, line, "\n").withColumn("text", F.concat(F.lit(head), "text", F.lit("\n</table>\n")))
 
 
+def page_html(tables: DataFrame, by: list[str], title: Column, summary: dict[str, Column]) -> DataFrame:
+    """A page for each table of ``table_html`` (by, text): a heading, the summary as a list of terms, then the table."""
+    terms = F.concat(*(F.concat(F.lit(f"<dt>{name}</dt><dd>"), escape(value), F.lit("</dd>\n")) for name, value in summary.items()))
+    return tables.select(*by, F.concat(F.lit("<html>\n<h1>"), escape(title), F.lit("</h1>\n<dl>\n"), terms, F.lit("</dl>\n"), "text", F.lit("</html>\n")).alias("text"))
+
+
+def output_path(path: str, kind: str, suffix: str = "-legs") -> str:
+    """Where a document made from the file ``path`` goes: beside it, its ending changed."""
+    stem, dot, _ = path.rpartition(".")
+    return f"{stem if dot and '/' not in path[len(stem):] else path}{suffix}.{kind}"
+
+
 def table_markdown(df: DataFrame, by: list[str], seq: str, columns: list[str]) -> DataFrame:
     """A Markdown table for each document: the itinerary of a float plan."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *_cells(df, columns, lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))), F.lit(" |"))
@@ -56,8 +81,8 @@ def table_markdown(df: DataFrame, by: list[str], seq: str, columns: list[str]) -
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Every document's text, one after the other, by Spark's text writer."""
-    documents.select(F.col("text").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
+    """Every document's text in a file of its own below ``path``, by Spark's text writer."""
+    documents.select(F.col("text").alias("value")).write.mode("overwrite").option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_csv(df: DataFrame, path: str, by: list[str], order: list[str]) -> None:

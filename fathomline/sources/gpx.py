@@ -30,24 +30,24 @@ def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, seq, lat, lon, time. Segments follow each other without a break; a point without
+    """source_file, seq, track (its name), lat, lon, time. Segments follow each other without a break; a point without
     position or time is an error."""
-    rows = _xml(spark, path, "trk", f"trkseg array<struct<trkpt: array<struct<{_struct(POINT)}>>>>")
-    segments = rows.select("source_file", "place_", F.posexplode("trkseg").alias("s_", "seg"))
-    points = segments.select("source_file", "place_", "s_", F.posexplode("seg.trkpt").alias("p_", "p"))
+    rows = _xml(spark, path, "trk", f"name string, trkseg array<struct<trkpt: array<struct<{_struct(POINT)}>>>>")
+    segments = rows.select("source_file", "place_", F.col("name").alias("track"), F.posexplode("trkseg").alias("s_", "seg"))
+    points = segments.select("source_file", "place_", "track", "s_", F.posexplode("seg.trkpt").alias("p_", "p"))
     time = _required(F.try_to_timestamp("p.time"), "time").alias("time")
-    return _numbered(points.select("source_file", "place_", "s_", "p_", *_point("p"), time), ["place_", "s_", "p_"])
+    return _numbered(points.select("source_file", "place_", "s_", "p_", "track", *_point("p"), time), ["place_", "s_", "p_"])
 
 
 def read_routes(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, seq, name, lat, lon, description (from desc or description)."""
-    rows = _xml(spark, path, "rte", f"rtept array<struct<{_struct(POINT)}>>")
-    points = rows.select("source_file", "place_", F.posexplode("rtept").alias("p_", "p"))
-    return _numbered(points.select("source_file", "place_", "p_", F.col("p.name").alias("name"), *_point("p"), F.coalesce("p.desc", "p.description", F.lit("")).alias("description")), ["place_", "p_"])
+    """source_file, seq, route (its name), name, lat, lon, description (from desc or description)."""
+    rows = _xml(spark, path, "rte", f"name string, rtept array<struct<{_struct(POINT)}>>")
+    points = rows.select("source_file", "place_", F.col("name").alias("route"), F.posexplode("rtept").alias("p_", "p"))
+    return _numbered(points.select("source_file", "place_", "p_", "route", F.col("p.name").alias("name"), *_point("p"), F.coalesce("p.desc", "p.description", F.lit("")).alias("description")), ["place_", "p_"])
 
 
 def read_waypoints(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, seq, lat, lon, last_updated, name, sym, type, guid, extensions (map of element name to text or attribute)."""
+    """source_file, seq, lat, lon, last_updated, name, description, sym, type, guid, extensions (map of element name to text or attribute)."""
     schema = f"{POINT}, extensions variant"
     df = spark.read.format("xml").option("rowTag", "wpt").schema(schema).load(path)
     df = df.withColumns({"source_file": F.input_file_name(), "place_": F.monotonically_increasing_id()})
@@ -56,7 +56,7 @@ def read_waypoints(spark: SparkSession, path: str) -> DataFrame:
     guid = F.lower(F.coalesce(F.get_json_object(as_json, "$['opencpn:guid']"), F.get_json_object(as_json, "$.uuid"), F.get_json_object(as_json, "$['uuid']")))
     out = df.select(
         "source_file", "place_", F.col("_lat").try_cast("double").alias("lat"), F.col("_lon").try_cast("double").alias("lon"),
-        F.try_to_timestamp("time").alias("last_updated"), "name", "sym", "type", guid.alias("guid"), F.coalesce(flat, F.create_map().cast("map<string,string>")).alias("extensions"),
+        F.try_to_timestamp("time").alias("last_updated"), "name", F.coalesce("desc", "description").alias("description"), "sym", "type", guid.alias("guid"), F.coalesce(flat, F.create_map().cast("map<string,string>")).alias("extensions"),
     )
     return _numbered(out, ["place_"])
 

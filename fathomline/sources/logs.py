@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.angle import parse_angle
@@ -22,24 +24,68 @@ def match_header(names: list[str]) -> tuple[str, str, str] | None:
     return tuple(found) if all(found) else None
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, seq (from 0 in each file) and value of every line that isn't empty. A file is one track, so it is one group."""
+    lines = spark.read.text(path).filter("trim(value) <> ''").select(F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("place"), "value")
+    w = Window.partitionBy("source_file").orderBy("place")
+    return lines.select("source_file", (F.row_number().over(w) - 1).alias("seq"), "value", F.first("value").over(w).alias("head"))
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, quotes resolved; empty ones are null."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(parts, lambda x: F.nullif(F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), F.lit("")))
+
+
+def _place(names: Column, *begins: str) -> Column:
+    """The place (from 1) of the first name that begins so; 0: none."""
+
+    def first(begin: str) -> Column:
+        return F.nullif(F.array_position(F.transform(names, lambda n: F.startswith(F.lower(F.coalesce(n, F.lit(""))), F.lit(begin))), F.lit(True)), F.lit(0).cast("long"))
+
+    return F.coalesce(*map(first, begins), F.lit(0).cast("long"))
+
+
 def read_track_log(spark: SparkSession, path: str, default_date: str = "1970-01-01") -> DataFrame:
-    """source_file, seq, time, lat, lon, source_row (map), ok. A first line that names date (or time), latitude
-    and longitude is a header; else the columns are the fixed eleven. Rows that can't be read have ok false."""
-    first = spark.read.text(path).limit(1).first()
-    cells = [c.strip().strip('"') for c in (first[0] if first else "").split(",")]
-    matched = match_header(cells)
-    names = cells if matched else PLAIN_LOG
-    reader = spark.read.option("header", bool(matched)).option("mode", "PERMISSIVE").schema(", ".join(f"`{n}` string" for n in names))
-    df = reader.csv(path).withColumns({"source_file": F.input_file_name(), "seq": F.monotonically_increasing_id()})
-    date, lat, lon = matched or match_header(PLAIN_LOG)
-    row = F.map_from_arrays(F.array(*(F.lit(n) for n in names)), F.array(*(F.col(f"`{n}`") for n in names)))
-    out = df.select(
-        "source_file", "seq", parse_datetime(F.col(f"`{date}`"), F.lit(default_date).cast("date")).alias("time"),
-        parse_angle(F.col(f"`{lat}`")).alias("lat"), parse_angle(F.col(f"`{lon}`")).alias("lon"), row.alias("source_row"),
+    """source_file, seq, time, lat, lon, source_row (map), ok. Each file's first line decides for that file: if it names date (or time), latitude
+    and longitude it is a header, whatever their order; else the columns are the fixed eleven. Rows that can't be read have ok false."""
+    rows = _lines(spark, path).withColumns({"cells": _cells(F.col("value")), "names": _cells(F.col("head"))})
+    at = {k: F.array_position("names", F.lit(n)) for k, n in (("date", "date"), ("lat", "latitude"), ("lon", "longitude"))}
+    all_exact = (at["date"] > 0) & (at["lat"] > 0) & (at["lon"] > 0)
+    found = {"date": _place(F.col("names"), "date", "time"), "lat": _place(F.col("names"), "lat"), "lon": _place(F.col("names"), "lon")}
+    rows = rows.withColumns({f"at_{k}": F.when(all_exact, at[k]).otherwise(found[k]) for k in at})
+    has_header = (F.col("at_date") > 0) & (F.col("at_lat") > 0) & (F.col("at_lon") > 0)
+    rows = rows.withColumn("has_header", has_header)
+    plain = F.array(*(F.lit(n) for n in PLAIN_LOG))
+    rows = rows.withColumn("names", F.when(F.col("has_header"), F.filter("names", lambda n: n.isNotNull())).otherwise(plain))
+    # A name that stands twice keeps its number the second time.
+    names = F.transform("names", lambda n, i: F.when(F.array_position("names", n) == i + 1, n).otherwise(F.concat_ws("_", n, i + 1)))
+    rows = rows.withColumn("source_row", F.map_from_arrays(names, F.transform("names", lambda _, i: F.get("cells", i))))
+    cell = lambda k, fixed: F.get("cells", F.when(F.col("has_header"), F.col(f"at_{k}")).otherwise(F.lit(fixed)).cast("int") - 1)
+    rows = rows.filter(~(F.col("has_header") & (F.col("seq") == 0))).withColumns({f"{k}_text": F.trim(cell(k, n)) for k, n in (("date", 1), ("lat", 2), ("lon", 3))})
+    out = rows.select(
+        "source_file", (F.col("seq") - F.col("has_header").cast("int")).alias("seq"), parse_datetime(F.col("date_text"), F.lit(default_date).cast("date")).alias("time"),
+        parse_angle(F.col("lat_text")).alias("lat"), parse_angle(F.col("lon_text")).alias("lon"), "source_row",
     )
     return out.withColumn("ok", F.col("time").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {".csv": read_track_log}
+
+
+def register_reader(ending: str, reader: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Files whose names end so are read by ``reader`` from now on; it gives time, lat and lon among its columns."""
+    READERS[ending.lower()] = reader
+
+
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """A track by the reader of its file's ending."""
+    found = [r for ending, r in READERS.items() if path.lower().rstrip("/").endswith(ending)]
+    if not found:
+        raise ValueError(f"no reader for {path}; known endings: {', '.join(sorted(READERS))}")
+    return found[0](spark, path)
+
+
 def good(log: DataFrame) -> DataFrame:
     return log.filter("ok").drop("ok")
 
@@ -49,11 +95,19 @@ def rejected(log: DataFrame) -> DataFrame:
     return log.filter(~F.col("ok")).select("source_file", "seq", "source_row")
 
 
-def read_route_csv(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, seq, name, lat, lon, description from four columns without a header; other shapes are an error."""
-    df = spark.read.option("mode", "FAILFAST").schema("name string, lat string, lon string, description string").csv(path)
-    df = df.withColumns({"source_file": F.input_file_name(), "seq": F.monotonically_increasing_id()})
-    return df.select("source_file", "seq", "name", parse_angle(F.col("lat")).alias("lat"), parse_angle(F.col("lon")).alias("lon"), F.coalesce("description", F.lit("")).alias("description"))
+def read_route_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """source_file, seq, name, lat, lon, description from four columns without a header. Other shapes and angles
+    that can't be read are an error; without ``strict`` such angles are null."""
+    rows = _lines(spark, path).withColumn("cells", _cells(F.col("value")))
+    shape = F.size("cells") != 4
+
+    def angle(k: int) -> Column:
+        text = F.get("cells", F.lit(k))
+        value = parse_angle(text)
+        return F.when(value.isNull(), F.raise_error(F.concat(F.lit("cannot read the angle "), F.coalesce(text, F.lit("null"))))).otherwise(value) if strict else value
+
+    name = F.when(shape, F.raise_error(F.concat(F.lit("not four columns: "), "value"))).otherwise(F.get("cells", F.lit(0)))
+    return rows.select("source_file", "seq", name.alias("name"), angle(1).alias("lat"), angle(2).alias("lon"), F.coalesce(F.get("cells", F.lit(3)), F.lit("")).alias("description"))
 
 
 def route_tables(texts: DataFrame) -> DataFrame:
@@ -77,7 +131,7 @@ def read_route_table(spark: SparkSession, path: str) -> DataFrame:
 def route_legs(tables: DataFrame, include_leg0: bool = False) -> DataFrame:
     """Typed legs of route tables: source_file, seq and the leg's columns. Leg 0 (``---``) is the way to the
     start and is left out unless asked for."""
-    rows = tables.select("source_file", F.split(F.get("leg_lines", 0), "\t").alias("header"), F.posexplode(F.slice("leg_lines", 2, 1_000_000)).alias("seq", "line"))
+    rows = tables.select("source_file", F.split(F.get("leg_lines", 0), "\t").alias("header"), F.posexplode(F.slice("leg_lines", F.lit(2), F.greatest(F.size("leg_lines"), F.lit(1)))).alias("seq", "line"))
     cells = F.split("line", "\t")
 
     def cell(name: str):

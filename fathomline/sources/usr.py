@@ -13,7 +13,7 @@ import struct
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import POLAR
@@ -98,15 +98,18 @@ def _plain(record: dict, layout: list) -> dict:
     return out
 
 
-def read_usr(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: source_file and the nested record."""
+def decode_files(files: DataFrame) -> DataFrame:
+    """One row per file of (source_file, content): source_file and the nested record."""
 
     @F.pandas_udf(schema())
     def run(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_plain(decode(bytes(x)), LAYOUT) for x in content], columns=[n for n, _ in LAYOUT])
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("source_file"), run("content").alias("usr")).select("source_file", "usr.*")
+    return files.select("source_file", run("content").alias("usr")).select("source_file", "usr.*")
+
+
+def read_usr(spark: SparkSession, path: str) -> DataFrame:
+    return decode_files(spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content"))
 
 
 def with_symbol(rows: DataFrame) -> DataFrame:
@@ -131,6 +134,22 @@ def usr_routes(usr: DataFrame) -> DataFrame:
     return legs.join(points, ["source_file", "uuid"], "left")
 
 
+def hex_lines(files: DataFrame, width: int = 16) -> DataFrame:
+    """source_file, offset, hex, text: the bytes of each file, ``width`` a line; what can't be printed is a dot."""
+    pairs = F.regexp_replace(F.lower(F.hex("content")), "(..)", "$1 ")
+    offsets = F.sequence(F.lit(0), F.greatest(F.octet_length("content") - 1, F.lit(0)), F.lit(width))
+    rows = files.filter(F.octet_length("content") > 0).select("source_file", pairs.alias("pairs"), F.decode("content", "ISO-8859-1").alias("letters"), F.explode(offsets).alias("offset"))
+    line = F.trim(F.substring("pairs", F.col("offset") * 3 + 1, F.lit(3 * width)))
+    text = F.regexp_replace(F.substring("letters", F.col("offset") + 1, F.lit(width)), r"[^\x20-\x7e]", ".")
+    return rows.select("source_file", "offset", line.alias("hex"), text.alias("text"))
+
+
+def little_endian(content: Column) -> Column:
+    """The whole number of up to seven bytes, the lowest first."""
+    digits = F.split(F.regexp_replace(F.hex(content), "(..)", "$1 "), " ")
+    return F.aggregate(F.reverse(F.filter(digits, lambda x: x != "")), F.lit(0).cast("long"), lambda acc, x: acc * 256 + F.conv(x, 16, 10).cast("long"))
+
+
 def layout_table(spark: SparkSession) -> DataFrame:
     """name, format, size of every field; nested names are joined by `` - ``."""
     rows: list[tuple] = []
