@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-SETTING = "spark.checkpoint.dir"
+from ..scratch import fresh_path, settle
 
+KEPT = "kept"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
-    """
-    found = spark.conf.get(SETTING, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="fathomline-")
-        spark.conf.set(SETTING, found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``settle``, but as packed Parquet: for tables of many rows."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder for a table or files of one run."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def carry(docs: DataFrame, keep: list[str], *own: Column) -> DataFrame:
+    """The caller's columns ``keep`` as one struct, ``KEPT``, beside the operator's own columns: whatever the caller's
+    are called, none of them meets an inner one."""
+    return docs.select(F.struct(*(named(c).alias(c) for c in keep)).alias(KEPT), *own)
+
+
+def give_back(df: DataFrame, keep: list[str], *more: Column) -> DataFrame:
+    """The caller's columns as they were, then ``more``."""
+    return df.select(*(F.col(KEPT).getField(c).alias(c) for c in keep), *more)
+
+
+def text_of(docs: DataFrame) -> Column:
+    return named("text").cast("string").alias("text")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -52,9 +55,7 @@ def utf8(values: pa.Array) -> list[bytes]:
     return [x or b"" for x in values.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(
-    df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]
-) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with a function that is built once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,3 +65,15 @@ def map_batches(
                 yield step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def map_carried(df: DataFrame, added: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+    """``KEPT`` passes through; the function gives the columns ``added`` (a DDL string) of each batch."""
+    fields = StructType.fromDDL(added).fields
+    names = [KEPT, *(f.name for f in fields)]
+
+    def build():
+        step = make()
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(KEPT), *step(batch)], names=names)
+
+    return map_batches(df, StructType([df.schema[KEPT], *fields]), build)
