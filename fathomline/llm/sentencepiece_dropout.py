@@ -1,20 +1,23 @@
 """SentencePiece BPE with seeded merge-dropout.
 
 Merges come from a public SentencePiece model. The agenda holds candidate merges by score;
-each candidate that is popped is skipped if a keyed hash of seed, stream, text and place
-falls below the dropout rate, so one seed always gives one segmentation and other seeds
-give others. No piece of the model goes on after a word end, so merges never cross one: the
-agenda runs over units (a word with the blanks before it). Each occurrence of a
-unit has its own hash stream (one of ``streams``, 2^32), drawn by a keyed hash of the text and the
-occurrence, so every candidate of every occurrence is skipped or not by itself. What is remembered, in
-a bounded table, is independent of that: the segmentation and the number of candidates popped,
-by the unit and the places of the skipped ones.
+each candidate that is popped is skipped if a keyed hash of seed, text, occurrence and place (where its
+two symbols begin and end in the unit) falls below the dropout rate, so one seed always gives one
+segmentation and other seeds give others. No piece of the model goes on after a word end, so merges never
+cross one: the agenda runs over units (a word with the blanks before it), and every occurrence of a
+unit in a text draws for itself.
+
+What is remembered, in a bounded table, depends on no draw: for a unit and a set of skipped
+candidates, the segmentation and the places popped on the way, as a tree whose branches are further skips.
+An occurrence walks from the unit's root: it draws for the places of its node, goes on to the branch of the
+first skipped one, and ends where nothing more is skipped. A branch not met before is computed by the
+agenda, many units in step.
 
 Characters the model lacks become byte pieces, and so does the model's own blank sign where
 a text holds it, so decoding gives back every text exactly.
 
-Defined cases: null text is empty and has no ids; equal texts get equal ids; an empty
-table gives an empty result; further columns are ignored.
+Defined cases: null text is empty and has no ids; equal texts get equal ids; texts of any length are encoded whole; an
+empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ import hashlib
 import heapq
 import re
 import zlib
-from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +35,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, text_of
 
 BLANK = "▁"
 UNITS = re.compile(" *[^ \n▁]+| +|\n|▁")
-GOLDEN = 0x9E3779B97F4A7C15
-MIX = 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
+# Odd multipliers and the finalizer of the published splitmix64 generator.
+GOLDEN, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+BEGIN, END = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 NEVER = float("-inf")
 SHORT = 48
 NONE = np.iinfo(np.int32).max
 IN_STEP = 4_096
-STREAMS = 1 << 32
-WORD = 21  # characters of a unit of which at most 3 * 20 candidates are popped: the skipped ones fit 64 bits
-ALONE = b"\xff"  # remembered of units with unknown characters
+WORD = 21  # characters of a remembered unit: at most 3 * 20 candidates are popped, so the skipped ones fit 64 bits
+UNKNOWN, ALONE = -1, -2
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ z >> np.uint64(30)) * np.uint64(FIRST)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(SECOND)
+    return z ^ z >> np.uint64(31)
+
+
+def draw(key: int, begin: int, end: int) -> int:
+    """The keyed hash of the candidate whose symbols begin and end at these characters of the unit."""
+    z = key + begin * BEGIN + end * END & MASK
+    z = (z ^ z >> 30) * FIRST & MASK
+    z = (z ^ z >> 27) * SECOND & MASK
+    return z ^ z >> 31
+
+
+PLACE = (np.arange(1 << 16, dtype=np.uint64) >> np.uint64(8)) * np.uint64(BEGIN) + (np.arange(1 << 16, dtype=np.uint64) & np.uint64(255)) * np.uint64(END)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -54,15 +74,79 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.used = np.zeros(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.used + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(end, self.used // 2), self.data.dtype)])
+        self.data[self.used : end] = values
+        self.used = end
+
+    def now(self) -> np.ndarray:
+        return self.data[: self.used]
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all slices start .. start + size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Paths:
+    """Remembered nodes: a unit and its skipped candidates."""
+
+    def __init__(self):
+        self.root: dict[str, int] = {}
+        self.units: list[str] = []
+        self.unit, self.skipped = Pool(np.int32), Pool(np.uint64)
+        self.at, self.size = Pool(np.int64), Pool(np.int64)  # of the places popped
+        self.ids_at, self.ids_size = Pool(np.int64), Pool(np.int64)
+        self.places, self.branch, self.ids = Pool(np.uint16), Pool(np.int32), Pool(np.int32)
+        self.visits = Pool(np.int32)
+
+    def __len__(self) -> int:
+        return self.unit.used
+
+    def add(self, unit: np.ndarray, skipped: np.ndarray, ids: np.ndarray, ids_size: np.ndarray, places: np.ndarray, size: np.ndarray) -> np.ndarray:
+        first = len(self)
+        self.at.extend(self.places.used + np.cumsum(size) - size)
+        self.ids_at.extend(self.ids.used + np.cumsum(ids_size) - ids_size)
+        for pool, values in ((self.unit, unit), (self.skipped, skipped), (self.size, size), (self.ids_size, ids_size), (self.ids, ids), (self.places, places), (self.visits, np.zeros(len(unit)))):
+            pool.extend(values)
+        self.branch.extend(np.full(len(places), UNKNOWN))
+        return np.arange(first, len(self), dtype=np.int32)
+
+    def thinned(self) -> Paths:
+        """What was visited twice since it was last thinned; a branch is visited no oftener than where it leaves from."""
+        keep = np.flatnonzero(self.visits.now() > 1)
+        new = np.full(len(self) + 1, UNKNOWN, np.int32)
+        new[keep] = np.arange(len(keep))
+        out = Paths()
+        roots = {u: int(new[n]) for u, n in self.root.items() if n >= 0 and new[n] >= 0}
+        number = np.zeros(len(self.units), np.int32)
+        number[self.unit.data[[int(keep[n]) for n in roots.values()]]] = np.arange(len(roots))
+        out.root, out.units = roots, list(roots)
+        at, size, ids_at, ids_size = (p.data[keep] for p in (self.at, self.size, self.ids_at, self.ids_size))
+        there = spread(at, size)
+        out.add(number[self.unit.data[keep]], self.skipped.data[keep], self.ids.data[spread(ids_at, ids_size)], ids_size, self.places.data[there], size)
+        out.branch.data[: out.branch.used] = new[self.branch.data[there]]  # UNKNOWN is the last place
+        return out
+
+
 class DropoutBPE:
     """Encoder and decoder of one model, seed and rate."""
 
-    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = STREAMS, remembered: int = 600_000):
+    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, remembered: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
-        self.rate, self.seed, self.streams, self.remembered = rate, seed, streams if rate else 1, remembered
-        self.limit = int(rate * (1 << 64))
+        self.rate, self.seed, self.remembered = rate, seed & MASK, remembered
+        self.limit = min(int(rate * (1 << 64)), MASK)
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.byte = [0] * 256
@@ -81,13 +165,20 @@ class DropoutBPE:
                 self.score[plain], self.id[plain] = sp.get_score(i), i
                 self.raw.append(plain.encode())
         self._pair_tables()
-        self.memory: dict[str, bytes] = {}  # ids, and a byte for the candidates popped
-        self.older: dict[str, bytes] = {}  # the generation before; what is met again moves up
+        self.paths = Paths()
+
+    def keys(self, text: str, n: int) -> list[int]:
+        """The hash keys of a text's ``n`` units."""
+        return self._keys([text], [n]).tolist()
+
+    def _keys(self, texts: list[str], counts: list[int]) -> np.ndarray:
+        digest, seed, sizes = xxhash.xxh64_intdigest, self.seed, np.array(counts, np.int64)
+        of_text = np.array([digest(t.encode("utf-8", "surrogatepass"), seed) for t in texts], np.uint64)
+        return mixed(np.repeat(of_text, sizes) + (spread(np.ones(len(sizes), np.int64), sizes)).astype(np.uint64) * np.uint64(GOLDEN))
 
-    def unit(self, unit: str, stream: int) -> list[int]:
-        """Ids of one unit in one hash stream, by the agenda."""
+    def unit(self, unit: str, key: int) -> list[int]:
+        """Ids of one occurrence of a unit, by the agenda."""
         # The model's blank sign is a space in these tables, so a text's own sign is an unknown character.
-        key = xxhash.xxh64_intdigest(unit, (self.seed * self.streams + stream) & MASK) if self.limit else 0
         pieces = self._short(unit, key) if len(unit) <= SHORT else self._long(unit, key)
         try:
             return [self.id[x] for x in pieces]
@@ -95,22 +186,21 @@ class DropoutBPE:
             return [i for x in pieces for i in ((self.id[x],) if x in self.id else (self.byte[b] for b in x.encode()))]
 
     def _short(self, text: str, key: int) -> list[str]:
-        """The agenda as a list beside the symbols: quick for words."""
+        """The agenda as a list beside the symbols."""
         score, limit = self.score.get, self.limit
         symbols = list(text)
+        begin = list(range(len(text) + 1))
         agenda = [score(a + b, NEVER) for a, b in zip(text, text[1:])]
         while agenda:
             best = max(agenda)
             if best == NEVER:
                 break
             k = agenda.index(best)
-            if limit:
-                key = key * MIX + GOLDEN & MASK
-                if key < limit:
-                    agenda[k] = NEVER  # the keyed hash skips this merge
-                    continue
+            if limit and draw(key, begin[k], begin[k + 2]) < limit:
+                agenda[k] = NEVER  # the keyed hash skips this merge
+                continue
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-            del agenda[k]
+            del agenda[k], begin[k + 1]
             if k < len(agenda):
                 agenda[k] = score(symbols[k] + symbols[k + 1], NEVER)
             if k:
@@ -135,12 +225,8 @@ class DropoutBPE:
             propose(k)
         while agenda:
             _, a, b, e = heapq.heappop(agenda)
-            if ends[a] != b or ends[b] != e:
+            if ends[a] != b or ends[b] != e or limit and draw(key, a, e) < limit:
                 continue
-            if limit:
-                key = key * MIX + GOLDEN & MASK
-                if key < limit:
-                    continue
             ends[a], ends[b] = e, 0
             if e < n:
                 before[e] = a
@@ -170,8 +256,8 @@ class DropoutBPE:
         return made
 
     def _slot(self, wanted: np.ndarray) -> np.ndarray:
-        mixed = wanted.astype(np.uint64) * np.uint64(GOLDEN)
-        return (mixed >> np.uint64(40)).astype(np.int64) & self.pair_mask
+        scattered = wanted.astype(np.uint64) * np.uint64(GOLDEN)
+        return (scattered >> np.uint64(40)).astype(np.int64) & self.pair_mask
 
     def _pair_tables(self) -> None:
         """Every way to split a piece into two pieces, and the pieces' places in the order of scores."""
@@ -195,43 +281,18 @@ class DropoutBPE:
             if len(c) == 1:
                 self.symbol[ord(c)] = i
 
-    def units(self, units: list[str], streams: list[int]) -> list[bytes]:
-        """Packed ids of many units, each in its hash stream; agendas of short units are popped in step."""
-        keys = None
-        if self.limit:
-            keys = np.array([xxhash.xxh64_intdigest(u, (self.seed * self.streams + s) & MASK) for u, s in zip(units, streams)], np.uint64)
-        out, _, alone = self._short_units(units, keys, None)
-        for i in alone:
-            out[i] = array("i", self.unit(units[i], streams[i])).tobytes()
-        return out
+    def _symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First symbols and lengths of the units all of whose characters the model has, and which those are."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
+        symbols = self.symbol[np.minimum(points, len(self.symbol) - 1)]
+        whole = np.minimum.reduceat(symbols, np.cumsum(sizes) - sizes) >= 0
+        return symbols[np.repeat(whole, sizes)], sizes[whole], whole
 
-    def _short_units(self, units: list[str], keys: np.ndarray | None, skips: np.ndarray | None) -> tuple[list[bytes], np.ndarray, list[int]]:
-        """Packed ids, numbers of candidates popped, and the places of units that are long or have unknown characters."""
-        out: list[bytes] = [b""] * len(units)
-        popped = np.zeros(len(units), np.int64)
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        order = np.argsort(lengths, kind="stable")
-        order = order[: np.count_nonzero(lengths <= SHORT)].tolist()
-        alone = np.ones(len(units), bool)
-        for k in range(0, len(order), IN_STEP):
-            part = order[k : k + IN_STEP]
-            sizes = lengths[part]
-            points = np.frombuffer("".join([units[i] for i in part]).encode("utf-32-le", "surrogatepass"), "<u4")
-            symbols = self.symbol[np.minimum(points, len(self.symbol) - 1)]
-            whole = np.minimum.reduceat(symbols, np.cumsum(sizes) - sizes) >= 0
-            symbols, sizes = symbols[np.repeat(whole, sizes)], sizes[whole]
-            part = [i for i, w in zip(part, whole.tolist()) if w]  # units with unknown characters go one by one
-            if not part:
-                continue
-            ids, counts, popped[part] = self._in_step(symbols, sizes, None if keys is None else keys[part], None if skips is None else skips[part])
-            data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            for i, a, b in zip(part, [0, *ends], ends):
-                out[i] = data[a:b]
-            alone[part] = False
-        return out, popped, np.flatnonzero(alone).tolist()
-
-    def _in_step(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, skips: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The agendas of many units as columns of one table: each round pops the best candidate of every
+    def _in_step(self, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, skips: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Packed ids and their numbers, and the places popped and their numbers, of units of at most ``SHORT`` characters.
+
+        The agendas are columns of one table: each round pops the best candidate of every
         column, skips it (by its keyed hash, or where the round's bit in ``skips`` is set) or merges. An entry is the score's place and the row, so ties
         go to the left as in the agenda of one unit."""
         n, height = len(sizes), int(sizes.max())
@@ -248,28 +309,33 @@ class DropoutBPE:
         after[sizes - 1, cols] = height
         before = np.repeat(np.arange(-1, height)[:, None], n, 1).astype(np.int8)
         popped = np.zeros(n, np.int64)
-        live, turn = cols, 0
+        rounds: list[np.ndarray] = []
+        live = cols
         while len(live):
             best = agenda.min(0) if len(live) == agenda.shape[1] else agenda[:, live].min(0)
             going = best < NONE
             if not going.all():
                 live, best = live[going], best[going]
+                if not len(live):
+                    break
             k = best % (SHORT + 16)
-            merging = live
+            right = after[k, live]
+            end = after[right, live]
+            place = np.zeros(n, np.uint16)
+            place[live] = k << 8 | np.minimum(end, sizes[live])
+            rounds.append(place)
             agenda[k, live] = NONE
             popped[live] += 1
-            if skips is not None:
-                kept = skips[live] >> np.uint64(turn) & np.uint64(1) == 0
-                merging, k, turn = live[kept], k[kept], turn + 1
-            elif keys is not None:
-                keys[live] = keys[live] * np.uint64(MIX) + np.uint64(GOLDEN)
-                kept = keys[live] >= np.uint64(self.limit)
-                merging, k = live[kept], k[kept]
-            right = after[k, merging]
+            merging = live
+            if skips is not None or keys is not None:
+                if skips is not None:
+                    kept = skips[live] >> np.uint64(len(rounds) - 1) & np.uint64(1) == 0
+                else:
+                    kept = mixed(keys[live] + PLACE[place[live]]) >= np.uint64(self.limit)
+                merging, k, right, end = live[kept], k[kept], right[kept], end[kept]
             table[k, merging] = made[k, merging]
             table[right, merging] = -1
             agenda[right, merging] = NONE
-            end = after[right, merging]
             after[k, merging] = end
             before[end, merging] = k
             left = before[k, merging]
@@ -281,105 +347,134 @@ class DropoutBPE:
             made[a, at] = new
             agenda[a, at] = np.where(new >= 0, self.rank[new] + a, NONE)
         present = (table[:-1] >= 0).T
-        return table[:-1].T[present], present.sum(1), popped
+        places = np.stack(rounds, 1)[np.arange(len(rounds)) < popped[:, None]] if rounds else np.zeros(0, np.uint16)
+        return table[:-1].T[present], present.sum(1), places, popped
 
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed([text])[0], "<i4").tolist()
+    def _by_length(self, sizes: np.ndarray):
+        order = np.argsort(sizes, kind="stable")
+        for k in range(0, len(order), IN_STEP):
+            yield order[k : k + IN_STEP]
+
+    def _compute(self, numbers: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """New nodes of remembered units (by their numbers in ``paths.units``) with these skipped candidates."""
+        units, out = self.paths.units, np.zeros(len(numbers), np.int32)
+        for part in self._by_length(np.fromiter((len(units[i]) for i in numbers.tolist()), np.int64, len(numbers))):
+            symbols, sizes, _ = self._symbols([units[i] for i in numbers[part].tolist()])
+            out[part] = self.paths.add(numbers[part], skipped[part], *self._in_step(symbols, sizes, None, skipped[part]))
+        return out
 
-    def _chosen(self, text: str, n: int) -> list[int]:
-        """The hash streams of a text's units."""
-        if self.streams == 1:
-            return [0] * n
-        key = xxhash.xxh64_intdigest(text.encode(), self.seed & MASK)
-        places = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(key)
-        places ^= places >> np.uint64(31)
-        places *= np.uint64(MIX)
-        return ((places >> np.uint64(32)) % np.uint64(self.streams)).tolist()
-
-    def _recall(self, wanted: list[str]) -> list[bytes]:
-        """What is remembered of units, or of units, a line end and the skipped candidates as a hexadecimal number."""
-        memory, older = self.memory, self.older
-        found = list(map(memory.get, wanted))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for w in {wanted[i] for i in lacking}:
-            if w in older:  # what is met again moves up
-                memory[w] = older[w]
-            else:
-                new.append(w)
-        split = [(w, "0") if w == "\n" else (w.partition("\n")[0], w.partition("\n")[2] or "0") for w in new]
-        made, popped, alone = self._short_units([u for u, _ in split], None, np.array([int(x, 16) for _, x in split], np.uint64))
-        memory.update((w, x + bytes((n,))) for w, x, n in zip(new, made, popped.tolist()))
-        memory.update((new[i], ALONE) for i in alone)
-        for i in lacking:
-            found[i] = memory[wanted[i]]
-        return found
+    def _learn(self, units: list[str]) -> None:
+        """Roots of units not met before; those with unknown characters go by themselves each time."""
+        paths = self.paths
+        whole = self._symbols(units)[2]
+        paths.root.update((units[i], ALONE) for i in np.flatnonzero(~whole).tolist())
+        known = [units[i] for i in np.flatnonzero(whole).tolist()]
+        first = len(paths.units)
+        paths.units += known
+        if known:
+            made = self._compute(np.arange(first, first + len(known)), np.zeros(len(known), np.uint64))
+            paths.root.update(zip(known, made.tolist()))
+
+    def _walk(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Where each occurrence ends: past the branches of all candidates that its hashes skip."""
+        paths, limit = self.paths, np.uint64(self.limit)
+        node, done = node.copy(), np.zeros(len(node), np.int64)
+        live = np.arange(len(node))
+        while len(live):
+            np.add.at(paths.visits.data, node[live], 1)
+            sizes = paths.size.data[node[live]] - done[live]
+            places = spread(paths.at.data[node[live]] + done[live], sizes)
+            of = np.repeat(live, sizes)
+            hit = np.flatnonzero(mixed(key[of] + PLACE[paths.places.data[places]]) < limit)
+            of = of[hit]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            live, slot = of[first], places[hit[first]]
+            goes = paths.branch.data[slot]
+            if (goes == UNKNOWN).any():
+                new, where = np.unique(slot[goes == UNKNOWN], return_index=True)
+                leaves = node[live[goes == UNKNOWN][where]]
+                turn = (new - paths.at.data[leaves]).astype(np.uint64)
+                made = self._compute(paths.unit.data[leaves], paths.skipped.data[leaves] | np.uint64(1) << turn)
+                paths.branch.data[new] = made
+                goes = paths.branch.data[slot]
+            done[live] = slot - paths.at.data[node[live]] + 1
+            node[live] = goes
+        return node
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
-        if len(self.memory) >= self.remembered:
-            self.older, self.memory = self.memory, {}
+        if len(self.paths) >= self.remembered:
+            self.paths = self.paths.thinned()
+            if len(self.paths) >= self.remembered // 2:
+                self.paths = Paths()
         units: list[str] = []
-        streams: list[int] = []
-        ends = []
+        counts = []
         for text in texts:
             own = UNITS.findall(" " + text) if text else []
             units += own
-            streams += self._chosen(text, len(own)) if own else []
-            ends.append(len(units))
-        found: list[bytes] = [b""] * len(units)
-        words = [i for i, u in enumerate(units) if len(u) <= WORD]
-        alone = [i for i, u in enumerate(units) if len(u) > WORD]
-        for i, x in zip(words, self._recall([units[i] for i in words])):
-            found[i] = x
-        alone += [i for i in words if found[i] is ALONE]
+            counts.append(len(own))
+        if not units:
+            return [b""] * len(texts)
+        key = self._keys(texts, counts)
+        root = self.paths.root.get
+        node = np.fromiter(map(root, units, repeat(UNKNOWN)), np.int32, len(units))
+        lacking = np.flatnonzero(node == UNKNOWN).tolist()
+        if lacking:
+            new = dict.fromkeys(units[i] for i in lacking if len(units[i]) <= WORD)
+            if new:
+                self._learn(list(new))
+            node[lacking] = [root(units[i], ALONE) for i in lacking]
+        apart = np.flatnonzero(node == ALONE)
+        shared = np.flatnonzero(node >= 0)
+        where = node[shared]
         if self.limit:
-            self._skip(units, streams, [i for i in words if found[i][-1] and found[i] is not ALONE], found)
-        found = [x[:-1] for x in found]
-        for i, x in zip(alone, self.units([units[i] for i in alone], [streams[i] for i in alone])):
-            found[i] = x
-        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
-
-    def _skip(self, units: list[str], streams: list[int], at: list[int], found: list[bytes]) -> None:
-        """Draw the skipped candidates of the occurrences ``at`` and replace what was found where there are any."""
-        base, digest = self.seed * self.streams, xxhash.xxh64_intdigest
-        key = np.array([digest(units[i], (base + streams[i]) & MASK) for i in at], np.uint64)
-        turn, skips = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
-        place = np.array(at, np.int64)
-        while len(place):
-            popped = np.fromiter((found[i][-1] for i in place.tolist()), np.int64, len(place))
-            live = np.flatnonzero(turn < popped)
-            hits = []
-            while len(live):
-                key[live] = key[live] * np.uint64(MIX) + np.uint64(GOLDEN)
-                turn[live] += 1
-                skipped = key[live] < np.uint64(self.limit)
-                hits.append(live[skipped])
-                live = live[~skipped]
-                live = live[turn[live] < popped[live]]
-            hit = np.concatenate([np.zeros(0, np.int64), *hits])
-            key, turn, skips, place = key[hit], turn[hit], skips[hit], place[hit]
-            skips |= np.uint64(1) << (turn - 1).astype(np.uint64)
-            again = place.tolist()
-            for i, x in zip(again, self._recall([f"{units[i]}\n{m:x}" for i, m in zip(again, skips.tolist())])):
-                found[i] = x
+            where = self._walk(where, key[shared])
+        paths = self.paths
+        sizes = np.zeros(len(units), np.int64)
+        sizes[shared] = paths.ids_size.data[where]
+        alone = self._apart([units[i] for i in apart.tolist()], key[apart])
+        sizes[apart] = [len(x) for x in alone]
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(ends[-1]), "<i4")
+        out[spread(ends[shared] - sizes[shared], sizes[shared])] = paths.ids.data[spread(paths.ids_at.data[where], sizes[shared])]
+        for end, ids in zip(ends[apart].tolist(), alone):
+            out[end - len(ids) : end] = ids
+        last = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
+        return [out[a:b].tobytes() for a, b in zip([0, *last], last)]
+
+    def _apart(self, units: list[str], key: np.ndarray) -> list:
+        """Occurrences that are not remembered: long units, and units with unknown characters."""
+        out: list = [None] * len(units)
+        middle = [i for i, u in enumerate(units) if WORD < len(u) <= SHORT]
+        for part in self._by_length(np.fromiter((len(units[i]) for i in middle), np.int64, len(middle))):
+            at = np.array(middle)[part]
+            symbols, sizes, whole = self._symbols([units[i] for i in at.tolist()])
+            if len(sizes):
+                ids, n, _, _ = self._in_step(symbols, sizes, key[at[whole]] if self.limit else None, None)
+                ends = np.cumsum(n).tolist()
+                for i, a, b in zip(at[whole].tolist(), [0, *ends], ends):
+                    out[i] = ids[a:b]
+        return [self.unit(units[i], int(key[i])) if x is None else x for i, x in enumerate(out)]
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode() if ids else ""
 
 
 @lru_cache(maxsize=2)
-def _model(path: str | None, rate: float, seed: int, streams: int) -> DropoutBPE:
+def _model(path: str | None, rate: float, seed: int) -> DropoutBPE:
     """One model for all tasks of a Python worker, with what it remembers."""
-    return DropoutBPE(path, rate, seed, streams)
+    return DropoutBPE(path, rate, seed)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, streams: int = STREAMS, at_once: int = 1 << 18) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, at_once: int = 1 << 19) -> DataFrame:
     """Columns doc_id, ids, n_tokens, ids_crc32 (over 32-bit little-endian ids), lossless (decoding gave
     the text) and decoded_sha256. ``at_once``: characters encoded together."""
 
     def make():
-        model = _model(path, rate, seed, streams)
+        model = _model(path, rate, seed)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -406,5 +501,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs))
     return map_batches(rows, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, lossless boolean, decoded_sha256 string", make)
