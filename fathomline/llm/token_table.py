@@ -1,14 +1,16 @@
 """Token-ID output: Parquet list columns with chosen encodings, row groups and page indexes.
 
-Documents are dealt by doc_id ranges, tokenized where they lie, and written in ascending
-doc_id order (ties: by text) as columns ``shard, doc_id, n_tokens, tokens``. Row groups and pages are
+Documents are dealt by ranges of doc_id, tokenized where they lie, and written in ascending
+doc_id order (ties: by the text's hash, then as they came) as columns ``shard, ahead, doc_id, n_tokens, tokens``; ``ahead``
+counts the ids of the shard before the row. Row groups and pages are
 sized by parameters; the writer adds column and offset indexes, so a reader can take a
 range of documents, or only the metadata columns, without touching other pages. Token
 lists are dictionary-encoded by default and delta-encoded with ``encoding="delta"``.
 
 Defined cases: null text is empty (it holds the end id alone); null doc_id sorts first;
-repeated rows are kept, each with its own place; an empty table gives an empty result;
-further columns are ignored.
+repeated rows are kept, each with its own place in the file, and a doc_id of very many rows is dealt to several
+shards; texts of any length are encoded whole; an empty table gives an empty result;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _lists(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
@@ -144,33 +146,39 @@ def _memory(path: str, remembered: int) -> WordMemory:
     return WordMemory(path, remembered)
 
 
-def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 1 << 18, remembered: int = 700_000) -> DataFrame:
-    """Columns shard (the partition), doc_id, n_tokens, tokens; row order is kept. ``at_once``: characters encoded together."""
+def tokenize(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, at_once: int = 1 << 18, remembered: int = 450_000) -> DataFrame:
+    """Columns shard (the partition), ahead (ids of the partition before the row), doc_id, n_tokens, tokens; row order is kept.
+    ``at_once``: characters encoded together."""
     path = vocabulary or tokenizer_path()
     end = np.array([end_id], "<i4").tobytes()
+    names = ["shard", "ahead", "doc_id", "n_tokens", "tokens"]
 
     def make():
         model = _memory(path, remembered)
+        before = 0  # a task is one partition, its batches come in order
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal before
             found: list[bytes] = []
             group: list[str] = []
             held = 0
             for text in batch.column("text").to_pylist():
-                group.append(text or "")
-                held += len(group[-1])
+                group.append(text)
+                held += len(text)
                 if held >= at_once:
                     found += model.encode(group)
                     group, held = [], 0
             found += model.encode(group)
-            sizes = [len(x) // 4 + 1 for x in found]
+            sizes = np.array([len(x) // 4 + 1 for x in found], np.int64)
+            ends = before + np.cumsum(sizes)
+            ahead, before = ends - sizes, int(ends[-1])
             tokens = _lists(np.frombuffer(end.join([*found, b""]), np.int32), sizes)
-            return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(sizes, pa.int64()), tokens], names=["shard", "doc_id", "n_tokens", "tokens"])
+            return pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(ahead), batch.column("doc_id"), pa.array(sizes), tokens], names=names)
 
         return step
 
     rows = docs.select("shard", "doc_id", "text")
-    return map_batches(rows, "shard int, doc_id long, n_tokens long, tokens array<int>", make)
+    return map_batches(rows, "shard int, ahead long, doc_id long, n_tokens long, tokens array<int>", make)
 
 
 def write_tokens(
@@ -186,10 +194,12 @@ def write_tokens(
     """Write the token table of ``docs`` (doc_id, text) below ``path``."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = ["doc_id", "tie", "place"]  # so that a doc_id of very many rows, and equal rows, can be dealt to several shards
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("shard", F.spark_partition_id())
     )
     (
@@ -214,10 +224,9 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 
 
 def positions(tokens: DataFrame) -> DataFrame:
-    """Columns doc_id, start (tokens of all rows before), n_tokens, ids_crc32, from the written table.
+    """Columns doc_id, start (tokens of all rows before in file order), n_tokens, ids_crc32, from the written table.
 
-    A shard is one write partition, so the window sees bounded groups of narrow rows; the totals
-    of the shards are as many rows as there are partitions.
+    The totals of the shards are as many rows as there are write partitions, so no row but them is shuffled.
     """
 
     def make():
@@ -225,18 +234,16 @@ def positions(tokens: DataFrame) -> DataFrame:
             column = batch.column("tokens")
             values = column.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             at = column.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at, at[1:])]
-            sizes = np.diff(at).astype(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(sizes), pa.array(sums, pa.int64())], names=["shard", "doc_id", "n_tokens", "ids_crc32"])
+            sums = [zlib.crc32(values[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+            return pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("ahead"), batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], names=names)
 
         return step
 
-    rows = map_batches(tokens.select("shard", "doc_id", "tokens"), "shard int, doc_id long, n_tokens long, ids_crc32 long", make)
-    totals = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    names = ["shard", "ahead", "doc_id", "n_tokens", "ids_crc32"]
+    rows = map_batches(tokens.select("shard", "ahead", "doc_id", "tokens"), "shard int, ahead long, doc_id long, n_tokens long, ids_crc32 long", make)
+    totals = tokens.groupBy("shard").agg(F.max(F.col("ahead") + F.col("n_tokens")).alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
-    within = Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return own.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def roundtrip(docs: DataFrame) -> DataFrame:
