@@ -11,7 +11,8 @@ join. Links are condensed to components by rounds of joins.
 
 Defined cases: null and word-free texts have fingerprint zero, linked like any other; null
 doc_id never is a component_id unless a whole component has no other; repeated rows
-each get their row; an empty table gives an empty result; further columns are ignored.
+each get their row; texts of any length count whole; an empty table gives an empty result; further columns are
+ignored or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, settle, utf8
+from .common import carry, give_back, map_carried, named, settle, text_of, utf8
 from .graph import components
 from .set_join import groups
 
@@ -52,20 +53,13 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = 3) -> DataFrame:
-    """Columns ``keep`` (doc_id) and fp (signed 64-bit fingerprint)."""
-    keep = keep or ["doc_id"]
-    source = docs.select(*keep, F.col("text").cast("string").alias("text_"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 3) -> DataFrame:
+    """The caller's columns ``keep`` as one, and fp (signed 64-bit fingerprint) and doc_id."""
 
     def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = pa.array([fingerprint(x, shingle) for x in utf8(batch.column("text_"))], pa.int64())
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), fp], names=[*keep, "fp"])
-
-        return step
+        return lambda batch: [pa.array([fingerprint(x, shingle) for x in utf8(batch.column("text"))], pa.int64()), batch.column("doc_id")]
 
-    return map_batches(source, f"{head}, fp long", make)
+    return map_carried(carry(docs, keep, text_of(docs), named("doc_id").cast("long").alias("doc_id")), "fp long, doc_id long", make)
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -114,17 +108,18 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     """One row per document: ``keep`` (doc_id), fingerprint (16 hex digits), component_id."""
     keep = keep or ["doc_id"]
     fps = settle(fingerprints(docs, keep))
-    return fps.join(classes(fps), "fp").select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return give_back(fps.join(classes(fps), "fp"), keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each group of near copies (``set_join``: five words, similarity 0.8) the row
     with the smallest doc_id (rows that tie in doc_id: the least text hash, then one of the equal
     rows). Columns as they come; a group whose ids are all null keeps one row too."""
+    names = docs.columns
     found = groups(docs)
-    stay = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "hash_"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash_")).alias("one"))
-    id_ = [F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("no_id_"), "hash_"]
-    stay = settle(stay.select("one.doc_id", "one.hash_").select(*id_))
-    rows = docs.withColumn("hash_", F.xxhash64("text")).select(*docs.columns, *id_)
-    key = ["id_", "no_id_", "hash_"]
-    return rows.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    stay = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("one"))
+    stay = settle(stay.select(F.coalesce("one.doc_id", F.lit(0)).alias("id"), F.col("one.doc_id").isNull().alias("no_id"), "one.hash"))
+    doc_id = named("doc_id").cast("long")
+    key = ["id", "no_id", "hash"]
+    rows = carry(docs, names, F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.xxhash64(named("text").cast("string")).alias("hash"))
+    return give_back(rows.join(stay, key, "left_semi").dropDuplicates(key), names)
