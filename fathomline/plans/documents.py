@@ -13,8 +13,8 @@ from ..sinks import texts
 from ..sinks.usr import usr_content
 from ..sources import coefficients, gpx, logs, usr
 from . import views
-from .queries import _LEGS, _SCHEDULE, _SIDES, ORACLES, QUERIES, _edges, _EDGES, _scheduled, query
-from .views import FIXES, LEFT, RIGHT, ROUTES, olc_sql
+from .queries import _EDGES, _LEGS, _SCHEDULE, _SIDES, ORACLES, _edges, _scheduled, query
+from .views import FIXES, LEFT, ROUTES, olc_sql
 
 r6 = lambda c: F.round(c, 6)
 
