@@ -141,7 +141,7 @@ class Paths:
 class DropoutBPE:
     """Encoder and decoder of one model, seed and rate."""
 
-    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, remembered: int = 1_000_000):
+    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, remembered: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
@@ -469,7 +469,7 @@ def _model(path: str | None, rate: float, seed: int) -> DropoutBPE:
     return DropoutBPE(path, rate, seed)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, at_once: int = 1 << 19) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1, seed: int = 0, at_once: int = 1 << 18) -> DataFrame:
     """Columns doc_id, ids, n_tokens, ids_crc32 (over 32-bit little-endian ids), lossless (decoding gave
     the text) and decoded_sha256. ``at_once``: characters encoded together."""
 
@@ -486,11 +486,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, rate: float = 0.1
                     parts += model.packed(group)
                     group, held = [], 0
             parts += model.packed(group)
-            backs = [model.decode(np.frombuffer(data, "<i4").tolist()) for data in parts]
+            same, digests = [], []
+            for data, text in zip(parts, texts):
+                back = model.decode(np.frombuffer(data, "<i4").tolist())
+                same.append(back == text)
+                digests.append(hashlib.sha256(back.encode()).hexdigest())
             sizes = [len(data) // 4 for data in parts]
             sums = [zlib.crc32(data) for data in parts]
-            same = [back == text for back, text in zip(backs, texts)]
-            digests = [hashlib.sha256(back.encode()).hexdigest() for back in backs]
             offsets = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32()))

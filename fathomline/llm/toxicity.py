@@ -13,8 +13,9 @@ table.
 
 Defined cases: null and word-free texts get the score of no terms; rows without a label, null
 labels and null ids are not learned from; a doc_id with several labels is toxic if one of
-them says so; with no labelled rows, or one class only, the score is the smoothed base rate;
-repeated rows are each scored; an empty table gives an empty result; further columns are ignored.
+them says so; of rows that share a doc_id the one with the least text hash is learned from; with no labelled rows, or one
+class only, the score is the smoothed base rate; repeated rows are each scored; texts of any length count whole; an
+empty table gives an empty result; further columns are ignored or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import carry, give_back, map_batches, map_carried, named, text_of, utf8
 from .decontaminate import words
 
 BUCKETS = 1 << 20
@@ -35,7 +36,7 @@ FACTORS = 4
 EPOCHS = 8
 START_TERMS = 4_096
 LEARNED = 1e-2
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,12 +126,12 @@ def _begin(rows: list[tuple[int, np.ndarray]], factors: int, steps: int = 300, r
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for t in range(1, steps * (m > 0) + 1):
         b, w, v = theta
-        s = np.stack([np.bincount(row, v[col, f], n) for f in range(factors)], 1)
+        s = np.array([np.bincount(row, v[col, f], n) for f in range(factors)]).reshape(factors, n).T
         squares = np.bincount(row, (v * v).sum(1)[col], n)
         margin = b[0] + np.bincount(row, w[col], n) + 0.5 * ((s * s).sum(1) - squares)
         g = (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - y) / n
         gw = np.bincount(col, g[row], m) + decay / n * w * n**0.5
-        gv = np.stack([np.bincount(col, g[row] * (s[row, f] - v[col, f]), m) for f in range(factors)], 1) + decay / n * v * n**0.5
+        gv = np.array([np.bincount(col, g[row] * (s[row, f] - v[col, f]), m) for f in range(factors)]).reshape(factors, m).T + decay / n * v * n**0.5
         for k, grad in enumerate((np.array([g.sum()]), gw, gv)):
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad * grad
@@ -174,34 +175,39 @@ def train(rows: list[tuple[int, np.ndarray]], factors: int = FACTORS, epochs: in
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
     """Learn from at most ``fit_rows`` labelled rows that are not held out."""
-    own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    own = labels.select(named("doc_id").alias("doc_id"), named("toxic").alias("toxic"))
+    own = own.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = _terms(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # ``fit_rows`` small rows
-    rows = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in sample.toLocalIterator())  # ``fit_rows`` rows of terms
+    rows = docs.select(named("doc_id").alias("doc_id"), text_of(docs)).join(F.broadcast(chosen), "doc_id")  # ``fit_rows`` small rows
+    one = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
+    rows = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in _terms(one).toLocalIterator())  # at most ``fit_rows`` rows of terms
     return train([(t, np.frombuffer(x, np.int32)) for _, t, x in rows])
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """Columns ``keep`` (doc_id) and the score, under ``name``."""
-    keep = keep or ["doc_id"]
-    source = docs.select(*keep, F.col("text").cast("string").alias("text_"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+def _scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
+    """The caller's columns ``keep`` as one, and score."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))  # ``BUCKETS`` rows
 
     def make():
         own = Machine(*shared.value)
+        return lambda batch: [pa.array([own.score(x) for x in utf8(batch.column("text"))], pa.float64())]
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = pa.array([own.score(x) for x in utf8(batch.column("text_"))], pa.float64())
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], names=[*keep, name])
+    return map_carried(carry(docs, keep, text_of(docs)), "score double", make)
+
+
+def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Columns ``keep`` (doc_id) and the score, under ``name``."""
+    keep = keep or ["doc_id"]
+    return give_back(_scored(docs, machine, keep), keep, F.col("score").alias(name))
 
-        return step
 
-    return map_batches(source, f"{head}, `{name}` double", make)
+def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, all columns as they were."""
+    return give_back(_scored(docs, machine, docs.columns).filter(F.col("score") < threshold), docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, learned from ``labels``."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
