@@ -7,16 +7,19 @@ shift is zero, the block's hash bucket selects the windows that end with it, and
 comparison of all words confirms the occurrence. Items shorter than a window are patterns
 of their own length with tables of their own.
 
-The tables hold at most ``table_words`` benchmark words. A larger benchmark is split by
-item hash and the documents are searched once per part; the hits are united afterwards.
+The tables hold some ``table_words`` benchmark words. A larger benchmark is split by
+item hash and the documents are searched once per part: a part's hits are written to the shared folder, by the hash of the
+text, before the next part is collected and sent out, and are united afterwards.
 
 Defined cases: null and word-free texts have no words and no hits; a word-free item has no
-windows; equal item_ids are one item; repeated documents are each reported; an
-empty benchmark contaminates nothing; further columns are ignored.
+windows; equal item_ids are one item; items without an id contaminate but are not listed; repeated documents are each reported; an
+empty benchmark contaminates nothing; an empty table gives an empty result; texts of any length are searched whole; further columns
+are ignored or pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import KEPT, carry, give_back, map_carried, named, stored, text_of, utf8
 
 WINDOW = 10
 TABLE_WORDS = 2_000_000
@@ -112,91 +115,110 @@ def scan(text: bytes, matchers: list[WuManber]) -> tuple[int, list[int], set]:
     return len(w), flat, items
 
 
-def _parts(benchmark: DataFrame, table_words: int) -> Iterator[list[tuple]]:
-    """The items, in parts whose words fit the bound; each part alone is brought to the driver."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _parts(benchmark: DataFrame, table_words: int) -> Iterator[tuple[bool, list[tuple]]]:
+    """The items, in parts whose words fit the bound; each part is brought to the driver when it is asked for."""
+    items = benchmark.select(named("item_id").cast("string").alias("item_id"), F.coalesce(text_of(benchmark), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2 + 1
     parts = -(-total // table_words)
     for k in range(parts):
         chosen = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield [(r[0], r[1].encode()) for r in chosen.collect()]
+        yield k + 1 == parts, [(r[0], r[1].encode()) for r in chosen.collect()]  # some ``table_words`` words
 
 
+BUILT: dict[str, list[WuManber]] = {}
 
-def _search(docs: DataFrame, part: list[tuple], keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(part)  # at most ``table_words`` words
+
+def _matchers(token: str, shared) -> list[WuManber]:
+    """The tables of one part: made once in a Python worker, those of the part before are dropped."""
+    if token not in BUILT:
+        BUILT.clear()
+        BUILT[token] = build(shared.value)
+    return BUILT[token]
+
+
+def _search(docs: DataFrame, shared) -> DataFrame:
+    """Columns n_words, spans and items beside what ``docs`` carries."""
+    token = uuid.uuid4().hex
 
     def make():
-        matchers = build(shared.value)
+        matchers = _matchers(token, shared)
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def step(batch: pa.RecordBatch) -> list[pa.Array]:
             n, flat, items = [], [], []
-            for text in utf8(batch.column("text_")):
+            for text in utf8(batch.column("text")):
                 a, b, c = scan(text, matchers)
                 n.append(a)
                 flat.append(b)
                 items.append(sorted(x for x in c if x is not None))
-            cols = [pa.array(n, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, "n_words_", "spans_", "items_"])
+            return [pa.array(n, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
 
         return step
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("text_"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return map_batches(source, f"{head}, n_words_ long, spans_ array<int>, items_ array<string>", make)
+    return map_carried(docs, "n_words long, spans array<int>, items array<string>", make)
 
 
 def _total(spans: Column) -> Column:
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], table_words: int) -> DataFrame:
+    """The caller's columns ``keep`` as one, n_words, spans (flat word positions of the hits) and items."""
+    hashes = [F.xxhash64(named("text").cast("string")).alias("t1"), F.xxhash64(F.lit("second"), named("text").cast("string")).alias("t2")]
+    key = ["t1", "t2"]
+    earlier = None
+    for last, part in _parts(benchmark, table_words):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+        if last:
+            break
+        hits = _search(carry(docs.select(*hashes, text_of(docs)), key, F.col("text")), shared).filter(F.size("spans") > 0)
+        hits = stored(give_back(hits, key, "spans", "items").dropDuplicates(key), "hits")
+        shared.destroy()
+        earlier = hits if earlier is None else earlier.unionAll(hits)
+    if earlier is None:
+        return _search(carry(docs, keep, text_of(docs)), shared)
+    # A text has a row of hits from each part at most.
+    gathered = earlier.groupBy(*key).agg(F.collect_list("spans").alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    rows = carry(docs, keep, text_of(docs), *hashes)
+    rows = _search(carry(rows, [KEPT, *key], F.col("text")), shared)
+    rows = give_back(rows, [KEPT, *key], "n_words", "spans", "items").join(gathered, key, "left")
+    pairs = F.sort_array(F.flatten(F.transform(F.concat(F.array("spans"), F.coalesce("s", F.array().cast("array<array<int>>"))), _pairs)))
+    merged = F.aggregate(
+        pairs,
+        F.array().cast("array<int>"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["b"]))),
+        ).otherwise(F.concat(acc, F.array(x["a"], x["b"]))),
+    )
+    items = F.sort_array(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>")))))
+    return rows.select(KEPT, "n_words", F.when(F.col("s").isNull(), F.col("spans")).otherwise(merged).alias("spans"), items.alias("items"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """Columns ``keep`` (doc_id), then n_words, n_hit, n_items, items_sha256 and contaminated; one row for each document.
 
     Also ``spans`` (flat word positions of the hits) and ``items``.
     """
     keep = keep or ["doc_id"]
-    parts = list(_parts(benchmark, table_words))
-    if len(parts) == 1:
-        found = _search(docs, parts[0], keep)
-    else:
-        found = _search_parts(docs, parts, keep)
-    return found.select(
-        *keep,
-        F.col("n_words_").alias("n_words"),
-        _total(F.col("spans_")).alias("n_hit"),
-        F.size("items_").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items_", ","), 256).alias("items_sha256"),
-        (F.size("spans_") > 0).alias("contaminated"),
-        F.col("spans_").alias("spans"),
-        F.col("items_").alias("items"),
+    return give_back(
+        _found(docs, benchmark, keep, table_words),
+        keep,
+        "n_words",
+        _total(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+        "spans",
+        "items",
     )
 
 
-def _search_parts(docs: DataFrame, parts: list[list[tuple]], keep: list[str]) -> DataFrame:
-    """Each part's hits are carried as columns through one more pass, so no rows need to be matched up."""
-    df = docs.select(*keep, "text")
-    carried: list[str] = []
-    for k, part in enumerate(parts):
-        df = _search(df, part, [*keep, *carried, "text"])
-        df = df.withColumnsRenamed({"n_words_": f"n{k}_", "spans_": f"s{k}_", "items_": f"i{k}_"})
-        carried += [f"n{k}_", f"s{k}_", f"i{k}_"]
-    n = range(len(parts))
-    pairs = F.sort_array(F.flatten(F.array(*(_pairs(f"s{k}_") for k in n))))
-    merged = F.aggregate(
-        pairs,
-        F.array().cast("array<int>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["b"]))),
-        ).otherwise(F.concat(acc, F.array(x["a"], x["b"]))),
-    )
-    items = F.sort_array(F.array_distinct(F.flatten(F.array(*(F.col(f"i{k}_") for k in n)))))
-    return df.select(*keep, F.col("n0_").alias("n_words_"), merged.alias("spans_"), items.alias("items_"))
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, table_words: int = TABLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` without a hit, all columns as they were."""
+    return give_back(_found(docs, benchmark, docs.columns, table_words).filter(F.size("spans") == 0), docs.columns)
 
 
-def _pairs(name: str) -> Column:
-    c = F.col(name)
-    starts = F.filter(c, lambda x, i: i % 2 == 0)
-    ends = F.filter(c, lambda x, i: i % 2 == 1)
+def _pairs(flat: Column) -> Column:
+    starts = F.filter(flat, lambda x, i: i % 2 == 0)
+    ends = F.filter(flat, lambda x, i: i % 2 == 1)
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
