@@ -7,13 +7,20 @@ largest page_id keeps the payload, the others are ``revisit`` records that refer
 
 Records are made by Spark expressions and written by Spark's text writer (its line
 separator is the blank lines that end a WARC record), so commits survive lost executors
-and any Hadoop file system works. Reading uses the ``binaryFile`` source; a file holds one
-write partition, so its size is bounded by the partition size.
+and any Hadoop file system works. Reading uses the ``binaryFile`` source; a file holds at most one
+write partition, so its size is bounded by the partition size. It is decompressed and parsed as a stream, record by record, and rows leave in
+batches of bounded size.
+
+Broken archives: a record that ends early, a header block without an end, and bytes between records that begin no record give rows with
+``problem`` set and no payload, length or digest, and what follows is read on from the next line that begins a record; such rows are no part of
+transactions. Header lines may lack the blank after the colon and may be continued on the next line; names are compared in lower case;
+a record without a valid length is a problem too.
 
 Defined cases: null html is an empty payload; null url leaves out the target URI; null
 page_id is kept as null (such a page is a revisit if another page with a number has its
 payload); rows that agree in page_id, url and html are one capture written several times
-and come back as often; an empty table gives an empty result; further columns are ignored.
+and come back as often; pages of any length are stored whole; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +28,16 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_batches, settle
+from .common import fresh_path, named, settle
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = "WARC/1.1"
@@ -35,8 +45,10 @@ CRLF = "\r\n"
 RECORD = (
     "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, "
     "capture_date string, payload_bytes long, payload_digest string, header_digest string, "
-    "fields string, payload binary"
+    "fields string, payload binary, problem string"
 )
+CHUNK = 1 << 16
+BATCH_BYTES = 16 << 20
 
 
 def base32_sha1(data: Column) -> Column:
@@ -66,9 +78,9 @@ def plan_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Columns page_id, url, html, digest, capture (record id) and, for revisits, the
     record id ``original``. Payloads under ``least_bytes`` are never deduplicated."""
     base = pages.select(
-        "page_id",
-        F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"),
-        F.coalesce("html", F.lit("")).alias("html"),
+        named("page_id").alias("page_id"),
+        F.regexp_replace(F.regexp_replace(named("url"), "\r", "%0D"), "\n", "%0A").alias("url"),
+        F.coalesce(named("html"), F.lit("")).alias("html"),
     ).withColumn("digest", base32_sha1(F.encode("html", "utf-8")))
     small = base.filter(F.octet_length("html") >= least_bytes).select("page_id", "url", "digest")
     repeated = settle(
@@ -134,63 +146,133 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     ).text(path, compression="gzip")
 
 
-def parse_archive(data: bytes):
-    """Yield (headers with lower-case names, block) for each record of an archive's bytes."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            break
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+class Stream:
+    """Bytes of a file object with a look ahead. What a damaged compressed file lacks is the end of the stream."""
+
+    def __init__(self, file):
+        self.file, self.held, self.ended, self.damaged = file, bytearray(), False, False
+
+    def _more(self, size: int) -> bool:
+        if not self.ended:
+            try:
+                got = self.file.read1(size)  # what stands before the damage still comes
+            except (EOFError, OSError, zlib.error):
+                got, self.damaged = b"", True
+            self.ended = not got
+            self.held += got
+        return not self.ended
+
+    def line(self) -> bytes:
+        """The next line with its end; b"" at the end of the stream."""
+        seen = 0
+        while (end := self.held.find(b"\n", seen)) < 0:
+            seen = len(self.held)
+            if not self._more(CHUNK):
+                end = len(self.held) - 1
+                break
+        out = bytes(self.held[: end + 1])
+        del self.held[: end + 1]
+        return out
+
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size and self._more(max(CHUNK, size - len(self.held))):
+            pass
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        return out
+
+
+def parse_archive(file) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers with lower-case names, block, problem) of each record of an archive (bytes or a file object)."""
+    stream = Stream(io.BytesIO(file) if isinstance(file, (bytes, bytearray)) else file)
+    line, lost = stream.line(), False
+    while line:
+        if not line.startswith(b"WARC/"):
+            if line.strip() and not lost:
+                lost = True
+                yield {}, b"", "bytes outside of records"
+            line = stream.line()
+            continue
+        lost = False
+        headers: dict[str, str] = {}
+        name, whole = None, False
+        while line := stream.line():
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if not text:
+                whole = True
+                break
+            if text[0] in " \t" and name:
+                headers[name] = f"{headers[name]} {text.strip()}"
+            elif ":" in text:
+                name, _, value = text.partition(":")
+                name = name.strip().lower()
+                headers[name] = value.strip()
+        length = headers.get("content-length", "")
+        if not whole or not (length.isascii() and length.isdigit()):
+            yield headers, b"", "no length" if whole else "header block without an end"
+            line = stream.line()
+            continue
+        block = stream.take(int(length))
+        yield headers, block, None if len(block) == int(length) else "ends early"
+        line = stream.line()
+    if stream.damaged:
+        yield {}, b"", "compressed data is damaged"
+
+
+def _row(h: dict[str, str], block: bytes, problem: str | None, payloads: bool) -> tuple:
+    kind = h.get("warc-type")
+    body = block.partition(b"\r\n\r\n")[2] if kind == "response" and not problem else None
+    fields = None
+    if kind == "metadata" and not problem:
+        lines = block.decode("utf-8", "replace").splitlines()
+        fields = json.dumps({k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)})
+    return (
+        h.get("warc-record-id"),
+        kind,
+        h.get("warc-concurrent-to"),
+        h.get("warc-refers-to"),
+        h.get("warc-target-uri"),
+        h.get("warc-date"),
+        None if body is None else len(body),
+        None if body is None else base64.b32encode(hashlib.sha1(body).digest()).decode(),
+        h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+        fields,
+        body if payloads else None,
+        problem or (None if h.get("warc-record-id") and kind else "no record id or type"),
+    )
 
 
 def read_records(spark, path: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives. Length and digest of a response are computed from the bytes
+    """Every record of the archives below ``path`` (*.gz, *.warc). Length and digest of a response are computed from the bytes
     read; ``payloads=False`` leaves the payload column null."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
 
-    def make():
-        names = [x.split()[0] for x in RECORD.split(", ")]
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = {n: [] for n in names}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        rows, held = [], 0
+        for batch in batches:
             for content in batch.column("content"):
-                raw = content.as_buffer().to_pybytes()
-                for h, block in parse_archive(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                    kind = h["warc-type"]
-                    body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                    fields = None
-                    if kind == "metadata":
-                        fields = json.dumps(dict(x.split(": ", 1) for x in block.decode("utf-8").split(CRLF) if ": " in x))
-                    for n, v in (
-                        ("record_id", h["warc-record-id"]),
-                        ("record_type", kind),
-                        ("concurrent_to", h.get("warc-concurrent-to")),
-                        ("refers_to", h.get("warc-refers-to")),
-                        ("target_uri", h.get("warc-target-uri")),
-                        ("capture_date", h.get("warc-date")),
-                        ("payload_bytes", None if body is None else len(body)),
-                        ("payload_digest", None if body is None else base64.b32encode(hashlib.sha1(body).digest()).decode()),
-                        ("header_digest", h.get("warc-payload-digest", "").removeprefix("sha1:") or None),
-                        ("fields", fields),
-                        ("payload", body if payloads else None),
-                    ):
-                        rows[n].append(v)
-            kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
-            return pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in zip(names, kinds)], names=names)
-
-        return step
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
-    return map_batches(files.select("content"), RECORD, make)
+                file = io.BytesIO(content.as_buffer())
+                packed = file.read(2) == b"\x1f\x8b"
+                file.seek(0)
+                for record in parse_archive(gzip.GzipFile(fileobj=file) if packed else file):
+                    rows.append(_row(*record, payloads))
+                    held += 512 + len(record[1]) * payloads
+                    if held > BATCH_BYTES:
+                        yield pack(rows)
+                        rows, held = [], 0
+        if rows:
+            yield pack(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,warc}").load(path)
+    return files.select("content").mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: response or revisit joined with its request and its metadata
-    through their concurrent-to identifiers. A capture written n times gives n rows."""
+    through their concurrent-to identifiers. A capture written n times gives n rows; records with a problem are left out."""
+    records = records.filter("problem is null")
     main = records.filter("record_type in ('response', 'revisit')")
     main = main.groupBy("record_id").agg(
         F.count(F.lit(1)).alias("times"),
