@@ -24,7 +24,7 @@ def op3_isomedia(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = isomedia.store_and_describe(table(spark, sf_dir, "documents"))
     keys = F.sha2(F.to_json("keyframes"), 256)
     feature = F.concat_ws(";", F.concat(F.lit("codec="), "codec"), F.concat(F.lit("duration="), F.col("duration"), F.lit("/"), F.col("timescale")), F.concat(F.lit("keyframes="), F.size("keyframes")), F.concat(F.lit("ranges="), keys))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codec", "duration", "keyframes")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
