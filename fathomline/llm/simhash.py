@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import carry, give_back, map_carried, named, settle, text_of, utf8
-from .graph import components
+from .graph import components, few
 from .set_join import groups
 
 SEED = 42
@@ -98,10 +98,11 @@ def classes(fps: DataFrame) -> DataFrame:
     """(fp, component_id): for each distinct fingerprint the smallest doc_id of its component."""
     own = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(link(own.select("fp")))
-    linked = roots.join(own, roots["node"] == own["fp"]).select("fp", "root", "least_id")
+    count = roots.count()
+    linked = settle(own.join(few(roots.select(F.col("node").alias("fp"), "root"), count), "fp").select("fp", "root", "least_id"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    joined = linked.join(least, "root").select("fp", "component_id")
-    return settle(own.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
+    joined = linked.join(few(least, count), "root").select("fp", "component_id")
+    return settle(own.join(few(joined, count), "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
