@@ -36,7 +36,7 @@ FACTORS = 4
 EPOCHS = 8
 START_TERMS = 4_096
 LEARNED = 1e-2
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,26 +49,24 @@ def buckets(word: bytes) -> list[int]:
     return [zlib.crc32(x) % BUCKETS for x in forms]
 
 
-def _places(word: bytes, known: dict[bytes, list[int]]) -> list[int]:
-    try:
-        return known[word]
-    except KeyError:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        found = known[word] = buckets(word)
-        return found
+def _places(word: bytes, known: dict[bytes, bytes]) -> bytes:
+    if len(known) >= REMEMBERED:
+        known.clear()
+    found = known[word] = np.array(buckets(word), np.int32).tobytes()
+    return found
 
 
-def places(text: bytes, known: dict[bytes, list[int]]) -> np.ndarray:
-    """The distinct buckets of a text, ascending."""
-    return np.unique(np.array([b for w in set(words(text)) for b in _places(w, known)], np.int32))
+def places(text: bytes, known: dict[bytes, bytes]) -> np.ndarray:
+    """The distinct buckets of a text, ascending. ``known``: words met before, with their buckets packed."""
+    get = known.get
+    return np.unique(np.frombuffer(b"".join([get(w) or _places(w, known) for w in set(words(text))]), np.int32))
 
 
 def _terms(docs: DataFrame) -> DataFrame:
     """(doc_id, toxic, terms): distinct buckets of each row as packed 32-bit integers."""
 
     def make():
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [places(x, known).tobytes() for x in utf8(batch.column("text"))]
@@ -84,7 +82,7 @@ class Machine:
 
     def __init__(self, bias: float, w: np.ndarray, v: np.ndarray):
         self.bias, self.w, self.v = bias, w, v
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def margin(self, at: np.ndarray) -> float:
         if not len(at):
