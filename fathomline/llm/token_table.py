@@ -81,7 +81,7 @@ class WordMemory:
         self.id_bytes = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())], np.int64)  # a character a byte
         self.blank = {c for c in PLAIN if regex.fullmatch(r"\s", c)}
         letter, number, space = (_letters(k) for k in "LNZ")
-        self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.cut = re.compile(f" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.plain = re.compile("[\\x00-\u024f\u2000-\u206f]*").fullmatch
 
     def _library(self, texts: list[str]) -> list[bytes]:
