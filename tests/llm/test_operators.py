@@ -1,4 +1,4 @@
-"""Each operator against a plain version of itself, on rows with nulls, empty texts, repeats and clashing columns."""
+"""Each operator against a plain version of itself, on rows with nulls, empty texts, repeats and clashing columns (``CLASHES``)."""
 
 import hashlib
 import random
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from fathomline.llm import decontaminate, isomedia, line_dedup, pii, sentencepiece_dropout, sharding, simhash, token_table, toxicity, warc
 
+# Names of the operators' inner and result columns, and a few that need quoting.
+CLASHES = """kept d t1 t2 doc pos ahead span h1 h2 part rank later m class own r at hash node size sketch firsts s n root fp score crc number block
+slice order inside shard base_spans all_spans chosen falling rising first starts stops by_stop spans items n_words tie place runs cut n_lines
+n_deleted id no_id contaminated toxic label copy held x y c base terms d_ text_ hash_ items_ runs_ toxicity_ fingerprint component_id""".split() + ["a.b", "a b", "`q`", "text.x"]
+
 WORDS = "the of and in to for with that this idiot word line about over under again".split()
 
 
@@ -30,8 +35,20 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark, texts):
-    rows = [(i, t, "text_", i, "x") for i, t in enumerate(texts)] + [(None, "null id", "", 0, "x"), (3, texts[3], "text_", 3, "x")]
-    return spark.createDataFrame(rows, "doc_id long, text string, text_ string, score int, items_ string").drop("text_", "items_")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "null id"), (3, texts[3])]
+    return clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def clashing(df):
+    """Columns of all ``CLASHES``, whose values tell their rows and names."""
+    return df.select("*", *(F.concat(F.lit(f"{name}/"), F.coalesce(df.columns[0], F.lit(-1))).alias(name) for name in CLASHES if name not in df.columns))
+
+
+def unharmed(df):
+    """Whether every row still has the values of its clashing columns."""
+    names = [n for n in CLASHES if n in df.columns]
+    rows = df.select("doc_id", F.struct(*(F.col("`" + n.replace("`", "``") + "`").alias(f"c{k}") for k, n in enumerate(names))).alias("all")).collect()
+    return names == CLASHES and bool(rows) and all(list(r.all) == [f"{n}/{-1 if r.doc_id is None else r.doc_id}" for n in names] for r in rows)
 
 
 def by_id(df):
@@ -65,11 +82,53 @@ def test_pii_base_spans(docs, texts):
 
 
 def test_pii_trees_and_redaction(spark):
-    rows = [((g, d, 0, 0, 0, 0, 0, 0, 0), float(d > 2) * 10, 10.0) for g in (5, 6) for d in range(6)]
+    rows = [((g, d, *[0] * 10), float(d > 2) * 10, 10.0) for g in (5, 6) for d in range(6)]
     model = pii.boost(rows)
-    assert model.margin((5, 5, 0, 0, 0, 0, 0, 0, 0)) > 0 > model.margin((5, 0, 0, 0, 0, 0, 0, 0, 0))
-    df = spark.createDataFrame([(1, "to a@b.cc, 1.2.3.4 end", "k")], "doc_id long, text string, base string")
-    assert pii.redact(df, pii.Trees(-10.0, [], {4: 0.9, 5: 0.9, 6: 0.9, 7: 0.9})).first().text == "to <email>, <ip> end"
+    assert model.margin((5, 5, *[0] * 10)) > 0 > model.margin((5, 0, *[0] * 10))
+    df = spark.createDataFrame([(1, "to a@b.cc, 1.2.3.4 end", "k"), (2, None, "l"), (3, "x@y.zz4465758382889437é +1 310 555 4510.", "m")], "doc_id long, text string, base string")
+    got = by_id(pii.redact(df, pii.Trees(-10.0, [], {})))
+    assert got[1].text == "to <email>, <ip> end" and got[2].text is None and [got[k].base for k in (1, 2, 3)] == ["k", "l", "m"]
+    assert got[3].text == "<email>é <phone>."
+
+
+@pytest.fixture(scope="module")
+def personal(spark):
+    sha = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [f'He wrote token = "{sha(i)}" x{i}@ex.com é' for i in range(40)]
+    rows += [f"word GB82 WEST 1234 5698 7654 32 end {i}" for i in range(32)] + [f"see DE{i:02d} 3704 0044 0532 0130 00 ok" for i in range(90)]
+    rows += [f"mac 00:1B:44:11:3A:{i:02X} up" for i in range(46)] + [f"time 12:30:45:{i} now" for i in range(10, 60)]
+    rows += [f"-----BEGIN RSA PRIVATE KEY-----\nMIIEow{i}\n-----END RSA PRIVATE KEY----- bye" for i in range(20)]
+    rows += ["bob (at) corp (dot) example now", "meet at noon.example today", "plain words only", None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return rows, docs, pii.fit(docs)
+
+
+def test_pii_added_spans(personal):
+    rows, docs, model = personal
+    got = by_id(pii.report(docs, model))
+    said = lambda i: got[i].spans.split(",")
+    assert all(f"secret:18:58" in said(i) and len(said(i)) == 2 for i in range(40))
+    assert all(said(i) == ["account:5:32"] for i in range(40, 72))
+    assert sum(got[i].spans != "" for i in range(72, 162)) <= 2  # about one in 97 has the right check digits
+    assert all(said(i) == ["hex_groups:4:21"] for i in range(162, 208)) and not any(got[i].spans for i in range(208, 258))
+    assert all(said(i)[0].startswith("key_block:0:") for i in range(258, 278))
+    assert [got[i].spans for i in range(len(rows) - 4, len(rows))] == ["spelled_email:0:27", "", "", ""]
+    assert all(r.n_added == len([x for x in r.spans.split(",") if x and x.split(":")[0] not in pii.BASE]) for r in got.values())
+
+
+def test_pii_thresholds_are_calibrated(personal):
+    model = personal[2]
+    found = {k: model.thresholds[pii.KINDS.index(k)] for k in pii.GENERATORS}
+    assert all(0.5 < found[k] < 1 and found[k] != 0.9 for k in ("spelled_email", "hex_groups", "secret", "account", "key_block"))
+    assert found["digit_run"] == pii.OFF  # nothing shows its precision here
+    assert pii._calibrated([(0.9, 10, 10), (0.8, 9, 10), (0.7, 0, 10)], 0.95) == pytest.approx(0.8, abs=1e-5) and pii._calibrated([(0.9, 4, 10)], 0.95) == pii.OFF
+    assert pii._calibrated([(0.9, 4, 4)], 0.95) == pii.OFF  # too few labels
+
+
+def test_pii_check_digits(spark):
+    rows = [("GB82 WEST 1234 5698 7654 32", True), ("GB82WEST12345698765433", False), ("DE89370400440532013000", True)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select(pii.check_digits(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
 
 
 def test_warc_roundtrip(spark):
@@ -84,6 +143,24 @@ def test_warc_roundtrip(spark):
     assert warc.roundtrip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_broken_archives(spark, tmp_path):
+    import gzip
+
+    good = b"WARC/1.1\r\nWARC-Type:response\r\nwarc-record-id: <a>\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello\r\n\r\n"
+    problems = lambda data: [(h.get("warc-record-id"), p) for h, _, p in warc.parse_archive(data)]
+    assert problems(good + good) == [("<a>", None)] * 2 and next(warc.parse_archive(good))[1].endswith(b"hello")
+    assert problems(b"junk\nmore\n" + good + good[:-10]) == [(None, "bytes outside of records"), ("<a>", None), ("<a>", "ends early")]
+    assert problems(good.replace(b"Content-Length: 24", b"X: y") + good) == [("<a>", "no length"), (None, "bytes outside of records"), ("<a>", None)]
+    assert problems(b"WARC/1.0\r\nA: b") == [(None, "header block without an end")] and problems(b"") == []
+    (tmp_path / "plain.warc").write_bytes(good.replace(b"<a>", b"<p>"))
+    (tmp_path / "packed.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good.replace(b"<a>", b"<b>")))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(good.replace(b"<a>", b"<c>") * 500)[:-30])
+    rows = warc.read_records(spark, str(tmp_path))
+    whole = {(r.record_id, r.payload_bytes) for r in rows.filter("problem is null").collect()}
+    assert {("<p>", 5), ("<a>", 5), ("<b>", 5)} <= whole and rows.filter("problem = 'compressed data is damaged'").count() == 1
+    assert warc.assemble(rows).filter("record_id = '<p>'").count() == 1
+
+
 def test_isomedia(docs, texts):
     got = by_id(isomedia.store_and_describe(docs))
     for i, t in enumerate(texts):
@@ -96,6 +173,40 @@ def test_isomedia(docs, texts):
     assert isomedia.probe(b"")["codec"] is None
 
 
+def test_isomedia_tracks_and_broken_files():
+    import struct
+
+    full, box = isomedia.full, isomedia.box
+    entry = box(b"abcd", bytes(8))
+
+    def trak(number, sizes, offset, keys):
+        tables = [full(b"stsd", struct.pack(">I", 1), entry), full(b"stts", struct.pack(">III", 1, len(sizes), 10)), full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1))]
+        tables += [full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), full(b"stco", struct.pack(">II", 1, offset))]
+        tables += [full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))] if keys else []
+        head = full(b"tkhd", struct.pack(">III", 0, 0, number), bytes(68))
+        return box(b"trak", head, box(b"mdia", full(b"mdhd", struct.pack(">IIIII", 0, 0, 1000, 7, 0)), box(b"minf", box(b"stbl", *tables))))
+
+    data = box(b"moov", trak(1, [3, 4, 5, 6], 8, []), trak(2, [7, 8], 30, [2])) + box(b"mdat", bytes(60))
+    one, two = isomedia.tracks_of(data)
+    assert one.keyframes() == [(1, 8, 3), (2, 11, 4), (3, 15, 5), (4, 20, 6)] and one.duration == 40 and one.problem is None
+    assert two.keyframes() == [(2, 37, 8)] and two.runs() == [(30, 15)] and one.codec == "abcd"
+
+    trun = box(b"trun", struct.pack(">IIiIIIIII", 0x701, 2, 100, 5, 9, 0, 6, 11, 0x10000))
+    moof = box(b"moof", box(b"traf", box(b"tfhd", struct.pack(">II", 0x20000, 2)), trun))
+    later = isomedia.tracks_of(data + moof + box(b"mdat", bytes(200)))[1]
+    assert later.offsets[2:] == [len(data) + 100, len(data) + 109] and later.sizes[2:] == [9, 11] and later.keys == [2, 3] and later.duration == 31
+
+    whole = isomedia.pack(bytes(576 * 3))
+    assert isomedia.probe(whole[:-5])["problem"] == "a sample reaches past the end of the file" and isomedia.probe(whole[:-5])["samples"] == 2
+    assert isomedia.probe(whole.replace(b"stsz", b"xxxx"))["problem"] == "no box stsz" and isomedia.probe(whole.replace(b"mdhd", b"xxxx"))["codec"] == "raw "
+    rng = random.Random(1)
+    for _ in range(400):
+        broken = bytearray(whole)
+        for _ in range(rng.randrange(1, 6)):
+            broken[rng.randrange(700)] = rng.randrange(256)
+        isomedia.probe(bytes(broken))
+
+
 def test_simhash_components(docs, texts):
     got = by_id(simhash.near_duplicates(docs))
     fps = {i: simhash.fingerprint((t or "").encode()) & (1 << 64) - 1 for i, t in enumerate(texts)}
@@ -138,37 +249,104 @@ def test_pigeonring_links_against_all_pairs(spark):
 
 
 def test_token_table(docs, texts):
-    got = token_table.roundtrip(docs).collect()
     from tokenizers import Tokenizer
 
+    got = token_table.roundtrip(docs).collect()
     model = Tokenizer.from_file(token_table.tokenizer_path())
-    model.encode_special_tokens = True
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens) for r in got))
-    at = 0
-    for _, _, start, n in rows:
-        assert start == at
-        at += n
-    import numpy as np
-
+    rows = sorted((r.start, r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in got)
+    assert [r[1:3] for r in rows] == sorted(r[1:3] for r in rows)
+    assert [r[0] for r in rows] == [sum(x[3] for x in rows[:k]) for k in range(len(rows))]
     for r in got:
         if r.doc_id is not None:
             ids = [*model.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
             assert r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_sharding(docs):
+def test_token_starts_of_tied_ids(spark):
+    rows = [(k % 3 or None, "word " * (7 * k % 11)) for k in range(60)] + [(5, "the same row")] * 200
+    path = token_table.fresh_path(spark, "tied")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_table.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table = token_table.read_tokens(spark, path)
+    shards = sorted(table.select("shard", "ahead", "n_tokens", "tokens", "doc_id").collect())
+    assert len({r.shard for r in shards if r.doc_id == 5}) > 1  # equal rows are dealt out
+    at, want = 0, []
+    for r in shards:  # the file's order
+        want.append((r.doc_id, at, r.n_tokens, zlib.crc32(np.array(r.tokens, "<u4").tobytes())))
+        at += r.n_tokens
+    key = lambda x: x[1]
+    assert sorted(map(tuple, token_table.positions(table).collect()), key=key) == want and [r.n_tokens for r in shards] == [len(r.tokens) for r in shards]
+
+
+def test_token_files(spark, texts):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(k, texts[4 + k % 2 * 2] or "x") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sizes = {}
+    for encoding, wanted in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = token_table.fresh_path(spark, "files")
+        token_table.write_tokens(docs, path, encoding=encoding, row_group_bytes=20_000, page_bytes=4_000, page_rows=100)
+        groups, pages = 0, False
+        for f in glob.glob(f"{path}/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            groups += meta.num_row_groups
+            for k in range(meta.num_row_groups):
+                column = {meta.row_group(k).column(c).path_in_schema: meta.row_group(k).column(c) for c in range(5)}
+                assert wanted in column["tokens.list.element"].encodings and column["doc_id"].statistics.has_min_max
+                pages |= column["doc_id"].has_offset_index and column["doc_id"].has_column_index
+        assert groups > 4 and pages
+        sizes[encoding] = token_table.read_tokens(spark, path, 40, 43)
+        assert [r.doc_id for r in sizes[encoding].orderBy("doc_id").collect()] == [40, 41, 42, 43]
+        plan = sizes[encoding].select("n_tokens")._jdf.queryExecution().toString()
+        assert "GreaterThanOrEqual(doc_id,40)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
+    assert sorted(sizes["delta"].select("tokens").collect()) == sorted(sizes["dictionary"].select("tokens").collect())
+
+
+def test_sharding(docs, texts):
     rows = sharding.shard_rows(docs, shards=7).collect()
-    assert len(rows) == docs.count()
     by = {}
     for r in rows:
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) - min(len(by.get(s, [])) for s in range(7)) <= 1
+    want = [(i, t) for i, t in enumerate(texts)] + [(None, "null id"), (3, texts[3])]
+    plain = [(i if i is not None else -1, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in want]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in rows) == sorted(plain)
     m = sharding.communication_matrix([5, 0, 9, 3], [4, 4, 4, 5], 1)
     assert [sum(r) for r in m] == [5, 0, 9, 3] and [sum(c) for c in zip(*m)] == [4, 4, 4, 5]
-    rng = random.Random(2)
-    draws = [sharding.hypergeometric(rng, 30, 70, 10) for _ in range(4000)]
-    assert sum(draws) / 4000 == pytest.approx(3, abs=0.1) and 0 <= min(draws) and max(draws) <= 10
+
+
+def test_sharding_draws_follow_the_law():
+    from math import comb
+
+    rng, n = random.Random(2), 20_000
+    draws = [sharding.hypergeometric(rng, 7, 13, 6) for _ in range(n)]
+    odds = [comb(7, k) * comb(13, 6 - k) / comb(20, 6) for k in range(7)]
+    assert sum((draws.count(k) - n * q) ** 2 / (n * q) for k, q in enumerate(odds)) < 22.5  # chi-square, 6 degrees, p = 0.001
+
+
+def test_sharding_is_uniform(spark):
+    """Where rows stand in their input says nothing of where they go: shard and half of the shard, by tenths of the input."""
+    rows = sharding.shard_rows(spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(3), shards=8).collect()
+    counts = np.zeros((10, 16))
+    for r in rows:
+        counts[r.doc_id // 800, r.shard * 2 + (r.slot >= 500)] += 1
+    assert (counts.sum(0) == 500).all() and ((counts - 50) ** 2 / 50).sum() < 193  # chi-square, 135 degrees, p = 0.001
+
+
+def test_sharding_of_equal_rows(spark):
+    """A million rows that are the same: shards stay even, and no block of the first permutation holds more than its share."""
+    same = spark.range(1_000_000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
+    found = sharding.shard_rows(same, shards=40).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("d")).collect()
+    assert {(r.n, r.a, r.b, r.d) for r in found} == {(25_000, 0, 24_999, 25_000)} and len(found) == 40
+    numbers = same.select(F.pmod(F.xxhash64(F.lit("7/block"), F.monotonically_increasing_id()), F.lit(sharding.LEAST_BLOCKS)).alias("b"))
+    assert numbers.groupBy("b").count().agg(F.max("count")).first()[0] < 2 * 1_000_000 / sharding.LEAST_BLOCKS
 
 
 def test_line_dedup(docs, texts):
@@ -193,9 +371,57 @@ def test_line_dedup(docs, texts):
     assert 7 not in kept and 15 not in kept and kept[9].text == "" and kept[6].text == "short"
 
 
+def test_line_suffixes_against_plain(spark):
+    """Ranks, intervals and lengths of repeats against a suffix array and longest common prefixes made by sorting."""
+    rng = random.Random(3)
+    lines = [prose(rng, rng.randrange(0, 14)) for _ in range(12)]
+    texts = ["\n".join(lines[(a + k) % 12] for a in rng.choices(range(12), k=rng.randrange(1, 5)) for k in range(rng.randrange(1, 9))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = line_dedup.line_table(docs)
+    levels = line_dedup.rank_levels(table)
+    ids = {r.doc: r.d for r in table.select("doc", "d").distinct().collect()}
+    assert [ids[d] for d in sorted(ids)] == sorted(ids.values())
+    h = {(ids[r.doc], r.pos): (r.h1, r.h2) for r in table.collect()}
+    suffix = {(d, k): [h[d, j] for j in range(k, len(t.split("\n")))] for d, t in enumerate(texts) for k in range(len(t.split("\n")))}
+    order = sorted(suffix, key=lambda p: (suffix[p], p))
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    for j, level in enumerate(levels):
+        size = 1 << j
+        lcp = [0] + [common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])] + [0]
+        inside = [(p, k) for k, p in enumerate(order) if max(lcp[k], lcp[k + 1]) >= size]
+        got = {(ids[r.doc], r.pos): r.rank for r in level.collect()}
+        assert set(got) == {p for p, _ in inside}
+        # The suffix array's intervals in its order: the same rank within one, a greater one after it.
+        ranks = [got[p] for p, _ in inside]
+        assert ranks == sorted(ranks)
+        assert all((ranks[i] == ranks[i + 1]) == (inside[i][1] + 1 == inside[i + 1][1] and lcp[inside[i + 1][1]] >= size) for i in range(len(ranks) - 1))
+    most = (2 << len(levels) - 1) - 1
+    longest = {p: max((common(suffix[p], suffix[q]) for q in suffix if q < p), default=0) for p in suffix}
+    found = {(ids[r.doc], r.pos): (r.ahead, r.m) for r in line_dedup.earlier_prefixes(table, levels).collect()}
+    assert all(m == min(longest[p], most) for p, (ahead, m) in found.items() if m >= ahead)
+    words = lambda p, n: sum(len(x.split()) for x in texts[p[0]].split("\n")[p[1] : p[1] + n])
+    assert {p for p in suffix if words(p, longest[p]) >= 50} == {p for p, (ahead, m) in found.items() if m >= ahead} != set()
+
+
+def test_line_dedup_of_tied_ids(spark, texts):
+    """Documents of one id are ordered by text hash; equal rows are one document; a run's first copy stays exactly once."""
+    passage = texts[7]
+    rows = [(1, f"{passage}\nlast {k % 4}") for k in range(8)] + [(None, passage)] * 3
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep=["doc_id"]).collect()
+    kept = {r.text for r in got if passage in r.text}
+    assert len(kept) == 1 and sum(passage in r.text for r in got) == 2 and [r.text for r in got if r.doc_id is None] == [""] * 3
+
+
 def test_decontaminate_against_plain(spark, docs, texts):
     items = [(1, " ".join(texts[4].split()[5:30])), (22, texts[3]), (3, "of9 zz"), (4, ""), (5, None), (6, texts[2])]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.find_contamination(docs, bench.limit(0)).filter("contaminated or n_hit > 0").isEmpty()
     for bound in (decontaminate.TABLE_WORDS, 150):
         got = by_id(decontaminate.find_contamination(docs, bench, table_words=bound))
         for i, t in enumerate(texts):
@@ -228,37 +454,34 @@ def test_sentencepiece(docs, texts):
     assert other[4].ids != rows[4].ids
     m = sentencepiece_dropout.DropoutBPE(rate=0.3, seed=3)
     assert all(m._short(w, k) == m._long(w, k) for w in (" pathological", " internationalisation") for k in range(50))
+    assert len({tuple(m._short(" internationalisation", k)) for k in range(400)}) > 30
 
 
 @pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
-def test_sentencepiece_units_in_step(texts, rate):
-    m = sentencepiece_dropout.DropoutBPE(rate=rate, seed=7, remembered=40)
-    text = " ".join(t for t in texts if t) + " " + " ".join("ab" * k for k in range(60)) + " é🙂ß 日本 x▁y\x00"
-    units = sentencepiece_dropout.UNITS.findall(" " + text)
-    streams = [k % m.streams for k in range(len(units))]
-    want = [np.array(m.unit(u, s), "<i4").tobytes() for u, s in zip(units, streams)]
-    assert m.units(units, streams) == want and m.units([], []) == []
-    rows = [t or "" for t in texts]
-    once = m.packed(rows)
-    assert [m.packed([t])[0] for t in rows] == once == m.packed(rows)  # through several generations of memory
-    assert [m.decode(np.frombuffer(x, "<i4").tolist()) for x in once] == rows
-
-
-def test_sentencepiece_occurrences(texts):
-    m = sentencepiece_dropout.DropoutBPE(rate=0.1, seed=7, remembered=200)
-    for t in [t for t in texts if t] + [" pathological internationalisation the" * 30, "ab" * 40 + " é🙂ß\n\n  x"]:
-        units = sentencepiece_dropout.UNITS.findall(" " + t)
-        want = [i for u, s in zip(units, m._chosen(t, len(units))) for i in m.unit(u, s)]
-        assert m.encode(t) == want
-    found = {m.packed([f"{k} " + "pathological " * 50])[0] for k in range(4)}
-    assert len(found) == 4
+def test_sentencepiece_against_the_agenda(texts, rate):
+    """Remembered paths and agendas in step give what the agenda of each occurrence gives, alone and through several thinnings of the memory."""
+    m = sentencepiece_dropout.DropoutBPE(rate=rate, seed=7, remembered=300)
+    rows = [t or "" for t in texts] + [" pathological internationalisation the" * 30, "ab" * 40 + " é🙂ß\n\n  x", " ".join("ab" * k for k in range(60)) + " 日本 x▁y\x00"]
+    want = []
+    for t in rows:
+        units = sentencepiece_dropout.UNITS.findall(" " + t) if t else []
+        want.append(np.array([i for u, k in zip(units, m.keys(t, len(units))) for i in m.unit(u, k)], "<i4").tobytes())
+    assert m.packed(rows) == want == m.packed(rows) and [m.packed([t])[0] for t in rows] == want
+    assert [m.decode(np.frombuffer(x, "<i4").tolist()) for x in want] == rows and m.packed([]) == []
+
+
+def test_sentencepiece_draws():
+    m = sentencepiece_dropout.DropoutBPE(rate=0.1, seed=7)
+    draws = [sentencepiece_dropout.draw(k, a, e) < m.limit for k in m.keys("some text", 4000) for a, e in ((0, 2), (1, 3), (0, 5))]
+    assert sum(draws) / len(draws) == pytest.approx(0.1, abs=0.01)
+    assert m.keys("some text", 5) == m.keys("some text", 9)[:5] != sentencepiece_dropout.DropoutBPE(rate=0.1, seed=8).keys("some text", 5)
     forms, at = set(), ()
     for i in m.encode("pathological " * 400):
         if m.raw[i][:1] == b" " and at:
             forms.add(at)
             at = ()
         at += (i,)
-    assert len(forms) > 8  # more than a fixed number of streams would give
+    assert len(forms) > 20  # occurrences in one text draw for themselves
 
 
 def test_token_memory_against_library(texts):
@@ -307,10 +530,85 @@ def test_toxicity_of_a_pair():
     assert sum(pairs) > 0.8 * len(pairs) and sum(alone) < 0.05 * len(alone)
 
 
+def test_toxicity_against_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    w, v = rng.normal(size=toxicity.BUCKETS).astype(np.float32), rng.normal(size=(toxicity.BUCKETS, 4)).astype(np.float32)
+    machine = toxicity.Machine(-0.3, w, v)
+    at = toxicity.places(b"some words of a text that is short", {})
+    want = -0.3 + w[at].sum() + sum(float(v[i] @ v[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+    assert machine.margin(at) == pytest.approx(want, rel=1e-4)
+
+
+def test_toxicity_pair_that_is_harmless_apart():
+    """Words that say something in pairs only: the machine learns them, an additive model trained on the same rows can't."""
+    rng, rows = random.Random(6), []
+    for _ in range(4000):
+        a, b = rng.choice(["amber", "cobalt"]), rng.choice(["basalt", "dune"])
+        rows.append((int((a == "amber") == (b == "basalt")), f"{prose(rng, 8)} {a} {b}".encode()))
+    learned = [(y, toxicity.places(t, {})) for y, t in rows[:3200]]
+    machine, additive = toxicity.train(learned), toxicity.train(learned, factors=0)
+    right = lambda m: sum((m.score(t) >= 0.5) == y for y, t in rows[3200:]) / 800
+    assert right(machine) > 0.95 and right(additive) < 0.65
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 5, f"word{k}") for k in range(500)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    own = labels.filter(~toxicity.held_out(F.col("doc_id")))
+    seen = []
+    train, toxicity.train = toxicity.train, lambda rows: seen.append(rows) or train(rows)
+    try:
+        toxicity.fit(docs, labels, fit_rows=3)
+    finally:
+        toxicity.train = train
+    assert 0 < len(seen[0]) <= 3 < own.count()
+
+
 def test_empty_tables(spark, docs):
-    empty = docs.limit(0)
-    assert line_dedup.report(empty).count() == simhash.near_duplicates(empty).count() == sharding.shard_rows(empty).count() == 0
-    assert token_table.roundtrip(empty).count() == pii.report(empty).count() == isomedia.store_and_describe(empty).count() == 0
+    empty, no_bench = docs.limit(0), spark.createDataFrame([], "item_id long, text string")
+    no_labels = spark.createDataFrame([], "doc_id long, toxic int")
+    frames = [
+        line_dedup.report(empty), line_dedup.deduplicate(empty), simhash.near_duplicates(empty), simhash.representatives(empty), sharding.shard_rows(empty),
+        token_table.roundtrip(empty), pii.report(empty), pii.redact(empty), isomedia.store_and_describe(empty), decontaminate.find_contamination(empty, no_bench),
+        decontaminate.keep_uncontaminated(empty, no_bench), sentencepiece_dropout.encode_documents(empty), toxicity.classify(empty, no_labels), warc.roundtrip(spark.createDataFrame([], "page_id long, url string, html string")),
+    ]
+    assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_clashing_columns(spark, docs, texts):
+    """Columns with every inner name, and with names that need quoting: values unchanged where rows pass through, results the same where not."""
+    bench = clashing(spark.createDataFrame([(1, texts[3]), (2, None)], "item_id long, text string"))
+    labels = clashing(spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int"))
+    machine = toxicity.fit(docs, labels)
+    for frame in (pii.redact(docs), line_dedup.deduplicate(docs), simhash.representatives(docs), toxicity.keep_clean(docs, machine), decontaminate.keep_uncontaminated(docs, bench, table_words=5)):
+        assert frame.columns == docs.columns and unharmed(frame)
+    plain, few = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
+    same = lambda f, *more: sorted(map(str, f(docs, *more).collect())) == sorted(map(str, f(plain, *more).collect()))
+    assert all(map(same, (pii.report, line_dedup.report, simhash.near_duplicates, isomedia.store_and_describe, token_table.roundtrip, sentencepiece_dropout.encode_documents)))
+    assert same(decontaminate.find_contamination, bench) and same(toxicity.classify, labels) and same(toxicity.classify, few)
+    assert sharding.shard_rows(docs, carried=("kept", "a.b")).filter("kept = concat('kept/', coalesce(doc_id, -1))").count() == docs.count()
+    pages = clashing(spark.createDataFrame([(1, "u", "same"), (2, None, "same")], "page_id long, url string, html string"))
+    assert warc.roundtrip(pages).filter("refers_to = 2").count() == 1
+
+
+def test_very_long_texts(spark):
+    """A text of two million characters, and one of a single word, through all ten."""
+    rng = random.Random(12)
+    lines = [prose(rng, 30) for _ in range(200)]
+    long = "\n".join(rng.choice(lines) + str(k) for k in range(11_500)) + " a.b@c.de 1.2.3.4"
+    rows = [(1, long), (2, "x" * 2_000_000), (3, "9" * 300_000), (4, "short")]
+    assert len(long) > 2_000_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long.split()[-40:-20]))], "item_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (3, 0), (1, 0)], "doc_id long, toxic int")
+    assert by_id(pii.report(docs))[1].n_email == 1
+    assert by_id(isomedia.store_and_describe(docs))[1].n_bytes == len(long)
+    assert by_id(token_table.roundtrip(docs))[2].n_tokens > 1 and by_id(sentencepiece_dropout.encode_documents(docs))[1].lossless
+    assert by_id(decontaminate.find_contamination(docs, bench))[1].n_hit >= 20
+    assert by_id(simhash.near_duplicates(docs))[1].component_id == 1 and simhash.representatives(docs).count() == 4
+    assert by_id(line_dedup.report(docs))[1].n_lines == 11_500 and sharding.shard_rows(docs).count() == toxicity.classify(docs, labels).count() == 4
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert sorted(r.payload_bytes for r in warc.roundtrip(pages).collect())[-1] == len(long)
 
 
 def test_pipeline(spark):
