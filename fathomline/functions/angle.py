@@ -36,6 +36,17 @@ def parse_angle(text: Column) -> Column:
     return F.coalesce(plain, d, dm, dms)
 
 
+def degrees_of(value: Column | float | str) -> Column:
+    """Signed degrees of a column (as it is), a float, or an angle's text; whole numbers and all else are an error, for they might be meant otherwise."""
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, float):
+        return F.lit(value)
+    if isinstance(value, str):
+        return parse_angle(F.lit(value))
+    raise ValueError(f"neither a column, a float nor a text: {value!r}")
+
+
 def from_degrees(value: Column, hemisphere: Column) -> Column:
     """Signed degrees from a magnitude and N, S, E or W; null for another letter."""
     h = F.upper(hemisphere)

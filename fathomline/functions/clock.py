@@ -99,6 +99,11 @@ def duration_parts(seconds: Column) -> Column:
     )
 
 
+def duration_views(seconds: Column) -> Column:
+    """Struct days, hours, minutes, seconds: the whole duration in each unit, with its fraction."""
+    return F.struct((seconds / 86400).alias("days"), (seconds / 3600).alias("hours"), (seconds / 60).alias("minutes"), seconds.cast("double").alias("seconds"))
+
+
 def format_duration(seconds: Column) -> Column:
     p = duration_parts(seconds)
     return F.format_string("%dd %02dh %02dm %02ds", p["d"], p["h"], p["m"], p["s"])

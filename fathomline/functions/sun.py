@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Zenith angles of sunrise and of the three twilights.
 ZENITHS = {"visible": 90.833, "civil": 96.0, "nautical": 102.0, "astronomical": 108.0}
 
+# Hours from universal time of the named zones, without summer time.
+ZONES = {"EST": -5.0, "CST": -6.0, "MST": -7.0, "PST": -8.0}
+
 
 def sun_minutes(when: Column, lat: Column, lon: Column, offset_hours: Column, zenith: float = ZENITHS["visible"]) -> Column:
     """Struct noon, rise, set in minutes after local midnight, and state: ``day`` where the sun never sets,

@@ -129,6 +129,18 @@ def route_table_legs(spark, sf_dir):
     return legs.select(F.col("source_file").cast("long").alias("route"), "leg", "name", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("distance", 1).alias("distance"), "bearing", "ete_seconds", "eta", "eta_summary", "course")
 
 
+@query(f"""select route, (seq - 1)::INT as "Leg", name as "To waypoint", round(seq * 1.5::DOUBLE, 1) as "Distance", (seq * 7)::DOUBLE as "Bearing", (seq * 3720)::BIGINT as "ETE", 5.0::DOUBLE as "Speed", 'd' as "Description" from ({ROUTES}) where seq > 1""")
+def route_table_print(spark, sf_dir):
+    t = logs.printed_legs(logs.route_legs(logs.route_tables(_route_texts(spark, sf_dir))))
+    return t.select(F.col("source_file").cast("long").alias("route"), "Leg", "To waypoint", F.round("Distance", 1).alias("Distance"), "Bearing", "ETE", "Speed", "Description")
+
+
+@query("select o_orderkey as k, (o_orderkey % 90000) / 86400.0::DOUBLE as days, (o_orderkey % 90000) / 3600.0::DOUBLE as hours, (o_orderkey % 90000) / 60.0::DOUBLE as minutes, (o_orderkey % 90000)::DOUBLE as seconds from orders")
+def duration_views(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return views.load(spark, sf_dir, "orders").select(k.alias("k"), clock.duration_views(k % 90000).alias("v")).select("k", "v.*")
+
+
 def _uuid(key: str):
     h = F.md5(F.col(key).cast("string"))
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))

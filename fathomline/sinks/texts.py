@@ -67,7 +67,11 @@ def page_html(tables: DataFrame, by: list[str], title: Column, summary: dict[str
     return tables.select(*by, F.concat(F.lit("<html>\n<h1>"), escape(title), F.lit("</h1>\n<dl>\n"), terms, F.lit("</dl>\n"), "text", F.lit("</html>\n")).alias("text"))
 
 
-def output_path(path: str, kind: str, suffix: str = "-legs") -> str:
+# What the reports of a track and of a route are called after their input.
+DISTANCE, SCHEDULE = " Distance", " Schedule"
+
+
+def output_path(path: str, kind: str = "csv", suffix: str = DISTANCE) -> str:
     """Where a document made from the file ``path`` goes: beside it, its ending changed."""
     stem, dot, _ = path.rpartition(".")
     return f"{stem if dot and '/' not in path[len(stem):] else path}{suffix}.{kind}"

@@ -158,3 +158,9 @@ def route_legs(tables: DataFrame, include_leg0: bool = False) -> DataFrame:
         F.when(cell("Course") != "Arrived", number("Course", r"^\s*(\d+)\s.\w+")).alias("course"),
     )
     return legs if include_leg0 else legs.filter("leg <> 0")
+
+
+def printed_legs(legs: DataFrame) -> DataFrame:
+    """Legs under the names they have in a route table, in its order, as far as a leg has them."""
+    own = dict(zip(LEG, ["leg", "name", "distance", "bearing", "lat", "lon", "ete_seconds", "eta", "speed", "tide", "description", "course"]))
+    return legs.select("source_file", *(F.col(c).alias(n) for n, c in own.items()))

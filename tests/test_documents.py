@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.functions import clock, geocode, geomagnetic
+from fathomline.functions import angle, clock, geocode, geomagnetic, sun
 from fathomline.operators import match
 from fathomline.sinks import texts
 from fathomline.sinks.usr import encode
@@ -15,7 +15,7 @@ from fathomline.sources import logs, usr
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["gpx_tracks", "gpx_waypoints", "track_csv", "track_csv_rejected", "route_csv", "route_table_legs", "usr_waypoints", "usr_routes", "track_report_csv", "duplicates_report", "survey_report", "field_degree2"])
+@pytest.mark.parametrize("name", ["gpx_tracks", "gpx_waypoints", "track_csv", "track_csv_rejected", "route_csv", "route_table_legs", "route_table_print", "duration_views", "usr_waypoints", "usr_routes", "track_report_csv", "duplicates_report", "survey_report", "field_degree2"])
 def test_queries_by_sql(spark, name):
     import duckdb
 
@@ -145,4 +145,11 @@ def test_pages_and_names(spark):
     df = spark.createDataFrame([("r<1>", 0, "a&b")], "route string, seq int, name string")
     page = texts.page_html(texts.table_html(df, ["route"], "seq", ["seq", "name"]), ["route"], F.col("route"), {"From": F.lit("x")}).first().text
     assert "<h1>r&lt;1&gt;</h1>" in page and "<dt>From</dt><dd>x</dd>" in page and "<td>a&amp;b</td>" in page
-    assert texts.output_path("a/b.c/track.csv", "html") == "a/b.c/track-legs.html" and texts.output_path("a.b/track", "csv") == "a.b/track-legs.csv"
+    assert texts.output_path("a/b.c/track.csv") == "a/b.c/track Distance.csv" and texts.output_path("a.b/route", "html", texts.SCHEDULE) == "a.b/route Schedule.html"
+
+
+def test_coercion(spark):
+    row = spark.range(1).select(angle.degrees_of(10.5), angle.degrees_of("10 30.0S"), angle.degrees_of(F.lit(1.0))).first()
+    assert list(row) == [10.5, -10.5, 1.0] and sun.ZONES["EST"] == -5.0
+    with pytest.raises(ValueError):
+        angle.degrees_of(10)
