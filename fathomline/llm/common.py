@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 from ..scratch import fresh_path, settle
 
 KEPT = "kept"
+SLICE_BYTES = 4 << 20
+BATCH_SETTING, BATCH_USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -21,6 +23,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of ``stored`` from the shared folder; what was made of them must be settled."""
+    for df in frames:
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        context = df.sparkSession.sparkContext
+        for folder in folders:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,13 +68,18 @@ def utf8(values: pa.Array) -> list[bytes]:
 
 
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow with a function that is built once per task."""
+    """mapInArrow with a function that is built once per task and gets slices of some ``SLICE_BYTES``, so that a worker never holds
+    the texts of a whole batch in several forms."""
+
+    if df.sparkSession.conf.get(BATCH_SETTING) == BATCH_USUAL:  # not set by the caller; long texts fill batches of that size
+        df.sparkSession.conf.set(BATCH_SETTING, f"{2 * SLICE_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for k in range(0, batch.num_rows, rows):
+                yield step(batch.slice(k, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carry, give_back, map_batches, named, settle, stored, text_of
+from .common import KEPT, carry, discard, give_back, map_batches, named, settle, stored, text_of
 
 MIN_WORDS = 50
 KEY = ["d", "t1", "t2"]
@@ -206,7 +206,7 @@ def rank_levels(lines: DataFrame) -> list[DataFrame]:
     first = settle(intervals(lines.select(*PLACE, "span", "h1", "h2"), ["h1", "h2"]).select(*PLACE, "span", "rank"))
     longest = first.agg(F.max("span")).first()[0] or 0
     levels = [first.select(*PLACE, "rank")] if longest else []
-    while 2 << len(levels) - 1 <= longest:
+    while levels and 1 << len(levels) <= longest:
         ranks, size = levels[-1], 1 << len(levels) - 1
         after = ranks.select("doc", (F.col("pos") - size).alias("pos"), F.col("rank").alias("r2"))
         pairs = ranks.withColumnRenamed("rank", "r1").join(after, PLACE)
@@ -264,6 +264,7 @@ def _cut(docs: DataFrame, min_words: int, keep: list[str]) -> DataFrame:
         rows = rows.join(settle(per_doc.join(lines.filter("pos = 0").select("doc", *KEY), "doc").select(*KEY, "runs")), KEY, "left")
     else:
         rows = rows.withColumn("runs", F.lit(None).cast("array<struct<a:long,b:long>>"))
+    discard(lines)
     keeps = F.filter(whole, lambda _, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i < r["b"])))
     deleted = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
     return rows.withColumns({
@@ -284,7 +285,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kinds = {f.name: f.dataType for f in docs.schema.fields}
 
     def column(name: str):
-        old = F.col("kept").getField(name)
+        old = F.col(KEPT).getField(name)
         return (F.when(changed, new[name].cast(kinds[name])).otherwise(old) if name in new else old).alias(name)
 
     return left.select(*(column(c) for c in names))
