@@ -58,3 +58,23 @@ select documents.doc_id,
   coalesce(len(cut.gone), 0)::BIGINT as n_deleted
 from documents left join cut on documents.doc_id is not distinct from cut.doc_id and documents.text = cut.text
 """
+
+# CRC-32: its table from its rule (eight halvings a byte, the reflected polynomial where a bit falls out), then a byte at a time.
+_CRC_ROW = "list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT)"
+_BYTES = "list_transform(range(1, strlen(w) + 1), lambda k: ('0x' || substr(hex(encode(w)), 2 * k - 1, 2))::BIGINT)"
+
+ORACLES["op12_resampling"] = f"""
+with tab as (select list({_CRC_ROW} order by i) as t from range(256) r(i)),
+dw as (select row_number() over () as r, doc_id, {_WORDS} as words from documents),
+d as (select r, w from (select r, unnest(words) as w from dw)),
+b as (select unnest({_WORDS}) as w from benchmark),
+dict as (select w, xor(list_reduce({_BYTES}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 as bucket from (select distinct w from (select w from d union all select w from b)), tab),
+sums as (select bucket, count(*) filter (k = 0) as s, count(*) filter (k = 1) as t from (select w, 0 as k from d union all select w, 1 from b) join dict using (w) group by bucket),
+totals as (select coalesce(sum(s), 0)::DOUBLE as s_all, coalesce(sum(t), 0)::DOUBLE as t_all from sums),
+gains as (select bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT as gain from sums, totals),
+weights as (select r, floor(sum(gain)::DOUBLE / count(*))::BIGINT as weight from d join dict using (w) join gains using (bucket) group by r),
+scored as (select r, doc_id, len(words)::BIGINT as n_features, coalesce(weight, 0)::BIGINT as weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT as score from dw left join weights using (r)),
+ranked as (select r, row_number() over (order by score desc, doc_id nulls last, r) as o, count(*) over () as n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when o <= n * 10 // 100 then o end::BIGINT as rank from scored left join ranked using (r)
+"""
