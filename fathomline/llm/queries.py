@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, isomedia, line_dedup, periodic_runs, pii, resampling, sentencepiece_dropout, sharding, simhash, token_table, toxicity, warc
+from . import decontaminate, isomedia, jaccard_join, line_dedup, periodic_runs, pii, resampling, sentencepiece_dropout, sharding, simhash, token_table, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -65,6 +65,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

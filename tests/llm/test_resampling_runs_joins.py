@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import periodic_runs, queries, resampling
+from fathomline.llm import jaccard_join, periodic_runs, queries, resampling
 from test_operators import clashing, unharmed
 
 SF = "/root/testdata/sf0.001"
@@ -172,3 +172,116 @@ def test_resampling_edges(spark):
     drawn = resampling.draw(clashing(docs), docs, least_words=1, percent=100)
     assert unharmed(drawn) and drawn.count() == 1
     assert resampling.draw(docs.withColumn("rank", F.lit("mine")), docs, least_words=1, percent=100).collect()[0].asDict() == {"doc_id": 1, "text": "a b c", "rank": "mine"}
+
+
+def plain_sets(texts, shingle):
+    out = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", w)
+        out.append({tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} - {()})
+    return out
+
+
+def plain_components(ids, sets, percent):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, k in enumerate(ids):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    return [ids[i] if not sets[i] else least.get(find(i)) for i in range(len(ids))]
+
+
+def changed(rng, words, times):
+    words = list(words)
+    for _ in range(times):
+        k = rng.randrange(len(words))
+        words[k : k + rng.randrange(2)] = [f"n{rng.randrange(10**9)}"] * rng.randrange(2)
+    return words
+
+
+def group_texts(rng):
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [None, "", "  ", "One", "one", "one two", "ONE TWO", "one two three", "one two three one two three", "É a b", "é a b"]
+    for n in (5, 20, 60, 200):
+        base = fresh(n)
+        texts += [" ".join(changed(rng, base, rng.randrange(1 + n // 20))) for _ in range(12)]
+    for size, changes in ((80, 2), (80, 9)):  # a large group of near copies; a template whose texts are just not near enough
+        base = fresh(150)
+        texts += [" ".join(changed(rng, base, changes)) for _ in range(size)]
+    passage = fresh(60)  # half of many texts
+    texts += [" ".join([*fresh(60), *passage]) for _ in range(60)]
+    chain = fresh(120)  # each near the next, the ends far apart
+    for _ in range(15):
+        chain = changed(rng, chain, 2)
+        texts.append(" ".join(chain))
+    return texts + [texts[20], texts[20], texts[50].upper()]
+
+
+@pytest.mark.parametrize("shingle, percent", [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_links_against_all_pairs(spark, shingle, percent):
+    texts = group_texts(random.Random(shingle))
+    ids = [3 * i % 1000 for i in range(len(texts))]
+    ids[25] = ids[0] = None
+    ids[40] = ids[41]
+    docs = clashing(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4))
+    sets = plain_sets(texts, shingle)
+    want = sorted(((i, len(x), c) for i, x, c in zip(ids, sets, plain_components(ids, sets, percent))), key=str)
+    got = sorted(map(tuple, jaccard_join.join(docs, jaccard_join.Similarity(shingle, percent)).collect()), key=str)
+    assert got == want
+    assert len({c for _, _, c in want}) < len(want) - 30
+
+
+def test_jaccard_query_against_all_pairs(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    ids, sets = [r.doc_id for r in rows], plain_sets([r.text for r in rows], 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op13_jaccard_join(spark, SF).collect()}
+    assert got == {i: (len(x), c) for i, x, c in zip(ids, sets, plain_components(ids, sets, 90))}
+    assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("rule, changes", [(jaccard_join.Similarity(5, 80), 14), (jaccard_join.Similarity(3, 90), 12)])
+def test_templates_do_not_become_all_pairs(spark, monkeypatch, rule, changes):
+    """300 texts of one base, no two of them near enough: a few thousand pairs are confirmed, not 44,850."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for k in rng.sample(range(400), changes):
+            w[k] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    pairs = []
+    product = jaccard_join._product
+    monkeypatch.setattr(jaccard_join, "_product", lambda p, *more: pairs.append(p.count()) or product(p, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = plain_sets(texts, rule.shingle)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, rule).collect()}
+    assert got == dict(enumerate(plain_components(list(range(300)), sets, rule.percent)))
+    assert sum(pairs) < 3_000, pairs
+
+
+def test_jaccard_counts_and_bounds():
+    rule, rng = jaccard_join.Similarity(3, 90), random.Random(1)
+    for a in range(1, 60):
+        for b in range(1, 60):
+            fits = [o for o in range(min(a, b) + 1) if 100 * o >= 90 * (a + b - o)]
+            assert (min(fits) if fits else rule.least(a, b)) == rule.least(a, b)
+            assert not fits or min(fits) > a - rule.prefix(a)
+    hashes = jaccard_join.WordHashes()
+    x = [f"w{k}".encode() for k in range(300)]
+    y = x[:100] + [b"new"] + x[103:]
+    s, t = (jaccard_join.shingles(b" ".join(w), 3, hashes) for w in (x, y))
+    apart = sum(int(v).bit_count() for v in np.bitwise_xor(*(jaccard_join.parities(z).view(np.uint64) for z in (s, t))))
+    assert len(s) == 298 and apart <= len(np.setxor1d(s, t)) == 8
