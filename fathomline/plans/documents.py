@@ -89,6 +89,22 @@ def track_csv_rejected(spark, sf_dir):
     return bad.select(_of_file(), F.col("seq").cast("long").alias("seq"), row("latitude", "Lat", "LAT").alias("lat"), row("Speed, kn").alias("speed"), F.size("source_row").alias("cells"))
 
 
+_NOTE = "case when event_id % 3 = 0 then 'fix ' || event_id || chr(10) || repeat('x', 500) || ' \"ok\"' || chr(10) || chr(10) || ', done' else 'plain' end"
+
+
+@query(f"""select event_id // 20000 as file, event_id % 20000 - min(event_id % 20000) over (partition by event_id // 20000) as seq, true as ok, date_trunc('second', time) as time, round(round(lat, 6), 5) as lat, round(round(lon, 6), 5) as lon, {_NOTE} as note from ({FIXES})""")
+def track_csv_breaks(spark, sf_dir):
+    """Logs without a header whose comments hold line breaks and quotes: files of several splits, all of whose rows are read."""
+    note = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"fix '), "event_id", F.lit("\n"), F.repeat(F.lit("x"), 500), F.lit(' ""ok""\n\n, done"'))).otherwise("plain")
+    at = F.date_format("time", "yyyy-MM-dd HH:mm:ss '+0000'")
+    rows = views.fixes(spark, sf_dir).withColumn("file", F.floor(F.col("event_id") / 20000))
+    lines = rows.select("file", "event_id", F.concat_ws(",", at, F.format_string("%.6f", "lat"), F.format_string("%.6f", "lon"), F.lit("219,3.6,,,,,"), note).alias("value"))
+    path = fresh_path(spark, "logs")
+    lines.repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    log = logs.read_track_log(spark, path)
+    return log.select(_of_file("file"), "seq", "ok", "time", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), F.col("source_row")["comment"].alias("note"))
+
+
 def _route_files(spark, sf_dir) -> str:
     rows = views.routes(spark, sf_dir).withColumn("doc", F.col("route") % 8)
     line = F.concat(F.col("name"), F.lit(","), F.format_string("%.4fN", "lat"), F.lit(","), F.format_string("%.4fW", F.abs("lon")), F.lit(',"leg ""'), F.col("seq"), F.lit('"", on"'))

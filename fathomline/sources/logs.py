@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import sys
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.angle import parse_angle
 from ..functions.clock import parse_datetime, parse_duration
+from .records import csv_records
 
 # The columns of a log without a header, in order.
 PLAIN_LOG = ["date", "latitude", "longitude", "cog", "sog", "heading", "speed", "depth", "windAngle", "windSpeed", "comment"]
@@ -24,49 +28,55 @@ def match_header(names: list[str]) -> tuple[str, str, str] | None:
     return tuple(found) if all(found) else None
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, seq (from 0 in each file) and value of every line that isn't empty. A file is one track, so it is one group."""
-    lines = spark.read.text(path).filter("trim(value) <> ''").select(F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("place"), "value")
-    w = Window.partitionBy("source_file").orderBy("place")
-    return lines.select("source_file", (F.row_number().over(w) - 1).alias("seq"), "value", F.first("value").over(w).alias("head"))
+def cells_of(record: str) -> list[str | None]:
+    """The cells of a CSV record, quotes resolved; empty ones, and all of what is no CSV, are null."""
+    csv.field_size_limit(sys.maxsize)
+    try:
+        return [c.strip() or None for c in next(csv.reader(record.splitlines(keepends=True)), [])]
+    except csv.Error:
+        return []
 
 
-def _cells(line: Column) -> Column:
-    """The cells of a CSV line, quotes resolved; empty ones are null."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(parts, lambda x: F.nullif(F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), F.lit("")))
+def _layout(head: str) -> tuple[bool, list[tuple[str, int]], tuple[int, int, int]]:
+    """Of a file's first record: whether it is a header, the names of the columns with their places, and the places of date, latitude and longitude.
+    A name that stands twice keeps its number the second time."""
+    cells = cells_of(head)
+    found = match_header([c for c in cells if c])
+    if not found:
+        return False, list(zip(PLAIN_LOG, range(len(PLAIN_LOG)))), (0, 1, 2)
+    names = [(c if cells.index(c) == k else f"{c}_{k + 1}", k) for k, c in enumerate(cells) if c]
+    return True, names, tuple(cells.index(c) for c in found)
 
 
-def _place(names: Column, *begins: str) -> Column:
-    """The place (from 1) of the first name that begins so; 0: none."""
+LOG_ROW = "source_file string, seq long, date_text string, lat_text string, lon_text string, source_row map<string, string>"
 
-    def first(begin: str) -> Column:
-        return F.nullif(F.array_position(F.transform(names, lambda n: F.startswith(F.lower(F.coalesce(n, F.lit(""))), F.lit(begin))), F.lit(True)), F.lit(0).cast("long"))
 
-    return F.coalesce(*map(first, begins), F.lit(0).cast("long"))
+def _log_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    layouts: dict[str, tuple] = {}
+    names = [x.split()[0] for x in LOG_ROW.split(", ")[:5]] + ["source_row"]
+    for batch in batches:
+        out = []
+        for file, seq, value, head in zip(*(batch.column(c).to_pylist() for c in ("source_file", "seq", "value", "head"))):
+            if head not in layouts:
+                if len(layouts) > 1_000:
+                    layouts.clear()
+                layouts[head] = _layout(head)
+            has_header, columns, places = layouts[head]
+            if seq or not has_header:
+                cells = cells_of(value)
+                get = lambda k: cells[k] if k < len(cells) else None
+                out.append((file, seq - has_header, *map(get, places), [(name, get(k)) for name, k in columns]))
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 3, pa.map_(pa.string(), pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names=names)
 
 
 def read_track_log(spark: SparkSession, path: str, default_date: str = "1970-01-01") -> DataFrame:
-    """source_file, seq, time, lat, lon, source_row (map), ok. Each file's first line decides for that file: if it names date (or time), latitude
-    and longitude it is a header, whatever their order; else the columns are the fixed eleven. Rows that can't be read have ok false."""
-    rows = _lines(spark, path).withColumns({"cells": _cells(F.col("value")), "names": _cells(F.col("head"))})
-    at = {k: F.array_position("names", F.lit(n)) for k, n in (("date", "date"), ("lat", "latitude"), ("lon", "longitude"))}
-    all_exact = (at["date"] > 0) & (at["lat"] > 0) & (at["lon"] > 0)
-    found = {"date": _place(F.col("names"), "date", "time"), "lat": _place(F.col("names"), "lat"), "lon": _place(F.col("names"), "lon")}
-    rows = rows.withColumns({f"at_{k}": F.when(all_exact, at[k]).otherwise(found[k]) for k in at})
-    has_header = (F.col("at_date") > 0) & (F.col("at_lat") > 0) & (F.col("at_lon") > 0)
-    rows = rows.withColumn("has_header", has_header)
-    plain = F.array(*(F.lit(n) for n in PLAIN_LOG))
-    rows = rows.withColumn("names", F.when(F.col("has_header"), F.filter("names", lambda n: n.isNotNull())).otherwise(plain))
-    # A name that stands twice keeps its number the second time.
-    names = F.transform("names", lambda n, i: F.when(F.array_position("names", n) == i + 1, n).otherwise(F.concat_ws("_", n, i + 1)))
-    rows = rows.withColumn("source_row", F.map_from_arrays(names, F.transform("names", lambda _, i: F.get("cells", i))))
-    cell = lambda k, fixed: F.get("cells", F.when(F.col("has_header"), F.col(f"at_{k}")).otherwise(F.lit(fixed)).cast("int") - 1)
-    rows = rows.filter(~(F.col("has_header") & (F.col("seq") == 0))).withColumns({f"{k}_text": F.trim(cell(k, n)) for k, n in (("date", 1), ("lat", 2), ("lon", 3))})
-    out = rows.select(
-        "source_file", (F.col("seq") - F.col("has_header").cast("int")).alias("seq"), parse_datetime(F.col("date_text"), F.lit(default_date).cast("date")).alias("time"),
-        parse_angle(F.col("lat_text")).alias("lat"), parse_angle(F.col("lon_text")).alias("lon"), "source_row",
-    )
+    """source_file, seq, time, lat, lon, source_row (map), ok. Each file's first record decides for that file: if it names date (or time), latitude
+    and longitude it is a header, whatever their order; else the columns are the fixed eleven. Quoted cells may hold line breaks. Rows that can't be read have ok false."""
+    rows = csv_records(spark, path).mapInArrow(_log_rows, LOG_ROW)
+    read = F.struct(parse_datetime(F.col("date_text"), F.lit(default_date).cast("date")).alias("time"), parse_angle(F.col("lat_text")).alias("lat"), parse_angle(F.col("lon_text")).alias("lon"))
+    # Behind the generator the three are columns already computed: a filter on them doesn't parse again.
+    out = rows.select("source_file", "seq", F.inline(F.array(read)), "source_row")
     return out.withColumn("ok", F.col("time").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
@@ -95,10 +105,19 @@ def rejected(log: DataFrame) -> DataFrame:
     return log.filter(~F.col("ok")).select("source_file", "seq", "source_row")
 
 
+ROUTE_ROW = "source_file string, seq long, value string, cells array<string>"
+
+
+def _route_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells = pa.array([cells_of(x) for x in batch.column("value").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source_file", "seq", "value")), cells], names=["source_file", "seq", "value", "cells"])
+
+
 def read_route_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """source_file, seq, name, lat, lon, description from four columns without a header. Other shapes and angles
     that can't be read are an error; without ``strict`` such angles are null."""
-    rows = _lines(spark, path).withColumn("cells", _cells(F.col("value")))
+    rows = csv_records(spark, path).mapInArrow(_route_rows, ROUTE_ROW)
     shape = F.size("cells") != 4
 
     def angle(k: int) -> Column:

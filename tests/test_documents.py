@@ -10,12 +10,12 @@ from fathomline.functions import angle, clock, geocode, geomagnetic, sun
 from fathomline.operators import match
 from fathomline.sinks import texts
 from fathomline.sinks.usr import encode
-from fathomline.sources import logs, usr
+from fathomline.sources import logs, records, usr
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["gpx_tracks", "gpx_waypoints", "track_csv", "track_csv_rejected", "route_csv", "route_table_legs", "route_table_print", "duration_views", "usr_waypoints", "usr_routes", "track_report_csv", "duplicates_report", "survey_report", "field_degree2"])
+@pytest.mark.parametrize("name", ["gpx_tracks", "gpx_waypoints", "track_csv", "track_csv_rejected", "track_csv_breaks", "route_csv", "route_table_legs", "route_table_print", "duration_views", "usr_waypoints", "usr_routes", "track_report_csv", "duplicates_report", "survey_report", "field_degree2"])
 def test_queries_by_sql(spark, name):
     import duckdb
 
@@ -153,3 +153,42 @@ def test_coercion(spark):
     assert list(row) == [10.5, -10.5, 1.0] and sun.ZONES["EST"] == -5.0
     with pytest.raises(ValueError):
         angle.degrees_of(10)
+
+
+def test_quoted_line_breaks_over_splits(spark, tmp_path):
+    """Records as the csv module reads them, whatever the size of the splits."""
+    import csv
+    import random
+
+    rng = random.Random(8)
+    cell = lambda: rng.choice(["a", "", '"x"', '"a\nb"', '"say ""hi""\n\n,z"', 'stray " quote', '"closed"tail"', '"\n"', "é", '""', '" , "'])
+    files = {f"{k}.csv": "".join(",".join(cell() for _ in range(rng.randrange(2, 6))) + rng.choice(["\n", "\n\n"]) for _ in range(60)) for k in range(8)}
+    files["8.csv"] = 'a,b\n"never closed,\nx,y\n\nz'
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("37b", "200b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            rows = records.csv_records(spark, str(tmp_path)).collect()
+            got = {name: [(r.seq, logs.cells_of(r.value)) for r in sorted(rows, key=lambda r: r.seq) if r.source_file.endswith("/" + name)] for name in files}
+            for name, text in files.items():
+                want = [r for r in csv.reader(text.splitlines(keepends=True)) if r]
+                assert got[name] == [(k, [c.strip() or None for c in r]) for k, r in enumerate(want)], (size, name)
+            heads = {r.source_file[-5:]: r.head for r in rows}
+            assert all(logs.cells_of(heads[n]) == got[n][0][1] for n in files) or size == "37b"
+    finally:
+        for key, value in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{key}", value)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty/e.csv").write_text("\n\n")
+    assert records.csv_records(spark, str(tmp_path / "empty")).count() == 0 and logs.read_track_log(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_log_plan_reads_each_text_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Time,Lat,Lon,Note\n9:21 AM,37 50.424N,076 16.385W,"two\nlines"\n')
+    log = logs.good(logs.read_track_log(spark, str(tmp_path)))
+    assert log.first().source_row["Note"] == "two\nlines"
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Split") == 0 and len(plan) < 60_000, len(plan)
