@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -42,8 +43,27 @@ def ngrams(found: list[bytes], shortest: int, longest: int) -> Counter:
     return out
 
 
-# Of a block: its strings with their totals, its documents' words and numbers of distinct features, and these, document by document.
-MATRIX = "strings array<string>, totals array<bigint>, n_words array<bigint>, sizes array<bigint>, places array<int>, counts array<bigint>"
+# Of a block: its strings with their totals, its documents' words and numbers of distinct features, and these, document by document, packed.
+MATRIX = "strings array<string>, totals array<bigint>, n_words array<bigint>, sizes array<bigint>, matrix binary"
+
+
+def pack(sizes: np.ndarray, places: np.ndarray, counts: np.ndarray) -> bytes:
+    """The places of each document's features, ascending, as steps, and their counts: 32-bit numbers, the lowest bytes of all first, compressed."""
+    order = np.lexsort((places, np.repeat(np.arange(len(sizes)), sizes)))
+    places, counts = places[order], counts[order]
+    steps = np.diff(places, prepend=0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    steps[first] = places[first]
+    return zstandard.compress(b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, counts)), 3)
+
+
+def unpack(sizes: np.ndarray, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts as ``pack`` had them, each document's in ascending order of places."""
+    both = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    steps, counts = (np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for x in np.split(both, 2))
+    ends = np.cumsum(sizes)
+    run = np.concatenate([[0], np.cumsum(steps)])
+    return run[1:] - np.repeat(run[ends - sizes], sizes), counts
 
 
 def blocks(docs: DataFrame, keep: list[str], shortest: int, longest: int) -> DataFrame:
@@ -69,7 +89,8 @@ def blocks(docs: DataFrame, keep: list[str], shortest: int, longest: int) -> Dat
             held = batch.column(KEPT)
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             columns = [batch.column("block")[:1], pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), pa.array([list(numbers)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
-            columns += [one(totals, pa.int64()), one(n_words, pa.int64()), one(sizes, pa.int64()), one(places, pa.int32()), one(counts, pa.int64())]
+            packed = pack(np.array(sizes, np.int64), np.array(places, np.int64), np.array(counts, np.int64))
+            columns += [one(totals, pa.int64()), one(n_words, pa.int64()), one(sizes, pa.int64()), pa.array([packed], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
         return step
@@ -85,7 +106,7 @@ def _counted(found: DataFrame, name: str, other: str) -> DataFrame:
 def dictionary(found: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     """(string, gain) of each distinct string of the blocks ``found``: a bucket's gain is a thousand times the logarithm of how much likelier it is in the target."""
     strings = _counted(found, "s", "t").unionAll(_counted(target, "t", "s").select("string", "s", "t")).groupBy("string").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    hashed = settle(strings.select("string", "s", "t", F.pmod(F.crc32(F.encode("string", "utf-8")), F.lit(buckets)).cast("int").alias("bucket")))
+    hashed = stored(strings.select("string", "s", "t", F.pmod(F.crc32(F.encode("string", "utf-8")), F.lit(buckets)).cast("int").alias("bucket")), "strings")
     by_bucket = settle(hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))  # at most ``buckets`` rows
     all_s, all_t = (int(x or 0) for x in by_bucket.agg(F.sum("s"), F.sum("t")).first())
     d = lambda name: F.col(name).cast("double") + 1.0
@@ -99,14 +120,15 @@ def _weights(found: DataFrame, gains: DataFrame) -> DataFrame:
     strings = found.select("block", F.posexplode("strings").alias("at", "string"))
     valued = strings.join(gains, "string").select("block", F.struct("at", "gain").alias("x"))
     by_block = valued.groupBy("block").agg(F.collect_list("x").alias("gains"))  # as many as a block has strings
-    rows = found.select("block", KEPT, "n_words", "sizes", "places", "counts").join(by_block, "block", "left")
+    rows = found.select("block", KEPT, "n_words", "sizes", "matrix").join(by_block, "block", "left")
     schema = StructType([StructField(KEPT, found.schema[KEPT].dataType.elementType), *StructType.fromDDL("n_words long, n_features long, weight long").fields])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns: list[list[np.ndarray]] = [[], [], []]
             for k in range(batch.num_rows):
-                n_words, sizes, places, counts = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("n_words", "sizes", "places", "counts"))
+                n_words, sizes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("n_words", "sizes"))
+                places, counts = unpack(sizes, batch.column("matrix")[k].as_py())
                 gains = np.zeros(len(places) and int(places.max()) + 1, np.int64)
                 if len(gains):
                     pairs = batch.column("gains")[k].values
@@ -137,7 +159,8 @@ def resample(docs: DataFrame, target: DataFrame, keep: list[str] | None = None,
     held = docs.select(F.struct(*(named(c).alias(c) for c in keep)).alias(KEPT), named("doc_id").cast("long").alias("doc_id"), text_of(docs))
     found = blocks(held, [KEPT, "doc_id"], *ngram)
     wanted = blocks(target.select(F.lit(True).alias("wanted"), text_of(target)), ["wanted"], *ngram)
-    weighed = _weights(found, dictionary(found, wanted, buckets))
+    gains = dictionary(found, wanted, buckets)
+    weighed = _weights(found, gains)
     score = F.col("weight") + noise(F.col(f"{KEPT}.doc_id"), seed)
     rows = weighed.select(F.col(f"{KEPT}.{KEPT}").alias(KEPT), F.col(f"{KEPT}.doc_id").alias("doc_id"), "n_words", "n_features", "weight", score.alias("score"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
@@ -145,7 +168,7 @@ def resample(docs: DataFrame, target: DataFrame, keep: list[str] | None = None,
     drawn = rows.filter(can).count() * percent // 100
     ranked = _ranked(rows.filter(can).select("row", "doc_id", "score"), drawn)
     out = settle(rows.join(ranked, "row", "left").select(KEPT, "n_features", "weight", "score", "rank"))
-    discard(found, wanted, rows)
+    discard(found, wanted, rows, gains)
     return give_back(out, keep, "n_features", "weight", "score", "rank")
 
 
