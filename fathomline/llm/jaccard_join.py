@@ -33,7 +33,7 @@ from .common import discard, map_batches, named, settle, stored, text_of, utf8
 from .graph import components, few
 
 COUNTERS = 1 << 18
-PARITIES = 512
+PARITIES, MOST = 512, 18
 BLOCK = 100_000
 REMEMBERED = 500_000
 # An odd multiplier, and the finalizer of the published splitmix64 generator.
@@ -56,16 +56,34 @@ class Similarity:
         return n - -(-self.percent * n // 100) + 1 if n else 0
 
 
-class WordHashes(dict):
-    """A 64-bit hash of each word, remembered."""
+class _Numbers(dict):
+    """Numbers of words in the order they were met; their hashes stand in ``table``."""
+
+    def __init__(self):
+        self.table = np.zeros(1 << 16, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros(n, np.uint64)])
+        self.table[n] = xxhash.xxh3_64_intdigest(word)
+        self[word] = n
+        return n
+
+
+class WordHashes:
+    """64-bit hashes of words, remembered."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.numbers) > REMEMBERED:
+            self.numbers = _Numbers()
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return self.numbers.table[at]
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -74,24 +92,38 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
+def every_shingle(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
+    """The shingle hashes of a text in its order, repeats included."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    h = np.array([hashes[w] for w in words], np.uint64)
+    h = hashes.of(words)
     size = min(size, len(h))
     count = len(h) - size + 1
     acc = h[:count]
     for k in range(1, size):
         acc = acc * np.uint64(STEP) + h[k : k + count]
-    return np.unique(_mixed(acc).view(np.int64))
+    return _mixed(acc).view(np.int64)
+
+
+def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    found = np.sort(every_shingle(text, size, hashes))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+
+
+def parities(found: np.ndarray, classes: int) -> np.ndarray:
+    """The parities of the set's shingles in so many hash classes, as packed bits."""
+    return np.packbits((np.bincount(found & (classes - 1), minlength=classes) & 1).astype(np.uint8), bitorder="little")
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """The parities of the set's hash classes as packed 64-bit numbers."""
-    odd = np.bincount(found & (PARITIES - 1), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def apart(p: np.ndarray, q: np.ndarray) -> int:
+    """In how many parities two sets differ; the longer one is folded to the length of the shorter."""
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _levels(docs: DataFrame, rule: Similarity) -> np.ndarray:
@@ -100,8 +132,8 @@ def _levels(docs: DataFrame, rule: Similarity) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes = np.zeros(COUNTERS, np.int64), WordHashes()
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                np.add.at(counts, shingles(text, rule.shingle, hashes) & (COUNTERS - 1), 1)
+            found = [every_shingle(text, rule.shingle, hashes) & (COUNTERS - 1) for text in utf8(batch.column("text"))]
+            counts += np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]), minlength=COUNTERS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["class", "n"])
 
@@ -112,11 +144,11 @@ def _levels(docs: DataFrame, rule: Similarity) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n / max(n.mean(), 1), 1))).astype(np.uint8)
 
 
-SETS = "doc_id long, t1 long, t2 long, key binary, size int, parity array<long>, firsts array<long>"
+SETS = "doc_id long, t1 long, t2 long, key binary, size int, parity array<long>, sketch binary, firsts array<long>"
 
 
 def sets(docs: DataFrame, rule: Similarity) -> DataFrame:
-    """A row of each row of ``docs``: doc_id, two hashes of the text, key (128 bits of the set) and size; once a task for each key, parity and firsts."""
+    """A row of each row of ``docs``: doc_id, two hashes of the text, key (128 bits of the set) and size; once a task for each key, parity (``PARITIES`` classes), sketch (as many classes as the set is large) and firsts."""
     shared = docs.sparkSession.sparkContext.broadcast(_levels(docs, rule))
     names = [x.split()[0] for x in SETS.split(", ")]
 
@@ -134,21 +166,22 @@ def sets(docs: DataFrame, rule: Similarity) -> DataFrame:
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 if key in seen or not len(found):
-                    rows.append((key, len(found), None, None))
+                    rows.append((key, len(found), None, None, None))
                 else:
                     order = np.argsort(levels[found & (COUNTERS - 1)], kind="stable")
-                    rows.append((key, len(found), parities(found), found[order[: rule.prefix(len(found))]]))
+                    fit = 1 << min(MOST, max(PARITIES, len(found)).bit_length())
+                    rows.append((key, len(found), parities(found, PARITIES).view(np.int64), parities(found, fit).tobytes(), found[order[: rule.prefix(len(found))]]))
                 seen.add(key)
-            kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=names)
 
         return step
 
-    rows = docs.select(named("doc_id").cast("long").alias("doc_id"), *_text_hashes(docs), text_of(docs))
+    rows = docs.select(named("doc_id").cast("long").alias("doc_id"), *text_hashes(docs), text_of(docs))
     return stored(map_batches(rows, SETS, make), "sets")
 
 
-def _text_hashes(docs: DataFrame) -> list[Column]:
+def text_hashes(docs: DataFrame) -> list[Column]:
     text = named("text").cast("string")
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
@@ -162,12 +195,27 @@ def _may_reach(x: str, y: str, rule: Similarity) -> Column:
 
 def _may_differ(a: Column, b: Column, p: Column, q: Column, rule: Similarity) -> Column:
     """Whether sets of sizes a and b with the parities p and q may have the overlap: they differ in a + b - 2 overlap shingles at most."""
-    apart = sum((F.bit_count(F.get(p, F.lit(k)).bitwiseXOR(F.get(q, F.lit(k)))) for k in range(1, PARITIES // 64)), F.bit_count(F.get(p, F.lit(0)).bitwiseXOR(F.get(q, F.lit(0)))))
-    return (100 + rule.percent) * apart.cast("long") <= (100 - rule.percent) * (a + b).cast("long")
+    differ = sum((F.bit_count(F.get(p, F.lit(k)).bitwiseXOR(F.get(q, F.lit(k)))) for k in range(1, PARITIES // 64)), F.bit_count(F.get(p, F.lit(0)).bitwiseXOR(F.get(q, F.lit(0)))))
+    return (100 + rule.percent) * differ.cast("long") <= (100 - rule.percent) * (a + b).cast("long")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity, with size_a."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b, p, q = (batch.column(c).to_pylist() for c in ("size_a", "size_b", "p", "q"))
+            may = [(100 + rule.percent) * apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (100 - rule.percent) * (m + n) for m, n, x, y in zip(a, b, p, q)]
+            return batch.filter(pa.array(may, pa.bool_())).select(["a", "b", "size_a"])
+
+        return step
+
+    side = lambda k, s: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(s))
+    return settle(map_batches(pairs.select("a", "b").join(side("a", "p"), "a").join(side("b", "q"), "b"), "a long, b long, size_a int", make))
 
 
 def _product(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Similarity) -> DataFrame:
-    """Those pairs (a, b) of keys whose sets have the similarity, by blocks: the texts that are paired with b, and b's."""
+    """Those pairs (a, b) of nodes whose sets have the similarity, by blocks: the texts that are paired with b, and b's."""
 
     def make():
         hashes = WordHashes()
@@ -176,67 +224,77 @@ def _product(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Similari
             a, b = [], []
             for centre, rows in zip(batch.column("b").to_pylist(), batch.column("rows")):
                 rows = rows.values
-                keys, texts = rows.field("a").to_pylist(), utf8(rows.field("text"))
-                own = shingles(texts.pop(keys.index(None)), rule.shingle, hashes)
-                keys.remove(None)
-                for key, text in zip(keys, texts):
+                others, texts = rows.field("a").to_pylist(), utf8(rows.field("text"))
+                own = shingles(texts.pop(others.index(None)), rule.shingle, hashes)
+                others.remove(None)
+                for node, text in zip(others, texts):
                     found = shingles(text, rule.shingle, hashes)
                     if len(np.intersect1d(own, found, assume_unique=True)) >= rule.least(len(own), len(found)):
-                        a.append(key)
+                        a.append(node)
                         b.append(centre)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         return step
 
+    pairs = _likely(pairs, nodes, rule)
     block = F.struct("b", "salt")
     loads = pairs.groupBy("b").agg((1 + F.floor(F.sum("size_a") / BLOCK)).alias("salts"))
     dealt = settle(pairs.join(loads, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")))
-    rows = dealt.select(F.col("a").alias("key"), "a", "b", "salt").unionAll(dealt.select("b", "salt").distinct().select(F.col("b").alias("key"), F.lit(None).cast("binary"), "b", "salt"))
-    rows = settle(rows.join(nodes.select("key", "t1", "t2"), "key").select("a", block.alias("block"), "t1", "t2"))
+    rows = dealt.select(F.col("a").alias("node"), "a", "b", "salt").unionAll(dealt.select("b", "salt").distinct().select(F.col("b").alias("node"), F.lit(None).cast("long"), "b", "salt"))
+    rows = settle(rows.join(nodes.select("node", "t1", "t2"), "node").select("a", block.alias("block"), "t1", "t2"))
     wanted = settle(rows.select("t1", "t2").distinct())
-    texts = docs.select(*_text_hashes(docs), text_of(docs)).join(few(wanted, wanted.count()), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    texts = docs.select(*text_hashes(docs), text_of(docs)).join(few(wanted, wanted.count()), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     blocks = rows.join(texts, ["t1", "t2"]).groupBy("block").agg(F.collect_list(F.struct("a", "text")).alias("rows"))
-    return settle(map_batches(blocks.select("block.b", "rows"), "a binary, b binary", make))
+    return settle(map_batches(blocks.select("block.b", "rows"), "a long, b long", make))
 
 
-def links(docs: DataFrame, found: DataFrame, rule: Similarity) -> DataFrame:
-    """Links (a, b) of keys whose components are those of all similar pairs."""
-    nodes = stored(found.filter("parity is not null").dropDuplicates(["key"]).drop("doc_id"), "nodes")
-    each = nodes.select("key", "size", F.posexplode("firsts").alias("at", "s"))
+def _nodes(found: DataFrame) -> DataFrame:
+    """A numbered row of each distinct set."""
+    return stored(found.filter("parity is not null").dropDuplicates(["key"]).drop("doc_id").withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def links(docs: DataFrame, nodes: DataFrame, rule: Similarity) -> DataFrame:
+    """Links (a, b) of nodes whose components are those of all similar pairs."""
+    each = nodes.select("node", "size", F.posexplode("firsts").alias("at", "s"))
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = stored(each.join(shared, "s"), "entries")
-    parity = nodes.select("key", "size", "parity")
+    parity = nodes.select("node", "size", "parity")
 
     def side(name: str, p: str) -> DataFrame:
-        return parity.select(F.col("key").alias(name), F.col("size").alias(f"size_{name}"), F.col("parity").alias(p))
-
-    weight = entries.groupBy("key").agg((F.sum("n") / F.max("size")).alias("weight"))
-    centre = entries.join(weight, "key").groupBy("s").agg(F.max(F.struct("weight", "key", "size", "at")).alias("y"))
-    near = entries.alias("x").join(centre, "s").filter((F.col("x.key") != F.col("y.key")) & _may_reach("x", "y", rule))
-    near = near.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(side("a", "p"), "a").join(side("b", "q"), "b")
-    near = settle(near.filter(_may_differ(F.col("size_a"), F.col("size_b"), F.col("p"), F.col("q"), rule)).select("a", "b", "size_a"))
+        return parity.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("parity").alias(p))
+
+    # Of each column one row is the centre; each row is multiplied with the weightiest of its columns' centres that it may be similar to.
+    weight = entries.groupBy("node").agg((F.sum("n") / F.max("size")).alias("weight"))
+    centre = entries.join(weight, "node").groupBy("s").agg(F.max(F.struct("weight", "node", "size", "at")).alias("y"))
+    near = entries.alias("x").join(centre, "s").filter((F.col("x.node") != F.col("y.node")) & _may_reach("x", "y", rule))
+    near = near.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.max("y.weight").alias("weight"))
+    near = near.join(side("a", "p"), "a").join(side("b", "q"), "b").filter(_may_differ(F.col("size_a"), F.col("size_b"), F.col("p"), F.col("q"), rule))
+    near = settle(near.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")))
     first = _product(near, docs, nodes, rule)
 
+    # Then those rows of one column that are still apart.
     root = components(first)
-    placed = stored(entries.join(root.withColumnRenamed("node", "key"), "key", "left").select("s", "key", "size", "at", F.coalesce("root", "key").alias("root")), "placed")
+    placed = stored(entries.join(root, "node", "left").select("s", "node", "size", "at", F.coalesce("root", "node").alias("root")), "placed")
     several = placed.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("s")
-    left = stored(placed.join(several, "s", "left_semi").join(parity.select("key", "parity"), "key"), "left")
+    left = stored(placed.join(several, "s", "left_semi").join(parity.select("node", "parity"), "node"), "left")
     x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_reach("x", "y", rule)
-    apart = apart & _may_differ(F.col("x.size"), F.col("y.size"), F.col("x.parity"), F.col("y.parity"), rule)
-    other = x.join(y, (F.col("x.s") == F.col("y.s")) & apart).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.size").alias("size_a")).distinct()
+    still = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_reach("x", "y", rule)
+    still = still & _may_differ(F.col("x.size"), F.col("y.size"), F.col("x.parity"), F.col("y.parity"), rule)
+    other = x.join(y, (F.col("x.s") == F.col("y.s")) & still).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _product(settle(other.join(tried, ["a", "b"], "left_anti")), docs, nodes, rule)
-    discard(nodes, entries, placed, left)
+    discard(entries, placed, left)
     return first.union(second)
 
 
 def classes(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
-    """(doc_id, t1, t2, size, root) of each row: rows of one root are linked, directly or by others between them; empty sets share one root."""
+    """(doc_id, t1, t2, size, root) of each row: rows of one root are linked, directly or by others between them; empty sets have root null."""
     found = sets(docs, rule)
-    root = components(links(docs, found, rule))
-    out = settle(found.join(root.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "t1", "t2", "size", F.coalesce("root", "key").alias("root")))
-    discard(found)
+    nodes = _nodes(found)
+    root = components(links(docs, nodes, rule))
+    roots = nodes.select("key", "node").join(root, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    out = settle(found.select("doc_id", "t1", "t2", "size", "key").join(roots, "key", "left").drop("key"))
+    discard(found, nodes)
     return out
 
 
@@ -245,4 +303,4 @@ def join(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     rows = classes(docs, rule)
     least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return rows.join(least, "root").select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return rows.join(least, "root", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import carry, give_back, map_carried, named, settle, text_of, utf8
 from .graph import components, few
-from .set_join import groups
+from .jaccard_join import Similarity, classes, text_hashes
 
 SEED = 42
 BITS = 3
+NEAR = Similarity(shingle=5, percent=80)
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -113,14 +114,15 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each group of near copies (``set_join``: five words, similarity 0.8) the row
-    with the smallest doc_id (rows that tie in doc_id: the least text hash, then one of the equal
+    """The documents that stay: of each group of near copies (by ``jaccard_join``, not by fingerprints: five words, similarity 0.8; texts without
+    words are one group) the row with the smallest doc_id (rows that tie in doc_id: the least text hashes, then one of the equal
     rows). Columns as they come; a group whose ids are all null keeps one row too."""
     names = docs.columns
-    found = groups(docs)
-    stay = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("one"))
-    stay = settle(stay.select(F.coalesce("one.doc_id", F.lit(0)).alias("id"), F.col("one.doc_id").isNull().alias("no_id"), "one.hash"))
-    doc_id = named("doc_id").cast("long")
-    key = ["id", "no_id", "hash"]
-    rows = carry(docs, names, F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.xxhash64(named("text").cast("string")).alias("hash"))
+    doc_id, none = F.col("doc_id"), F.col("doc_id").isNull()
+    one = F.min_by(F.struct("doc_id", "t1", "t2"), F.struct(none, "doc_id", "t1", "t2"))
+    stay = classes(docs, NEAR).groupBy("root").agg(one.alias("one")).select("one.*")
+    stay = settle(stay.select(F.coalesce(doc_id, F.lit(0)).alias("id"), none.alias("no_id"), "t1", "t2"))
+    own = named("doc_id").cast("long")
+    key = ["id", "no_id", "t1", "t2"]
+    rows = carry(docs, names, F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("no_id"), *text_hashes(docs))
     return give_back(rows.join(stay, key, "left_semi").dropDuplicates(key), names)

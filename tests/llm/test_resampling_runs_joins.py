@@ -283,5 +283,7 @@ def test_jaccard_counts_and_bounds():
     x = [f"w{k}".encode() for k in range(300)]
     y = x[:100] + [b"new"] + x[103:]
     s, t = (jaccard_join.shingles(b" ".join(w), 3, hashes) for w in (x, y))
-    apart = sum(int(v).bit_count() for v in np.bitwise_xor(*(jaccard_join.parities(z).view(np.uint64) for z in (s, t))))
-    assert len(s) == 298 and apart <= len(np.setxor1d(s, t)) == 8
+    differ = len(np.setxor1d(s, t))
+    assert len(s) == 298 and jaccard_join.apart(*(jaccard_join.parities(z, 512) for z in (s, t))) <= differ == 8
+    assert jaccard_join.apart(jaccard_join.parities(s, 2048), jaccard_join.parities(t, 512)) <= differ
+    assert jaccard_join.apart(jaccard_join.parities(s, 8192), jaccard_join.parities(t, 8192)) == differ
