@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard_join
 from .common import carry, give_back, map_carried, named, settle, text_of, utf8
 from .graph import components, few
-from .jaccard_join import Similarity, classes, text_hashes
 
 SEED = 42
 BITS = 3
-NEAR = Similarity(shingle=5, percent=80)
+NEAR = jaccard_join.Similarity(shingle=5, percent=80)
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -120,9 +120,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     names = docs.columns
     doc_id, none = F.col("doc_id"), F.col("doc_id").isNull()
     one = F.min_by(F.struct("doc_id", "t1", "t2"), F.struct(none, "doc_id", "t1", "t2"))
-    stay = classes(docs, NEAR).groupBy("root").agg(one.alias("one")).select("one.*")
+    stay = jaccard_join.classes(docs, NEAR).groupBy("root").agg(one.alias("one")).select("one.*")
     stay = settle(stay.select(F.coalesce(doc_id, F.lit(0)).alias("id"), none.alias("no_id"), "t1", "t2"))
     own = named("doc_id").cast("long")
     key = ["id", "no_id", "t1", "t2"]
-    rows = carry(docs, names, F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("no_id"), *text_hashes(docs))
+    rows = carry(docs, names, F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("no_id"), *jaccard_join.text_hashes(docs))
     return give_back(rows.join(stay, key, "left_semi").dropDuplicates(key), names)
