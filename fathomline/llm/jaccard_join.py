@@ -301,6 +301,6 @@ def classes(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
 def join(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, its own included) of each row."""
     rows = classes(docs, rule)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = settle(rows.groupBy("root").agg(F.min("doc_id").alias("least")))  # both sides are plain tables, so that a hot root can be split
     component = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return rows.join(least, "root", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
