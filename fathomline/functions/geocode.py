@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +56,36 @@ def olc_decode(code: Column) -> Column:
 def with_geocode(points: DataFrame, size: int = 11) -> DataFrame:
     """Waypoints with the geocode of their position, as the matching rules want them; null where there is no position."""
     return points.withColumn("geocode", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), olc_encode(F.col("lat"), F.col("lon"), size)))
+
+
+class Geocode(Protocol):
+    """A code of cells of the chart: equal for points of one cell."""
+
+    def encode(self, lat: Column, lon: Column) -> Column:
+        """The code of a point's cell."""
+
+    def neighbours(self, code: Column) -> Column:
+        """An array of the codes of a cell and of all that touch it."""
+
+
+@dataclass(frozen=True)
+class OpenLocation:
+    """Open Location Codes of ``size`` digits, an even number up to ten. East of 180° lies -180°; beyond a pole lies no cell."""
+
+    size: int = 8
+
+    def encode(self, lat: Column, lon: Column) -> Column:
+        return olc_encode(lat, lon, self.size)
+
+    def neighbours(self, code: Column) -> Column:
+        if self.size % 2 or not 2 <= self.size <= 10:
+            raise ValueError(f"codes of {self.size} digits have no square cells")
+        side = 20.0 ** (2 - self.size // 2)
+        steps = F.array(*(F.struct(F.lit(up * side).alias("up"), F.lit(right * side).alias("right")) for up in (0, -1, 1) for right in (0, -1, 1)))
+
+        def around(box: Column) -> Column:
+            return F.transform(steps, lambda s: F.struct((box["lat"] + s["up"]).alias("lat"), (F.pmod(box["lon"] + s["right"] + 180, F.lit(360.0)) - 180).alias("lon")))
+
+        # Variables of lambdas keep the long expressions of the code from being copied for each neighbour.
+        points = F.flatten(F.transform(F.transform(F.array(code), olc_decode), around))
+        return F.array_distinct(F.transform(F.filter(points, lambda p: F.abs(p["lat"]) < 90), lambda p: self.encode(p["lat"], p["lon"])))

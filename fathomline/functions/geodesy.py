@@ -27,8 +27,8 @@ def range_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius
     return F.struct(F.hypot(up, right).alias("distance"), bearing.alias("bearing"))
 
 
-def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = NM) -> Column:
-    return range_bearing(lat1, lon1, lat2, lon2, radius)["distance"]
+def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = NM, wrap: bool = False) -> Column:
+    return range_bearing(lat1, lon1, lat2, lon2, radius, wrap)["distance"]
 
 
 def destination(lat: Column, lon: Column, length: Column, bearing: Column, radius: float = NM) -> Column:

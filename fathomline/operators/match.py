@@ -1,7 +1,7 @@
 """Reconciling two sets of waypoints.
 
 A rule says when two waypoints match. Key rules (name, identifier, geocode prefix) are equi-joins.
-The distance rule is a range join: points fall into cells at least as wide as the limit, one side
+The distance rule is a range join: points fall into cells at least as wide as the limit (``cells``), one side
 looks into the nine cells around it, and the exact distance decides. An arbitrary predicate is tried
 within groups that agree in a key; a comparison of all pairs has to be asked for. The result is a table of edges (left_id, right_id, rule).
 """
@@ -14,8 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geocode import Geocode
 from ..functions.geodesy import NM, distance
 from ..scratch import settle
+from .cells import Cells
 
 NEAR = 0.05
 
@@ -37,31 +39,45 @@ class KeyRule:
 
 @dataclass(frozen=True)
 class NearRule:
-    """Waypoints match within ``limit`` nautical miles (on the equirectangular chart, no wrap)."""
+    """Waypoints match within ``limit`` nautical miles on the equirectangular chart; with ``wrap`` the short way across 180° counts."""
 
     name: str = "distance"
     limit: float = NEAR
     radius: float = NM
+    wrap: bool = False
 
     def edges(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        # A cell is as high as the limit; as wide as the limit at the highest latitude of its band row.
-        high = F.degrees(F.lit(self.limit / self.radius))
-        row = F.floor(F.col("lat") / high)
-
-        def cells(df: DataFrame, name: str) -> DataFrame:
-            return df.select(F.col("id").alias(f"{name}_id"), F.col("lat").alias(f"{name}_lat"), F.col("lon").alias(f"{name}_lon"), row.alias("row"))
-
-        # Within a row of cells all longitudes are scaled alike, by the row's latitude farthest from the equator, one row further out.
-        out = lambda r: F.least((F.abs(r + 0.5) + 2) * high, F.lit(89.999))
-        wide = lambda r: high / F.cos(F.radians(out(r)))
-        a = cells(left, "left").withColumn("column", F.floor(F.col("left_lon") / wide(F.col("row"))))
-        b = cells(right, "right").withColumn("row", F.explode(F.array(*(F.col("row") + k for k in (-1, 0, 1)))))
-        b = b.withColumn("middle", F.floor(F.col("right_lon") / wide(F.col("row"))))
-        b = b.withColumn("column", F.explode(F.array(*(F.col("middle") + k for k in (-1, 0, 1))))).drop("middle")
-        near = distance(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"), self.radius) <= self.limit
+        cells = Cells(self.limit, self.radius, self.wrap)
+
+        def points(df: DataFrame, side: str, cell: Column) -> DataFrame:
+            return df.select(F.col("id").alias(f"{side}_id"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"), cell.alias("cell")).select(f"{side}_id", f"{side}_lat", f"{side}_lon", "cell.*")
+
+        a = points(left, "left", cells.cell(F.col("lat"), F.col("lon")))
+        b = points(right, "right", F.explode(cells.around(F.col("lat"), F.col("lon"))))
+        near = distance(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"), self.radius, self.wrap) <= self.limit
         return a.join(b, ["row", "column"]).filter(near).select("left_id", "right_id", F.lit(self.name).alias("rule"))
 
 
+@dataclass(frozen=True)
+class CodeRule:
+    """Waypoints match whose geocodes' cells are the same or touch, by any ``Geocode``; with a ``limit`` (nautical miles, no more than a cell is high and wide) only those within it."""
+
+    name: str
+    geocode: Geocode
+    limit: float | None = None
+    radius: float = NM
+
+    def edges(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        code = self.geocode.encode(F.col("lat"), F.col("lon"))
+        a = left.select(F.col("id").alias("left_id"), F.col("lat").alias("left_lat"), F.col("lon").alias("left_lon"), code.alias("code"))
+        b = right.select(F.col("id").alias("right_id"), F.col("lat").alias("right_lat"), F.col("lon").alias("right_lon"), code.alias("own"))
+        b = b.withColumn("code", F.explode(self.geocode.neighbours(F.col("own"))))
+        pairs = a.join(b, "code")
+        if self.limit is not None:
+            pairs = pairs.filter(distance(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"), self.radius, wrap=True) <= self.limit)
+        return pairs.select("left_id", "right_id", F.lit(self.name).alias("rule"))
+
+
 @dataclass(frozen=True)
 class PredicateRule:
     """Waypoints match where a predicate of the two sides' columns holds (aliases ``l`` and ``r``), among those that
