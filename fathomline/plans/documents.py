@@ -11,7 +11,7 @@ from ..operators import match, schedule, track
 from ..scratch import fresh_path
 from ..sinks import texts
 from ..sinks.usr import usr_content
-from ..sources import coefficients, gpx, logs, usr
+from ..sources import coefficients, gpx, layout, logs, usr
 from . import views
 from .queries import _EDGES, _LEGS, _SCHEDULE, _SIDES, ORACLES, _edges, _scheduled, query
 from .views import FIXES, LEFT, ROUTES, olc_sql
@@ -195,7 +195,37 @@ def usr_routes(spark, sf_dir):
     return r.select(F.col("source_file").cast("long").alias("doc"), "route", F.col("seq").cast("long").alias("seq"), "name", "uuid")
 
 
-@query("select * from (values ('format', '<I', '4'), ('file_title', '<{length}s', 'varies'), ('number_waypoints', '<i', '4'), ('waypoints - uuid', '<16s', '16'), ('waypoints - UID_sequence_number', '<Q', '8'), ('waypoints - latitude', '<i', '4'), ('number_routes', '<i', '4'), ('routes - leg_uuids', '<{length}s', 'varies'), ('number_trails', '<i', '4')) t(name, format, size)")
+@query("""with p as (select p_partkey as k, p_partkey // 40 as doc from part), g as (select doc, count(*) as n from p group by doc)
+select doc, case when doc % 3 = 1 then 'name at ' || (6 + s.b) || ' needs ' || s.c || ' bytes, ' || (s.c - 3) || ' are left' when doc % 3 = 2 then '2 bytes after the last field' end as problem, n as records, s.total,
+  s.names from (select doc, sum(7 + strlen('WP' || k) + 2 * (k % 3)) as all_bytes, sum(k) filter (k <> last or doc % 3 <> 1) as total, string_agg('WP' || k, ' ' order by k) filter (k <> last or doc % 3 <> 1) as names,
+    sum(7 + strlen('WP' || k) + 2 * (k % 3)) - max(strlen('WP' || k)) filter (k = last) as b, max(strlen('WP' || k)) filter (k = last) as c
+    from (select *, max(k) over (partition by doc) as last from p) group by doc) s join g using (doc)""")
+def layout_files(spark, sf_dir):
+    """An invented layout of the parts: marks counted by a field of the record around them, a text behind them; a third of the files is cut by three bytes, a third has two more."""
+    number = lambda x, n: F.unhex(F.array_join(F.reverse(F.split(F.regexp_replace(F.lpad(F.hex(x), 2 * n, "0"), "(..)(?!$)", "$1 "), " ")), ""))
+    k = F.col("p_partkey").cast("long")
+    name = F.encode(F.concat(F.lit("WP"), k), "utf-8")
+    record = F.concat(number(k, 4), number(k % 3, 1), number(F.octet_length(name).cast("long"), 2), F.coalesce(F.when(k % 3 > 0, F.unhex(F.repeat(F.lit("0102"), (k % 3).cast("int")))), F.unhex(F.lit(""))), name)
+    rows = views.load(spark, sf_dir, "part").select(F.floor(k / 40).alias("doc"), F.struct(k.alias("k"), F.hex(record).alias("x")).alias("r"))
+    docs = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), "").alias("x"))
+    whole = F.concat(F.unhex(F.lit("78563412")), number(F.col("n"), 2), F.unhex("x"))
+    content = F.when(F.col("doc") % 3 == 1, F.substring(whole, F.lit(1), F.octet_length(whole) - 3)).when(F.col("doc") % 3 == 2, F.concat(whole, F.unhex(F.lit("FFFF")))).otherwise(whole)
+    mark = layout.Repeat("marks", (layout.Field("marks", "h"),), "_marks")
+    part = (layout.Field("key", "I"), layout.Field("_marks", "b"), layout.Field("_size", "h"), mark, layout.Field("name", "{_size}s", bytes.decode, "string"))
+    read = layout.Layout((layout.Field("magic", "I"), layout.Field("number", "h"), layout.Repeat("parts", part, "number"))).read(docs.select(F.col("doc").alias("source_file"), content.alias("content")))
+    good = F.filter("parts", lambda p: p["name"].isNotNull() & (F.size(p["marks"]) == p["key"] % 3))
+    total = F.aggregate(good, F.lit(0).cast("long"), lambda acc, p: acc + p["key"])
+    return read.select(F.col("source_file").cast("long").alias("doc"), "problem", F.size("parts").cast("long").alias("records"), total.alias("total"), F.array_join(F.transform(good, lambda p: p["name"]), " ").alias("names"))
+
+
+@query("select icon_id, color_id, sym from (select p_partkey as icon_id, unnest([0, 1, 2]) as color_id, unnest(['shape ' || p_partkey || ',blue', 'shape ' || p_partkey || ',red', 'shape ' || p_partkey || ',aqua']) as sym from part where p_partkey % 5 <> 0)")
+def icon_source(spark, sf_dir):
+    k = F.col("p_partkey")
+    line = F.when(k % 5 == 0, F.concat(F.lit("  /* "), k, F.lit(" */"))).otherwise(F.format_string('    {  %d,    "shape %d",   { "blue",   "red", "aqua" }},   // shape', k, k))
+    return usr.icon_source(views.load(spark, sf_dir, "part").select(line.alias("value")))
+
+
+@query("select * from (values ('format', '<I', '4'), ('file_title', '<{file_title_length}s', 'varies'), ('number_waypoints', '<i', '4'), ('waypoints - uuid', '<16s', '16'), ('waypoints - UID_sequence_number', '<Q', '8'), ('waypoints - latitude', '<i', '4'), ('number_routes', '<i', '4'), ('routes - leg_uuids', '<16s', '16'), ('number_trails', '<i', '4')) t(name, format, size)")
 def usr_layout(spark, sf_dir):
     names = ["format", "file_title", "number_waypoints", "waypoints - uuid", "waypoints - UID_sequence_number", "waypoints - latitude", "number_routes", "routes - leg_uuids", "number_trails"]
     return usr.layout_table(spark).filter(F.col("name").isin(names))

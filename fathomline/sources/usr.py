@@ -1,6 +1,6 @@
 """Chartplotter USR files (format 6): a binary layout with lengths and counts inside.
 
-The layout is data (``LAYOUT``); a cursor walks it over one file's bytes. Spark hands the files over
+The layout is data (``LAYOUT``), compiled by ``layout`` to a schema and a decoder. Spark hands the files over
 by its binaryFile source; an Arrow function decodes each to nested rows. Icons become symbols
 by a join with the table of those seen in practice.
 """
@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import datetime
 import math
-import struct
 import uuid
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import POLAR
+from .layout import Field, Layout, Repeat, text
 
 # Field name and struct code in file order; "s:" text with its length before it, "#" a counted list.
 HEADER = [("format", "I"), ("data_stream_version", "I"), ("file_title", "s:ascii"), ("file_creation_date_text", "s:ascii"), ("file_creation_date", "date"), ("file_creation_time", "ms"), ("unknown", "b"), ("unit_serial_number", "I"), ("file_description", "s:ascii")]
@@ -25,87 +25,63 @@ ROUTE = [("uuid", "uuid"), ("UID_unit_number", "I"), ("UID_sequence_number", "Q"
 LAYOUT = [*HEADER, ("waypoints", WAYPOINT), ("routes", ROUTE), ("number_event_markers", "i"), ("number_trails", "i")]
 # Symbols by icon and colour number.
 ICONS = [(3, 0, "anchor"), (2, 0, "diamond,blue"), (1, 6, "circle,white"), (0, 0, "cross,blue"), (0, 3, "cross,yellow"), (10, 4, "rocksubmerged"), (12, 6, "rock"), (21, 2, "flag"), (28, 0, "warning"), (13, 3, "portlateralmarker"), (13, 4, "portlateralmarker"), (1, 4, "circle,green")]
-SQL_TYPES = {"I": "bigint", "Q": "decimal(20,0)", "h": "smallint", "i": "int", "b": "tinyint", "f": "float", "date": "date", "ms": "bigint", "uuid": "string", "lon": "double", "lat": "double", "#uuid": "array<string>"}
 
 
-def schema(layout: list = LAYOUT, sep: str = " ") -> str:
-    parts = []
+def _uuid(raw: bytes) -> str:
+    return str(uuid.UUID(bytes_le=raw))
+
+
+# What a code other than a struct code stands for: struct code, conversion, SQL type.
+CONVERSIONS = {
+    "uuid": ("16s", _uuid, "string"),
+    "date": ("I", lambda n: datetime.date(1970, 1, 1) + datetime.timedelta(days=n - 2440588), "date"),
+    "ms": ("I", None, None),
+    "lon": ("i", lambda x: round(math.degrees(x / POLAR), 8), "double"),
+    "lat": ("i", lambda y: round(math.degrees(2 * math.atan(math.exp(y / POLAR)) - math.pi / 2), 8), "double"),
+    "Q": ("Q", Decimal, None),
+}
+
+
+def compiled(layout: list) -> tuple[Field | Repeat, ...]:
+    """The fields of a layout such as ``LAYOUT``; counts and lengths are fields that are not given."""
+    out: list[Field | Repeat] = []
     for name, code in layout:
-        if isinstance(code, list):
-            kind = f"array<struct<{schema(code, ': ')}>>"
+        if isinstance(code, list) or code == "#uuid":
+            fields = compiled(code) if isinstance(code, list) else (Field(name, *CONVERSIONS["uuid"]),)
+            out += [Field(f"_number_{name}", "i"), Repeat(name, fields, f"_number_{name}")]
+        elif code.startswith("s:"):
+            out += text(name, code[2:])
         elif code == "10x":
-            continue
+            out.append(Field(f"_{name}", "10s"))
         else:
-            kind = "string" if code.startswith("s:") else SQL_TYPES[code]
-        parts.append(f"{name}{sep}{kind}")
-    return ", ".join(parts)
-
-
-class Cursor:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def take(self, code: str):
-        (value,) = struct.unpack_from("<" + code, self.data, self.at)
-        self.at += struct.calcsize("<" + code)
-        return value
-
-    def read(self, code):
-        if isinstance(code, list):
-            return [self.record(code) for _ in range(self.take("i"))]
-        if code.startswith("s:"):
-            n = max(0, self.take("i"))  # a negative length is an empty text
-            text = self.take(f"{n}s").decode(code[2:])
-            return text.removeprefix("﻿")
-        if code == "uuid":
-            return str(uuid.UUID(bytes_le=self.take("16s")))
-        if code == "#uuid":
-            return [self.read("uuid") for _ in range(self.take("i"))]
-        if code == "date":
-            return datetime.date(1970, 1, 1) + datetime.timedelta(days=self.take("I") - 2440588)
-        if code == "ms":
-            return self.take("I")
-        if code == "lon":
-            return round(math.degrees(self.take("i") / POLAR), 8)
-        if code == "lat":
-            return round(math.degrees(2 * math.atan(math.exp(self.take("i") / POLAR)) - math.pi / 2), 8)
-        if code == "10x":
-            self.at += 10
-            return None
-        return self.take(code)
-
-    def record(self, layout: list) -> dict:
-        return {name: self.read(code) for name, code in layout}
-
+            out.append(Field(name, *CONVERSIONS.get(code, (code,))))
+    return tuple(out)
 
-def decode(data: bytes) -> dict:
-    """All fields of a file; formats other than 6 are an error."""
-    (number,) = struct.unpack_from("<I", data)
-    if number != 6:
-        raise NotImplementedError(f"format {number}") if 2 <= number <= 5 else ValueError(f"unknown format {number}")
-    return Cursor(data).record(LAYOUT)
 
+def _format(data: bytes) -> str | None:
+    if len(data) < 4:
+        return None
+    number = int.from_bytes(data[:4], "little")
+    return None if number == 6 else f"format {number} is not read" if 2 <= number <= 5 else f"unknown format {number}"
 
-def _plain(record: dict, layout: list) -> dict:
-    from decimal import Decimal
 
-    out = {}
-    for name, code in layout:
-        if code == "10x":
-            continue
-        v = record[name]
-        out[name] = [_plain(x, code) for x in v] if isinstance(code, list) else Decimal(v) if code == "Q" else v
-    return out
+USR = Layout(compiled(LAYOUT), _format)
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """One row per file of (source_file, content): source_file and the nested record."""
+def decode(data: bytes) -> dict:
+    """All fields of a file; formats other than 6 and broken files are an error."""
+    record, problem = USR.decode(data)
+    if problem == _format(data) and problem:
+        raise NotImplementedError(problem) if "not read" in problem else ValueError(problem)
+    if problem and not problem.endswith("after the last field"):
+        raise ValueError(problem)
+    return record
 
-    @F.pandas_udf(schema())
-    def run(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_plain(decode(bytes(x)), LAYOUT) for x in content], columns=[n for n, _ in LAYOUT])
 
-    return files.select("source_file", run("content").alias("usr")).select("source_file", "usr.*")
+def decode_files(files: DataFrame) -> DataFrame:
+    """One row per file of (source_file, content): source_file, the nested record, and ``problem``: null, or why and where the file can't be read to its end
+    (what stands before that place is given), or how many bytes follow its last field."""
+    return USR.read(files)
 
 
 def read_usr(spark: SparkSession, path: str) -> DataFrame:
@@ -150,19 +126,13 @@ def little_endian(content: Column) -> Column:
     return F.aggregate(F.reverse(F.filter(digits, lambda x: x != "")), F.lit(0).cast("long"), lambda acc, x: acc * 256 + F.conv(x, 16, 10).cast("long"))
 
 
-def layout_table(spark: SparkSession) -> DataFrame:
-    """name, format, size of every field; nested names are joined by `` - ``."""
-    rows: list[tuple] = []
+def layout_table(spark: SparkSession, layout: Layout = USR) -> DataFrame:
+    """name, format, size of every field; nested names are joined by `` - ``, and lengths and counts are fields of their own."""
+    return spark.createDataFrame([tuple(x.replace("{_", "{").removeprefix("_").replace(" - _", " - ") for x in row) for row in layout.table()], "name string, format string, size string")
 
-    def add(layout, prefix):
-        for name, code in layout:
-            if isinstance(code, list):
-                rows.append((prefix + "number_" + name, "<i", "4"))
-                add(code, f"{prefix}{name} - ")
-            else:
-                plain = {"uuid": "16s", "date": "I", "ms": "I", "lon": "i", "lat": "i", "10x": "10s"}.get(code, code)
-                fixed = not code.startswith(("s:", "#"))
-                rows.append((prefix + name, f"<{plain}" if fixed else "<{length}s", str(struct.calcsize("<" + plain)) if fixed else "varies"))
 
-    add(LAYOUT, "")
-    return spark.createDataFrame(rows, "name string, format string, size string")
+def icon_source(lines: DataFrame) -> DataFrame:
+    """icon_id, color_id, sym of the lines (value) of a C table of icons: a line of it names an icon, its symbol, and its colours in order; others are left out."""
+    p = r'^\s+\{\s+(\d+),\s+"([\w\s]+)",\s+\{(.+)\}\},\s+//.*$'
+    rows = lines.filter(F.regexp_like("value", F.lit(p))).select(F.regexp_extract("value", p, 1).cast("int").alias("icon_id"), F.regexp_extract("value", p, 2).alias("symbol"), F.regexp_extract_all(F.regexp_extract("value", p, 3), F.lit(r'"(\w+)"'), F.lit(1)).alias("colors"))
+    return rows.select("icon_id", "symbol", F.posexplode("colors").alias("color_id", "color")).select("icon_id", "color_id", F.concat_ws(",", "symbol", "color").alias("sym"))

@@ -10,12 +10,12 @@ from fathomline.functions import angle, clock, geocode, geomagnetic, sun
 from fathomline.operators import match
 from fathomline.sinks import texts
 from fathomline.sinks.usr import encode
-from fathomline.sources import logs, records, usr
+from fathomline.sources import layout, logs, records, usr
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["gpx_tracks", "gpx_waypoints", "track_csv", "track_csv_rejected", "track_csv_breaks", "route_csv", "route_table_legs", "route_table_print", "duration_views", "usr_waypoints", "usr_routes", "track_report_csv", "duplicates_report", "survey_report", "field_degree2"])
+@pytest.mark.parametrize("name", ["gpx_tracks", "gpx_waypoints", "track_csv", "track_csv_rejected", "track_csv_breaks", "route_csv", "route_table_legs", "route_table_print", "duration_views", "usr_waypoints", "usr_routes", "layout_files", "icon_source", "hex_dump", "usr_layout", "track_report_csv", "duplicates_report", "survey_report", "field_degree2"])
 def test_queries_by_sql(spark, name):
     import duckdb
 
@@ -192,3 +192,39 @@ def test_log_plan_reads_each_text_once(spark, tmp_path):
     assert log.first().source_row["Note"] == "two\nlines"
     plan = log._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Split") == 0 and len(plan) < 60_000, len(plan)
+
+
+def test_broken_usr_files_are_rows(spark):
+    """Files cut anywhere, lengthened, or damaged: a row with a problem each, and what stands before the place."""
+    import random
+
+    points = [{"uuid": f"89f2be82-8907-4a34-afe8-5155e8e619{k:02d}", "waypt_name": f"é{k}", "longitude": -76.6, "latitude": 24.3} for k in range(3)]
+    whole = encode({"file_title": "t", "waypoints": points, "routes": [{"route_name": "r", "leg_uuids": [points[0]["uuid"]]}]})
+    files = [("whole", whole), ("cut", whole[:-3]), ("long", whole + b"ab"), ("four", encode({"format": 4})), ("odd", encode({"format": 77})), ("empty", b""), ("none", None), ("short", whole[:3])]
+    files += [("date", whole.replace((2440588).to_bytes(4, "little"), b"\xff\xff\xff\xff", 1))]
+    rows = {r.source_file: r for r in usr.decode_files(spark.createDataFrame(files, "source_file string, content binary")).collect()}
+    assert rows["whole"].problem is None and [w.waypt_name for w in rows["whole"].waypoints] == ["é0", "é1", "é2"] and rows["whole"].routes[0].leg_uuids == [points[0]["uuid"]]
+    assert rows["cut"].problem.startswith("number_trails at") and len(rows["cut"].waypoints) == 3 and rows["long"].problem == "2 bytes after the last field"
+    assert rows["four"].problem == "format 4 is not read" and rows["odd"].problem == "unknown format 77" and rows["none"].problem == "no content"
+    assert rows["empty"].problem == "format at 0 needs 4 bytes, 0 are left" and rows["short"].problem.startswith("format at 0") and rows["date"].problem.startswith("file_creation_date at")
+    rng = random.Random(2)
+    damaged = []
+    for k in range(300):
+        data = bytearray(whole)
+        for _ in range(rng.randrange(1, 5)):
+            data[rng.randrange(4, len(data))] = rng.choice([0, 127, 255, rng.randrange(256)])
+        damaged.append((str(k), bytes(data[: rng.randrange(len(data) + 1)])))
+    found = usr.decode_files(spark.createDataFrame(damaged, "source_file string, content binary"))
+    assert found.count() == 300 and found.filter("problem is not null").count() > 250
+    with pytest.raises(ValueError):
+        usr.decode(whole[:-3])
+
+
+def test_layout_counts_and_conversions():
+    inner = layout.Repeat("b", (layout.Field("x", "{n}s", bytes.decode, "string"), layout.Field("_skip", "h")), "m")
+    found = layout.Layout((layout.Field("n", "b"), layout.Field("m", "b"), layout.Repeat("a", (inner,), "n")))
+    assert found.decode(b"\x02\x01ab\0\0cd\0\0")[0]["a"] == [{"b": [{"x": "ab", "_skip": 0}]}, {"b": [{"x": "cd", "_skip": 0}]}]
+    assert found.decode(b"\x01\xff")[0]["a"] == [{"b": []}] and found.decode(b"\xff\x01")[0]["a"] == []
+    assert found.decode(b"\x01\x01\xff\0\0")[1].startswith("x at 2: ")
+    assert layout.Layout((layout.Field("x", "{y}s"),)).decode(b"a")[1] == "no field y before place 0"
+    assert [r[2] for r in found.table()] == ["1", "1", "varies", "2"] and found.schema().simpleString().startswith("struct<source_file:string,n:tinyint,m:tinyint,a:array<struct<b:array<struct<x:string>>>>")
