@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import field
+from ..operators import field, voyage
 from . import views
 from .documents import _MODEL, _across, _around, _c
-from .queries import _SCHEDULE, query
+from .queries import _LEGS, _SCHEDULE, query
 
 
 def _models(spark, sf_dir):
@@ -56,3 +56,15 @@ def schedule_under_field(spark, sf_dir):
     rows = views.routes(spark, sf_dir).withColumn("departure", F.col("departure") + F.expr("interval 12 year"))
     df = field.schedule_under_field(rows, ["route"], ["seq"], F.col("departure"), F.lit(5.0), _models(spark, sf_dir))
     return df.select("route", "seq", F.round("magnetic", 4).alias("magnetic"), F.round("next_course", 4).alias("next_course"), F.date_format("arrival", "yyyy-MM-dd HH:mm").alias("arrival"))
+
+
+_GAP = 36 * 3600
+
+
+@query(_LEGS + f""", o as (select *, lag(time) over (partition by user_id order by time, event_id) as before from g),
+i as (select *, sum(case when before is null or epoch_us(time) - epoch_us(before) > {_GAP}000000 then 1 else 0 end) over (partition by user_id order by time, event_id rows unbounded preceding) - 1 as voyage from o),
+v as (select user_id, voyage::BIGINT as voyage, min(time) as started, max(time) as ended, count(*) as fixes, coalesce(sum(case when s <= {_GAP} then d end), 0) as distance, max(case when s <= {_GAP} then d end) as longest from i group by user_id, voyage)
+select user_id, voyage, started, ended, fixes, round(distance, 5) as distance, case when ended > started then round(distance * 3600 / ((epoch_us(ended) - epoch_us(started)) / 1e6), 6) end as average_speed, round(longest, 6) as longest_leg from v""")
+def voyages(spark, sf_dir):
+    v = voyage.voyages(views.fixes(spark, sf_dir), ["user_id"], ["time", "event_id"], _GAP)
+    return v.select("user_id", "voyage", "started", "ended", "fixes", F.round("distance", 5).alias("distance"), F.round("average_speed", 6).alias("average_speed"), F.round("longest_leg", 6).alias("longest_leg"))

@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import geomagnetic
-from fathomline.operators import field
+from fathomline.functions.geodesy import NM
+from fathomline.operators import field, track, voyage
+from fathomline.streaming import legs
 from test_reconcile import by_sql
 
 
-@pytest.mark.parametrize("name", ["field_models", "schedule_under_field"])
+@pytest.mark.parametrize("name", ["field_models", "schedule_under_field", "voyages"])
 def test_queries_by_sql(spark, name):
     by_sql(spark, name)
 
@@ -42,3 +44,37 @@ def test_fields_that_are_not_there(spark):
     assert field.with_field(points.limit(0), table, F.col("model"), F.col("lat"), F.col("lon"), F.col("y")).count() == 0
     turned = field.with_declination(points.filter("y = 2001").withColumn("t", F.lit("2001-06-01").cast("date")), table, F.lit("m"), F.col("lat"), F.col("lon"), F.col("t"))
     assert all(r.declination == pytest.approx(math.degrees(math.atan2(0.0, -1.0)), abs=180) for r in turned.filter("lat is not null").collect())
+
+
+def test_voyages_at_the_very_gap(spark):
+    rows = [(1, k, f"2024-01-01 00:{m:02d}:00", 10.0 + k, 20.0) for k, m in enumerate((0, 10, 20, 31, 41))] + [(2, 9, "2024-01-01 05:00:00", 1.0, 1.0), (3, 10, None, 1.0, 1.0)]
+    fixes = spark.createDataFrame(rows, "user long, id long, at string, lat double, lon double").select("*", F.to_timestamp("at").alias("time"))
+    got = [(r.user, r.voyage, r.fixes, r.seconds, round(r.distance, 3)) for r in voyage.voyages(fixes, ["user"], ["time", "id"], 600).orderBy("user", "voyage").collect()]
+    degree = NM * math.radians(1)
+    assert got == [(1, 0, 3, 1200.0, round(2 * degree, 3)), (1, 1, 2, 600.0, round(degree, 3)), (2, 0, 1, 0.0, 0.0)]
+
+
+def test_streamed_legs_equal_the_batch(spark, tmp_path):
+    """Fixes in several files, out of order within the delay, with a restart between them and some that are too late."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(400)
+    fixes = events.select(F.col("user_id").cast("long").alias("track"), F.col("event_id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("time"), (36 + (F.col("event_id") % 997) / 500.0).cast("double").alias("lat"), (-77 + (F.col("event_id") % 991) / 400.0).cast("double").alias("lon")).toPandas()
+    fixes = fixes.sort_values("time").reset_index(drop=True)
+    late = fixes.iloc[[5, 9]].assign(id=[900_001, 900_002])
+    end = fixes.iloc[[-1]].assign(track=-1, id=900_003, time=fixes["time"].max() + np.timedelta64(90, "D"))
+    parts = [fixes[k * 100 : (k + 1) * 100].sample(frac=1, random_state=k) for k in range(4)] + [late, end]
+    source = tmp_path / "in"
+    source.mkdir()
+    before = spark.conf.get(legs.PROVIDER)
+    spark.conf.set(legs.PROVIDER, legs.ROCKS)
+    try:
+        for k in range(len(parts)):
+            parts[k].astype({"time": "datetime64[us]"}).to_parquet(source / f"{k}.parquet", index=False)
+            if k in (1, 3, 5):  # started anew each time, on the same checkpoint
+                stream = spark.readStream.schema("track long, id long, time timestamp, lat double, lon double").option("maxFilesPerTrigger", 1).parquet(str(source))
+                query = legs.stream_legs(stream, "1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+                assert query.awaitTermination(90)
+    finally:
+        spark.conf.set(legs.PROVIDER, before)
+    got = sorted((r.track, r.id, round(r.distance, 6), round(r.bearing, 6), r.delta_seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = track.with_legs(spark.createDataFrame(fixes), ["track"], ["time", "id"]).filter("distance is not null").collect()
+    assert got == sorted((r.track, r.id, round(r.distance, 6), round(r.bearing, 6), r.delta_seconds) for r in batch) and len(got) > 350
