@@ -48,6 +48,37 @@ def schedule(waypoints: DataFrame, by: list[str], seq: list[str], departure: Col
     ).drop("back_", "ahead_", "micros_", "left_", "speed_", "departure_", "last_lat", "last_lon", "next_lat", "next_lon")
 
 
+def _leg_distances(waypoints: DataFrame, by: list[str], seq: list[str], radius: float) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*seq)
+    df = waypoints.withColumns({"last_lat": F.lag("lat").over(w), "last_lon": F.lag("lon").over(w)})
+    leg = range_bearing(F.col("last_lat"), F.col("last_lon"), F.col("lat"), F.col("lon"), radius)["distance"]
+    return df.withColumn("leg_", F.coalesce(leg, F.lit(0.0))).drop("last_lat", "last_lon")
+
+
+def departure_for(waypoints: DataFrame, by: list[str], seq: list[str], arrival: Column, speed: Column, radius: float = NM) -> DataFrame:
+    """Add departure: when a route has to begin to end at ``arrival``. Each leg's time is rounded to microseconds as ``schedule`` does it, so a schedule from there
+    ends at the arrival itself. Null where the speed is null or 0; the variation of courses has no part in it."""
+    df = _leg_distances(waypoints, by, seq, radius)
+    micros = F.bround(F.try_divide(60 * F.col("leg_"), speed.cast("double")) * 60e6).cast("long")
+    every = Window.partitionBy(*by)
+    whole = F.when(F.count(micros).over(every) == F.count(F.lit(1)).over(every), F.sum(micros).over(every))
+    return df.withColumn("departure", F.timestamp_micros(F.unix_micros(arrival.cast("timestamp")) - whole)).drop("leg_")
+
+
+def schedule_to(waypoints: DataFrame, by: list[str], seq: list[str], arrival: Column, speed: Column, variance: Variance, radius: float = NM) -> DataFrame:
+    """A schedule backwards from its end: as ``schedule`` from the departure that leads to ``arrival``; ``departure`` is added too."""
+    df = departure_for(waypoints.withColumn("to_", arrival.cast("timestamp")), by, seq, F.col("to_"), speed, radius).drop("to_")
+    return schedule(df, by, seq, F.col("departure"), speed, variance, radius)
+
+
+def speed_for(waypoints: DataFrame, by: list[str], seq: list[str], departure: Column, arrival: Column, radius: float = NM) -> DataFrame:
+    """Add speed_needed (knots): what a route takes from ``departure`` to ``arrival``, which are one a route. Null unless the arrival is the later one."""
+    seconds = (F.unix_micros(arrival.cast("timestamp")) - F.unix_micros(departure.cast("timestamp"))) / 1e6
+    df = _leg_distances(waypoints.withColumn("seconds_", seconds), by, seq, radius)
+    needed = F.sum("leg_").over(Window.partitionBy(*by)) * 3600 / F.col("seconds_")
+    return df.withColumn("speed_needed", F.when(F.col("seconds_") > 0, needed)).drop("leg_", "seconds_")
+
+
 def schedule_text(scheduled: DataFrame, by: list[str], seq: list[str]) -> DataFrame:
     """The twelve printed columns: numbered legs, rounded distances and courses, elapsed and arrival texts."""
     from ..functions.angle import format_lat, format_lon

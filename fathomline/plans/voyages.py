@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import field, voyage
+from ..operators import field, schedule, voyage
 from . import views
 from .documents import _MODEL, _across, _around, _c
 from .queries import _LEGS, _SCHEDULE, query
@@ -68,3 +68,20 @@ select user_id, voyage, started, ended, fixes, round(distance, 5) as distance, c
 def voyages(spark, sf_dir):
     v = voyage.voyages(views.fixes(spark, sf_dir), ["user_id"], ["time", "event_id"], _GAP)
     return v.select("user_id", "voyage", "started", "ended", "fixes", F.round("distance", 5).alias("distance"), F.round("average_speed", 6).alias("average_speed"), F.round("longest_leg", 6).alias("longest_leg"))
+
+
+_WHOLE = _SCHEDULE + """, t as (select *, sum(round_even(ete * 60000000, 0)::BIGINT) over (partition by route) as all_us, sum(distance) over (partition by route) as all_nm, departure + interval 10 day as wanted from s)"""
+
+
+@query(_WHOLE + """ select route, seq, wanted - to_microseconds(all_us::BIGINT) as departure, wanted - to_microseconds((all_us - us)::BIGINT) as arrival, round(true_bearing + 11, 6) as magnetic from t""")
+def schedule_to_arrival(spark, sf_dir):
+    """Routes planned backwards: the arrival of the last waypoint is the one that was asked for."""
+    rows = views.routes(spark, sf_dir).withColumn("wanted", F.col("departure") + F.expr("interval 10 day")).drop("departure")
+    df = schedule.schedule_to(rows, ["route"], ["seq"], F.col("wanted"), F.lit(5.0), schedule.constant(-11.0))
+    return df.select("route", "seq", "departure", "arrival", F.round("magnetic", 6).alias("magnetic"))
+
+
+@query(_WHOLE + """ select route, seq, round(all_nm / 240, 6) as speed_needed from t""")
+def route_speed_needed(spark, sf_dir):
+    df = schedule.speed_for(views.routes(spark, sf_dir), ["route"], ["seq"], F.col("departure"), F.col("departure") + F.expr("interval 10 day"))
+    return df.select("route", "seq", F.round("speed_needed", 6).alias("speed_needed"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import geomagnetic
 from fathomline.functions.geodesy import NM
-from fathomline.operators import field, track, voyage
+from fathomline.operators import field, schedule, track, voyage
 from fathomline.streaming import legs
 from test_reconcile import by_sql
 
 
-@pytest.mark.parametrize("name", ["field_models", "schedule_under_field", "voyages"])
+@pytest.mark.parametrize("name", ["field_models", "schedule_under_field", "voyages", "schedule_to_arrival", "route_speed_needed"])
 def test_queries_by_sql(spark, name):
     by_sql(spark, name)
 
@@ -78,3 +78,18 @@ def test_streamed_legs_equal_the_batch(spark, tmp_path):
     got = sorted((r.track, r.id, round(r.distance, 6), round(r.bearing, 6), r.delta_seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = track.with_legs(spark.createDataFrame(fixes), ["track"], ["time", "id"]).filter("distance is not null").collect()
     assert got == sorted((r.track, r.id, round(r.distance, 6), round(r.bearing, 6), r.delta_seconds) for r in batch) and len(got) > 350
+
+
+def test_planning_backwards_gives_the_arrival_back(spark):
+    rows = [("a", k, 36.0 + 0.37 * k, -76.0 - 0.11 * k * k) for k in range(6)] + [("b", 0, 10.0, 10.0)]
+    points = spark.createDataFrame(rows, "route string, seq int, lat double, lon double").withColumn("wanted", F.to_timestamp(F.lit("2024-05-01 12:00:00.123456")))
+    back = schedule.schedule_to(points, ["route"], ["seq"], F.col("wanted"), F.lit(5.3), schedule.constant(0.0))
+    assert back.groupBy("route").agg(F.max("arrival").alias("a"), F.min("wanted").alias("w")).filter("a <> w").count() == 0
+    ends = back.groupBy("route").agg(F.min("departure").alias("d"), F.min("arrival").alias("first"), F.sum("distance").alias("nm")).collect()
+    assert all(r.d == r.first for r in ends)
+    timed = back.join(back.groupBy("route").agg(F.min("departure").alias("from")), "route").select("route", "seq", "lat", "lon", "wanted", "from")
+    speeds = {r.route: r.s for r in schedule.speed_for(timed, ["route"], ["seq"], F.col("from"), F.col("wanted")).groupBy("route").agg(F.max("speed_needed").alias("s")).collect()}
+    assert speeds["a"] == pytest.approx(5.3, rel=1e-8) and speeds["b"] is None
+    still = schedule.departure_for(points, ["route"], ["seq"], F.col("wanted"), F.lit(0.0)).groupBy("route").agg(F.max("departure").alias("d")).collect()
+    assert [r.d for r in still] == [None, None]
+    assert schedule.departure_for(points.limit(0), ["route"], ["seq"], F.col("wanted"), F.lit(5.0)).count() == 0
