@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geocode import OpenLocation
 from ..operators import cluster, match
+from ..scratch import fresh_path
+from ..sources import gpx
 from . import views
 from .queries import ORACLES, QUERIES, query
 from .views import leg_sql, olc_sql
@@ -75,3 +77,20 @@ def geocode_neighbours(spark, sf_dir):
     """The cells around points on both sides of 180°."""
     points, code = _dateline(views.load(spark, sf_dir, "customer"), "c_custkey", 0.0003), OpenLocation(8)
     return points.select("id", F.array_join(F.sort_array(code.neighbours(code.encode(F.col("lat"), F.col("lon")))), " ").alias("codes"))
+
+
+@query("""select id, unnest(['opencpn:guid', 'opencpn:viz', 'opencpn:scale.UseScale', 'opencpn:scale.ScaleMin', ':depth', 'gpxx:Category'][1:case when id % 4 = 0 then 6 else 5 end]) as key,
+  unnest(['g<' || id || '>', 'on', 'false', (id % 7)::VARCHAR, '00' || id, 'Marina & ' || id][1:case when id % 4 = 0 then 6 else 5 end]) as value from (select c_custkey as id from customer)""")
+def gpx_extensions(spark, sf_dir):
+    """Extensions nested and with attributes, under prefixes of the file's own, come back by every key."""
+    k = F.col("c_custkey")
+    deep = F.when(k % 4 == 0, F.format_string("<g:WaypointExtension><g:Categories><g:Category> Marina &amp; %d </g:Category></g:Categories></g:WaypointExtension>", k)).otherwise("")
+    point = F.concat(F.format_string('<wpt lat="37.5" lon="-76.25"><name>%d</name><extensions><o:guid>g&lt;%d&gt;</o:guid><o:viz>on</o:viz><o:scale UseScale="false" ScaleMin="%d"/><depth>00%d</depth>', k, k, k % 7, k), deep, F.lit("</extensions></wpt>"))
+    rows = views.load(spark, sf_dir, "customer").select(F.floor(k / 500).alias("doc"), k.alias("k"), point.alias("value"))
+    head = '<?xml version="1.0"?>\n<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"\n xmlns:o="http://www.opencpn.org" xmlns:g=\'http://www.garmin.com/xmlschemas/GpxExtensions/v3\'>'
+    docs = rows.select("doc").distinct()
+    ends = docs.select("doc", F.lit(-1).alias("k"), F.lit(head).alias("value")).union(docs.select("doc", F.lit(1 << 40), F.lit("</gpx>")))
+    path = fresh_path(spark, "gpx")
+    rows.unionByName(ends).repartition("doc").sortWithinPartitions("doc", "k").select("doc", "value").write.partitionBy("doc").text(path)
+    back = gpx.read_waypoints(spark, path)
+    return back.select(F.col("name").cast("long").alias("id"), F.explode("extensions").alias("key", "value"))

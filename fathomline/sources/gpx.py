@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+from xml.sax.saxutils import quoteattr
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +50,60 @@ def read_routes(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(points.select("source_file", "place_", "p_", "route", F.col("p.name").alias("name"), *_point("p"), F.coalesce("p.desc", "p.description", F.lit("")).alias("description")), ["place_", "p_"])
 
 
-def read_waypoints(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, seq, lat, lon, last_updated, name, description, sym, type, guid, extensions (map of element name to text or attribute)."""
-    schema = f"{POINT}, extensions variant"
-    df = spark.read.format("xml").option("rowTag", "wpt").schema(schema).load(path)
-    df = df.withColumns({"source_file": F.input_file_name(), "place_": F.monotonically_increasing_id()})
-    as_json = F.to_json("extensions")
-    flat = F.from_json(as_json, "map<string, string>")
-    guid = F.lower(F.coalesce(F.get_json_object(as_json, "$['opencpn:guid']"), F.get_json_object(as_json, "$.uuid"), F.get_json_object(as_json, "$['uuid']")))
+# Short names of the namespaces that waypoints' extensions come from.
+NAMESPACES = {"http://www.topografix.com/GPX/1/1": "", "http://www.garmin.com/xmlschemas/GpxExtensions/v3": "gpxx", "http://www.opencpn.org": "opencpn"}
+
+
+def _prefixes(spark: SparkSession, path: str) -> DataFrame:
+    """source_file and prefixes: the namespace of each prefix that a file declares (the default one is called ``-``)."""
+    p = r"""xmlns(?::([\w.-]+))?\s*=\s*["']([^"']*)["']"""
+    lines = spark.read.text(path).filter(F.contains("value", F.lit("xmlns")))
+    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(p), F.lit(1)).alias("prefix"), F.regexp_extract_all("value", F.lit(p), F.lit(2)).alias("uri"))
+    each = lines.select(F.input_file_name().alias("source_file"), F.explode(pairs).alias("x")).groupBy("source_file", F.coalesce(F.nullif("x.prefix", F.lit("")), F.lit("-")).alias("prefix")).agg(F.max("x.uri").alias("uri"))
+    return each.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "uri"))).alias("prefixes"))
+
+
+def flat_elements(inner: str, prefixes: dict[str, str], namespaces: dict[str, str]) -> dict[str, str]:
+    """``ns:tag`` to text and ``ns:tag.attribute`` to value of all elements, however deep, in an element's inner XML; of a name that stands several times the last counts.
+    A namespace without a short name in ``namespaces`` is an error."""
+    declared = "".join(f" xmlns{'' if p == '-' else ':' + p}={quoteattr(uri)}" for p, uri in prefixes.items())
+    out = {}
+    for e in list(ElementTree.fromstring(f"<all{declared}>{inner}</all>").iter())[1:]:
+        uri, _, tag = e.tag.rpartition("}")
+        uri = uri.removeprefix("{")
+        if uri not in namespaces:
+            raise ValueError(f"element {tag} is of the unknown namespace {uri!r}")
+        name = f"{namespaces[uri]}:{tag}"
+        if e.text and e.text.strip():
+            out[name] = e.text.strip()
+        out |= {f"{name}.{k.rpartition('}')[2]}": v for k, v in e.attrib.items()}
+    return out
+
+
+def extension_map(inner: Column, prefixes: Column, namespaces: dict[str, str] = NAMESPACES) -> Column:
+    """``flat_elements`` of a column of inner XML, with the prefixes of its file (a map); null and empty are an empty map."""
+
+    @F.pandas_udf("map<string, string>")
+    def run(inner: pd.Series, prefixes: pd.Series) -> pd.Series:
+        return pd.Series([flat_elements(x, dict(p or {}), namespaces) if x and x.strip() else {} for x, p in zip(inner, prefixes)], dtype=object)
+
+    return run(inner, prefixes)
+
+
+def read_waypoints(spark: SparkSession, path: str, namespaces: dict[str, str] = NAMESPACES) -> DataFrame:
+    """source_file, seq, lat, lon, last_updated, name, description, sym, type, guid, extensions (map of ``ns:tag`` to text and ``ns:tag.attribute`` to value, by the short
+    names of namespaces, whatever prefixes the file has for them; an unknown namespace is an error)."""
+    # Elements are cut as text: the XML source gives an inner element's text with its entities resolved, which is no XML any more.
+    ends = spark.read.text(path, lineSep="</wpt>").select(F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("chunk_"), "value")
+    cut = ends.select("source_file", "chunk_", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<wpt\b[^>]*/>|<wpt\b[^>]*[^/>]>.*"), F.lit(0))).alias("at_", "x"))
+    whole = cut.select("source_file", F.struct("chunk_", "at_").alias("place_"), F.when(F.regexp_like("x", F.lit(r"(?s)\A<wpt\b[^>]*/>\z")), F.col("x")).otherwise(F.concat("x", F.lit("</wpt>"))).alias("x"))
+    inner = F.regexp_extract("x", r"(?s)<extensions\b[^>]*>(.*)</extensions>", 1).alias("extensions")
+    df = whole.select("source_file", "place_", F.from_xml("x", POINT, {"ignoreNamespace": "true"}).alias("w"), inner).select("source_file", "place_", "w.*", "extensions")
+    df = df.join(_prefixes(spark, path), "source_file", "left").withColumn("extensions", extension_map(F.col("extensions"), F.col("prefixes"), namespaces))
+    of = lambda key: F.try_element_at("extensions", F.lit(key))
     out = df.select(
         "source_file", "place_", F.col("_lat").try_cast("double").alias("lat"), F.col("_lon").try_cast("double").alias("lon"),
-        F.try_to_timestamp("time").alias("last_updated"), "name", F.coalesce("desc", "description").alias("description"), "sym", "type", guid.alias("guid"), F.coalesce(flat, F.create_map().cast("map<string,string>")).alias("extensions"),
+        F.try_to_timestamp("time").alias("last_updated"), "name", F.coalesce("desc", "description").alias("description"), "sym", "type", F.lower(F.coalesce(of("opencpn:guid"), of(":uuid"))).alias("guid"), "extensions",
     )
     return _numbered(out, ["place_"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathomline.functions.geocode import OpenLocation
 from fathomline.functions.geodesy import NM
 from fathomline.operators import cluster, components, match
+from fathomline.sources import gpx
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +31,7 @@ def by_sql(spark, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", ["near_clusters", "dedup_near", "match_by_distance_wrap", "match_by_touching_codes", "geocode_neighbours"])
+@pytest.mark.parametrize("name", ["near_clusters", "dedup_near", "match_by_distance_wrap", "match_by_touching_codes", "geocode_neighbours", "gpx_extensions"])
 def test_queries_by_sql(spark, name):
     by_sql(spark, name)
 
@@ -131,3 +132,31 @@ def test_neighbours_of_codes(spark):
     assert all(r.own in r.n for r in pairs.select("own", code.neighbours(F.col("c")).alias("n")).collect())
     with pytest.raises(ValueError):
         OpenLocation(11).neighbours(F.lit("x"))
+
+
+def test_flat_elements():
+    inner = '<o:a x="1"> t <o:b>deep</o:b></o:a><plain/><o:a>last</o:a>'
+    prefixes = {"-": "http://www.topografix.com/GPX/1/1", "o": "http://www.opencpn.org"}
+    assert gpx.flat_elements(inner, prefixes, gpx.NAMESPACES) == {"opencpn:a": "last", "opencpn:a.x": "1", "opencpn:b": "deep"}
+    with pytest.raises(ValueError, match="unknown namespace"):
+        gpx.flat_elements("<z:a>1</z:a>", {"z": "urn:z"}, gpx.NAMESPACES)
+    assert gpx.flat_elements("<z:a>1</z:a>", {"z": "urn:z"}, {"urn:z": "zz"}) == {"zz:a": "1"}
+
+
+def test_waypoints_of_every_shape(spark, tmp_path):
+    (tmp_path / "a.gpx").write_text("""<?xml version="1.0"?>
+<gpx xmlns="http://www.topografix.com/GPX/1/1" xmlns:x='http://www.opencpn.org'>
+<wpt lat="1" lon="2"/><wpt lat="3"
+ lon="4"><sym/></wpt>
+<wpt lat="5" lon="6"><time>2020-09-30T07:52:39Z</time><name>A &amp; B</name><desc>d</desc><extensions><x:guid>ABC</x:guid></extensions></wpt>
+<rte><rtept lat="7" lon="8"/></rte></gpx>""")
+    (tmp_path / "b.gpx").write_text('<gpx><wpt lat="9" lon="10"><name>n</name></wpt></gpx>')
+    (tmp_path / "c.gpx").write_text("<gpx></gpx>")
+    rows = {(r.source_file[-5:], r.seq): r for r in gpx.read_waypoints(spark, str(tmp_path)).collect()}
+    assert {k: (r.lat, r.lon, r.name, r.guid) for k, r in rows.items()} == {
+        ("a.gpx", 0): (1.0, 2.0, None, None), ("a.gpx", 1): (3.0, 4.0, None, None), ("a.gpx", 2): (5.0, 6.0, "A & B", "abc"), ("b.gpx", 0): (9.0, 10.0, "n", None),
+    }
+    assert rows["a.gpx", 2].description == "d" and rows["a.gpx", 2].last_updated.year == 2020 and rows["a.gpx", 2].extensions == {"opencpn:guid": "ABC"}
+    (tmp_path / "d.gpx").write_text('<gpx xmlns:z="urn:z"><wpt lat="9" lon="10"><extensions><z:a>1</z:a></extensions></wpt></gpx>')
+    with pytest.raises(Exception, match="unknown namespace"):
+        gpx.read_waypoints(spark, str(tmp_path)).collect()
