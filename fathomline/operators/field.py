@@ -68,7 +68,7 @@ def with_field(points: DataFrame, coefficients: DataFrame, model: Column, lat: C
     else:
         rows = rows.withColumns({"r": alt, "cd": F.lit(1.0), "sd": F.lit(0.0)})
     rows = rows.withColumns({"ct": c * F.col("cd") - s * F.col("sd"), "st": s * F.col("cd") + c * F.col("sd")})
-    rows = rows.withColumns({"pq": _legendre(F.col("terms"), F.col("ct"), F.col("st")), "ratio": RADIUS / F.col("r"), "pole": F.abs("st") < 1e-12})
+    rows = rows.withColumns({"ratio": RADIUS / F.col("r"), "pole": F.abs("st") < 1e-12})
 
     def term(acc: Column, t: Column) -> Column:
         u, p, q = t["terms"], t["p"], t["q"]
@@ -79,13 +79,18 @@ def with_field(points: DataFrame, coefficients: DataFrame, model: Column, lat: C
         east = across * u["m"] * F.when(F.col("pole"), q * F.signum("ct")).otherwise(p / F.when(~F.col("pole"), F.col("st")))
         return F.struct((acc["x"] + along * q).alias("x"), (acc["y"] + east).alias("y"), (acc["z"] - along * (u["n"] + 1) * p).alias("z"))
 
-    size = F.size("terms")
-    zipped = F.arrays_zip(F.col("terms").alias("terms"), F.slice("pq.p", F.lit(2), size).alias("p"), F.slice("pq.q", F.lit(2), size).alias("q"))
-    zero = F.struct(*(F.lit(0.0).alias(k) for k in "xyz"))
-    rows = rows.withColumn("sum", F.aggregate(zipped, zero, term))
-    x, z = F.col("sum.x") * F.col("cd") + F.col("sum.z") * F.col("sd"), F.col("sum.z") * F.col("cd") - F.col("sum.x") * F.col("sd")
-    y = F.col("sum.y")
-    found = F.when(F.col("sum").isNotNull() & x.isNotNull(), F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.sqrt(x * x + y * y + z * z).alias("f")))
+    size, zero = F.size("terms"), F.struct(*(F.lit(0.0).alias(k) for k in "xyz"))
+
+    def total(pq: Column) -> Column:
+        return F.aggregate(F.arrays_zip(F.col("terms").alias("terms"), F.slice(pq["p"], F.lit(2), size).alias("p"), F.slice(pq["q"], F.lit(2), size).alias("q")), zero, term)
+
+    def turned_back(t: Column) -> Column:
+        x, y, z = t["x"] * F.col("cd") + t["z"] * F.col("sd"), t["y"], t["z"] * F.col("cd") - t["x"] * F.col("sd")
+        return F.when(x.isNotNull(), F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.sqrt(x * x + y * y + z * z).alias("f")))
+
+    # As a lambda's variable an expression is computed once; as a column each of its many uses would compute it anew.
+    functions = F.array(_legendre(F.col("terms"), F.col("ct"), F.col("st")))
+    found = F.get(F.transform(F.transform(functions, total), turned_back), F.lit(0))
     return rows.select("row", found.alias("found")).select(*(F.col("row").getField(k).alias(k) for k in points.columns if k != name), F.col("found").alias(name))
 
 
