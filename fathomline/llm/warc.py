@@ -14,7 +14,7 @@ batches of bounded size.
 Broken archives: a record that ends early, a header block without an end, and bytes between records that begin no record give rows with
 ``problem`` set and no payload, length or digest, and what follows is read on from the next line that begins a record; such rows are no part of
 transactions. Header lines may lack the blank after the colon and may be continued on the next line; names are compared in lower case;
-a record without a valid length is a problem too.
+a record without a valid length, or with one over 2^31 - 1 bytes (the most that a value holds), is a problem too.
 
 Defined cases: null html is an empty payload; null url leaves out the target URI; null
 page_id is kept as null (such a page is a revisit if another page with a number has its
@@ -48,6 +48,7 @@ RECORD = (
     "fields string, payload binary, problem string"
 )
 CHUNK = 1 << 16
+MOST_BYTES = (1 << 31) - 1  # of a block: the most that one value of a column holds
 BATCH_BYTES = 16 << 20
 
 
@@ -175,7 +176,7 @@ class Stream:
         return out
 
     def take(self, size: int) -> bytes:
-        while len(self.held) < size and self._more(max(CHUNK, size - len(self.held))):
+        while len(self.held) < size and self._more(CHUNK):  # whatever size the header names, only what is there is held
             pass
         out = bytes(self.held[:size])
         del self.held[:size]
@@ -208,12 +209,14 @@ def parse_archive(file) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
                 name = name.strip().lower()
                 headers[name] = value.strip()
         length = headers.get("content-length", "")
-        if not whole or not (length.isascii() and length.isdigit()):
-            yield headers, b"", "no length" if whole else "header block without an end"
+        digits = length.lstrip("0") if length.isascii() and length.isdigit() else None
+        if not whole or digits is None or len(digits) > 10 or int(digits or 0) > MOST_BYTES:
+            yield headers, b"", "header block without an end" if not whole else "no length" if digits is None else "length over 2 GB"
             line = stream.line()
             continue
-        block = stream.take(int(length))
-        yield headers, block, None if len(block) == int(length) else "ends early"
+        size = int(digits or 0)
+        block = stream.take(size)
+        yield headers, block, None if len(block) == size else "ends early"
         line = stream.line()
     if stream.damaged:
         yield {}, b"", "compressed data is damaged"
