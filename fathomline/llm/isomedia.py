@@ -6,7 +6,8 @@ nested boxes and decodes the sample tables of each track (stts, stsc, stsz or st
 runs of its movie fragments (tfhd, trun): codec, duration and the byte range of each keyframe; it never looks inside ``mdat``.
 
 Broken files: a track whose tables are missing, end early or contradict each other has ``problem`` set, and what could be read
-of it; samples that reach past the end of the file are left out and are a problem too; a file without a track has no tracks. The
+of it; samples that reach past the end of the file are left out and are a problem too; a file without a track has no tracks;
+where boxes nest deeper than ``DEPTH``, the file has a problem and what stands before that place; a duration of more than 63 bits is a problem and 0. The
 columns of a file are those of its first track.
 
 Defined cases: null text is empty; an empty payload is one frame of padding; equal texts
@@ -29,6 +30,8 @@ FRAME = 576
 RATE = 8000
 KEY_EVERY = 25
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+DEPTH = 64  # of nested boxes; the format's own have a dozen
+LONGEST = (1 << 63) - 1
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -91,10 +94,17 @@ def pack(payload: bytes, key_every: int = KEY_EVERY) -> bytes:
     return head + moov(base) + data_head + payload
 
 
-def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
-    """Yield (path, body start, body end) for every box, depth first. Broken sizes end the walk of their parent."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data):
+    """Yield (path, body start, body end) for every box, depth first. Broken sizes end the walk of their parent;
+    boxes inside of more than ``DEPTH`` others are an error."""
+    open_boxes: list[tuple[tuple, int]] = [((), len(data))]
+    start = 0
+    while open_boxes:
+        path, end = open_boxes[-1]
+        if start + 8 > end:
+            open_boxes.pop()
+            start = end
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and body + 8 <= end:
@@ -103,12 +113,18 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
         elif size == 0:
             size = end - start
         if size < body - start or start + size > end:
-            return
+            open_boxes.pop()
+            start = end
+            continue
         here = (*path, kind)
         yield here, body, start + size
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, here)
-        start += size
+            if len(here) > DEPTH:
+                raise ValueError(f"boxes nest deeper than {DEPTH}")
+            open_boxes.append((here, start + size))
+            start = body
+        else:
+            start += size
 
 
 class Track:
@@ -249,8 +265,16 @@ def tracks_of(data: bytes) -> list[Track]:
     found: list[dict[bytes, tuple[int, int]]] = []
     defaults: dict[int, tuple[int, int, int]] = {}
     fragments: list[tuple[int, list]] = []
-    moof = 0
-    for path, a, b in walk(data):
+    moof, broken = 0, None
+    boxes_of = walk(data)
+    while True:
+        try:
+            path, a, b = next(boxes_of)
+        except StopIteration:
+            break
+        except ValueError as error:
+            broken = str(error)
+            break
         if path == (b"moof",):
             moof = a - 8
         elif path == (b"moov", b"trak"):
@@ -282,6 +306,12 @@ def tracks_of(data: bytes) -> list[Track]:
         except ValueError as error:
             for track in out[:1]:
                 track.problem = track.problem or str(error)
+    if broken and not out:
+        out.append(Track())
+    for track in out:
+        if track.duration > LONGEST:
+            track.duration, broken = 0, broken or "a duration has more than 63 bits"
+        track.problem = track.problem or broken
     return out
 
 
