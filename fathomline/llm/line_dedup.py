@@ -68,7 +68,11 @@ def windows(counts: list[int], least: int) -> tuple[list[int], list[int]]:
 
 def _key(docs: DataFrame) -> list:
     text = named("text").cast("string")
-    return [F.coalesce(named("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
+    number = named("doc_id").cast("long")
+    hashed = F.xxhash64(text)
+    # Null comes last: it shares LAST with the largest number, so there the hash's sign tells them apart.
+    first = F.when(number.isNull(), hashed.bitwiseAND(LAST)).when(number == LAST, hashed.bitwiseOR(-LAST - 1)).otherwise(hashed)
+    return [F.coalesce(number, F.lit(LAST)).alias("d"), first.alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
