@@ -1,9 +1,12 @@
 """Each operator against a plain version of itself, on rows with nulls, empty texts, repeats and clashing columns (``CLASHES``)."""
 
+import gzip
 import hashlib
+import io
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,6 +164,53 @@ def test_warc_broken_archives(spark, tmp_path):
     assert warc.assemble(rows).filter("record_id = '<p>'").count() == 1
 
 
+@pytest.mark.parametrize("length", ["99999999999", "1" * 30, "9" * 5_000, "-1", "2147483648", "2000000000", "x"])
+def test_warc_hostile_lengths(spark, tmp_path, length):
+    good = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 0003\r\n\r\na:b\r\n\r\n"
+    bad = f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <b>\r\nContent-Length: {length}\r\n\r\n".encode()
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good + bad + good))
+    (tmp_path / "b.warc").write_bytes(good + bad + good)
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    problems = Counter((r.record_id, r.problem) for r in rows)
+    if length == "2000000000":  # a size that a record may have: what follows belongs to it
+        assert problems == {("<a>", None): 2, ("<b>", "ends early"): 2}
+    else:
+        assert problems == {("<a>", None): 4, ("<b>", "length over 2 GB" if length.isdigit() else "no length"): 2}
+
+
+def test_parsers_survive_random_damage():
+    rng = random.Random(5)
+    movie = isomedia.pack(isomedia.pad(bytes(range(256)) * 90), 3)
+    head = movie.index(b"mdat")
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n" * 4
+    for _ in range(3_000):
+        data = bytearray(movie)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(head)] = rng.choice([0, 1, 255, rng.randrange(256)])
+        cut = bytes(data[: rng.choice([len(data), rng.randrange(len(data))])])
+        found = isomedia.probe(cut)
+        assert all(a + n <= len(cut) for _, a, n in found["keys"]) and found["duration"] < 1 << 63
+        isomedia.payload_of(cut, found)
+        data = bytearray(record)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        for archive in (bytes(data), gzip.compress(record)[: rng.randrange(90)]):
+            file = io.BytesIO(archive)
+            for found in warc.parse_archive(gzip.GzipFile(fileobj=file) if archive[:2] == b"\x1f\x8b" else file):
+                warc._row(*found, True)
+
+
+def test_isomedia_nested_boxes():
+    nested = b""
+    for _ in range(1_200):
+        nested = isomedia.box(b"moov", nested)
+    whole = isomedia.pack(bytes(576))
+    assert isomedia.probe(nested)["problem"] == "boxes nest deeper than 64"
+    found = isomedia.probe(whole + nested)
+    assert found["problem"] == "boxes nest deeper than 64" and found["samples"] == 1
+    assert isomedia.probe(whole)["problem"] is None
+
+
 def test_isomedia(docs, texts):
     got = by_id(isomedia.store_and_describe(docs))
     for i, t in enumerate(texts):
@@ -418,6 +468,13 @@ def test_line_dedup_of_tied_ids(spark, texts):
     assert len(kept) == 1 and sum(passage in r.text for r in got) == 2 and [r.text for r in got if r.doc_id is None] == [""] * 3
 
 
+def test_line_dedup_of_null_and_largest_ids(spark):
+    text = "\n".join(f"line {i} of a passage that stands twice" for i in range(12))
+    rows = [(None, text), ((1 << 63) - 1, text), (None, "own words only"), ((1 << 63) - 1, "other words")]
+    found = {(r.doc_id, r.text) for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {((1 << 63) - 1, text), (None, "own words only"), ((1 << 63) - 1, "other words")}  # null comes last, so its copy goes
+
+
 def test_decontaminate_against_plain(spark, docs, texts):
     items = [(1, " ".join(texts[4].split()[5:30])), (22, texts[3]), (3, "of9 zz"), (4, ""), (5, None), (6, texts[2])]
     bench = spark.createDataFrame(items, "item_id long, text string")
