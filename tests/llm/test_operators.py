@@ -134,6 +134,58 @@ def test_pii_check_digits(spark):
     assert all(r.got == r.want for r in got)
 
 
+def test_pii_accounts_by_their_check_digits_and_rare_kinds(spark):
+    def account(i):
+        body = f"WEST{i:014d}"
+        number = int("".join(str(int(c, 36)) for c in body + "GB00"))
+        return f"GB{98 - number % 97:02d}{body}"
+
+    good = [account(7919 * i) for i in range(300)]
+    bad = [x[:2] + f"{(int(x[2:4]) + 5) % 97 + 2:02d}" + x[4:] for x in good]
+    mixed = spark.createDataFrame(list(enumerate(f"paid to {x} then" for x in good + bad)), "doc_id long, text string")
+    got = by_id(pii.report(mixed))
+    free = [i for i in range(300) if not got[i].n_card]  # digits that pass as a card's are a base span, which stays
+    assert len(free) > 200 and all(got[i].spans == "account:8:30" for i in free)
+    assert not any(got[i].n_added for i in range(300, 600))
+    # 150 accounts among 60,000 texts that hold other numbers
+    common = spark.range(1_000, 61_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("in 1987 some "), "id", F.lit(" pages, 12.5 each")).alias("text"))
+    model = pii.fit(mixed.filter("doc_id < 150").unionAll(common))
+    assert model.thresholds[pii.KINDS.index("account")] < 1
+    sample = pii._sample(mixed.unionAll(common).unionAll(common), 90)
+    rows = sample.collect()
+    assert len(rows) == len({r.text for r in rows}) <= 90 and sum("GB" in r.text for r in rows) >= 10
+    assert {r.text for r in pii._sample(mixed.unionAll(common).repartition(3), 90).collect()} == {r.text for r in rows}
+
+
+def test_pii_selection_against_plain(spark, personal):
+    rng = random.Random(8)
+    bits = ["a@b.cc", "x at y dot com", "+1 310 555 4510", "4465758382889437", "1.2.3.4", "00:1B:44:11:3A:B7", 'token = "0a1b2c3d4e5f60718293"', "GB82WEST12345698765432", "310-555-4510", "word", "é🙂"]
+    docs = spark.createDataFrame([(i, rng.choice(["", " ", "-"]).join(rng.choice(bits) for _ in range(rng.randint(1, 9)))) for i in range(400)], "doc_id long, text string")
+    model = pii.Trees(personal[2].bias, personal[2].trees, {pii.KINDS.index(k): 0.3 for k in pii.GENERATORS})
+    got = by_id(pii.report(docs, model))
+    rows = pii.with_matches(docs, "doc_id").select("doc_id", pii.base_spans().alias("base"), pii.candidates(list(pii.GENERATORS), False).alias("c")).collect()
+    dropped = 0
+    for r in rows:
+        base = [tuple(b) for b in r.base]
+        out = list(base)
+        for start, rank, stop in sorted((x.start, x.rank, x.stop) for x in r.c if model.score(tuple(x.f)) >= 0.3):
+            if all(stop <= a or b <= start for a, _, b in out):
+                out.append((start, rank, stop))
+            else:
+                dropped += 1
+        assert got[r.doc_id].spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+    assert dropped > 100
+
+
+def test_pii_has_no_length_caps(spark, personal):
+    long = "a" * 500 + "1" + "b" * 40
+    key = "-----BEGIN PRIVATE KEY-----\n" + "MIIE" * 30_000 + "\n-----END PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f'token = "{long}2"'), (2, key)], "doc_id long, text string")
+    got = by_id(pii.with_matches(docs, "doc_id"))
+    assert [(x.start, x.stop) for x in got[1].m_secret] == [(9, 9 + len(long) + 1)]
+    assert [(x.start, x.stop) for x in got[2].m_key_block] == [(0, len(key))]
+
+
 def test_warc_roundtrip(spark):
     rows = [(1, "u", "same"), (2, "u2", "same"), (3, None, None), (4, "u\r\nX: 1", "<p>\r\n\r\nWARC/1.1\r\n"), (5, "", ""), (5, "", ""), (None, "n", "same")]
     got = warc.roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
