@@ -24,7 +24,7 @@ def range_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius
     up = radius * (F.radians(lat2) - F.radians(lat1))
     right = radius * F.cos((F.radians(lat1) + F.radians(lat2)) / 2) * across
     bearing = F.degrees(F.pmod(F.atan2(right, up), F.lit(2 * math.pi)))
-    return F.struct(F.hypot(up, right).alias("distance"), bearing.alias("bearing"))
+    return F.struct(F.sqrt(up * up + right * right).alias("distance"), bearing.alias("bearing"))
 
 
 def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = NM, wrap: bool = False) -> Column:
