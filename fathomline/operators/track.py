@@ -33,12 +33,12 @@ def with_legs(fixes: DataFrame, by: list[str], seq: list[str], radius: float = N
 
 
 def with_totals(legs: DataFrame, by: list[str], seq: list[str]) -> DataFrame:
-    """Add total_distance and total_seconds up to and including each leg."""
+    """Add total_distance and total_seconds up to and including each leg. Seconds are added as whole microseconds, so a total has no error of summation."""
     w = Window.partitionBy(*by).orderBy(*seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return legs.withColumns(
         {
             "total_distance": F.coalesce(F.sum("distance").over(w), F.lit(0.0)),
-            "total_seconds": F.coalesce(F.sum("delta_seconds").over(w), F.lit(0.0)),
+            "total_seconds": F.coalesce(F.sum(F.bround(F.col("delta_seconds") * 1e6).cast("long")).over(w) / 1e6, F.lit(0.0)),
         }
     )
 
