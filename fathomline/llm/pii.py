@@ -6,16 +6,17 @@ grouped numbers, digit runs, colon-separated hex groups, long mixed tokens, acco
 has format features (digits, separators, kinds of letters, length, checksum) and context features (the characters
 beside it, trigger words and assignment signs before it).
 
-Gradient-boosted trees are learned from a bounded sample of documents with weak labels. Positive are candidates inside
+Gradient-boosted trees are learned from all documents with weak labels. Positive are candidates inside
 valid base spans; hex groups in the two published address forms; account numbers whose check digits hold; mixed tokens
-that are assigned to a credential's name; whole key blocks; and the addresses of a second copy of the sample, in which base e-mails are
+that are assigned to a credential's name; whole key blocks; and the addresses of a second copy of the texts, in which base e-mails are
 rewritten in spelled form. Negative are failed base matches, parts of longer tokens, account numbers whose check digits fail,
 other hex groups, tokens with one digit or one letter, and "x at y.z" without a spelled dot. The others are unlabelled and only scored.
-A generator's threshold is the least score down to which the held-out half of the sample shows the wanted precision;
+A generator's threshold is the least score down to which the held-out half of the texts (by hash) shows the wanted precision;
 a generator whose precision isn't shown, or that has too few labels, is off. Trees become
 nested CASE expressions, so scoring is a projection: no shuffle, no Python.
 
-The sample has the same number of texts for each kind (``DRAWN``), so a kind that few texts of the corpus hold is learned as well.
+What is counted are distinct feature vectors, whose number the features' ranges bound, whatever the corpus. Each generator has the same weight in the trees, so a kind
+that few texts hold is learned as well. A caller may ask for a bounded sample instead (``sample_docs``), with the same number of texts for each kind (``DRAWN``).
 Of spelled-out addresses the name has at most 64 and a label of the host at most 63 characters, the limits of the format; nothing else is bounded.
 
 Patterns use possessive quantifiers and look-behinds, which find the same leftmost matches as
@@ -33,6 +34,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,6 @@ CREDENTIALS = r"(?i)(?:token|secret|passw(?:or)?d|credential|bearer|auth|(?:api|
 ASSIGNED = r"[=:]\s{0,3}[\x22']?$"
 KINDS = [*BASE, *GENERATORS]
 FEATURES = ["generator", "digits", "marks", "letters", "distinct", "checksum", "left", "right", "trigger", "length", "credential", "assigned"]
-SAMPLE_DOCS = 4_500
 PRECISION = 0.95
 LEAST_LABELS = 5
 OFF = 2.0
@@ -287,35 +288,45 @@ def boost(rows: list[tuple[tuple, float, float]], rounds: int = 16, depth: int =
     """Newton boosting of the log loss on (features, positives, count) rows."""
     pos, n = sum(r[1] for r in rows), sum(r[2] for r in rows)
     out = Trees(math.log((pos + 0.5) / (n - pos + 0.5)))
-    margin = [out.bias] * len(rows)
-    for _ in range(rounds if 0 < pos < n else 0):
-        p = [1 / (1 + math.exp(-m)) for m in margin]
-        g = [q * r[2] - r[1] for q, r in zip(p, rows)]
-        h = [q * (1 - q) * r[2] for q, r in zip(p, rows)]
-
-        def grow(ids: list[int], left: int):
-            sg, sh = sum(g[i] for i in ids), sum(h[i] for i in ids)
+    if not 0 < pos < n:
+        return out
+    x = np.array([r[0] for r in rows], np.int64)
+    y, count = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    margin = np.full(len(rows), out.bias)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p * count - y, p * (1 - p) * count
+
+        def grow(ids: np.ndarray, left: int):
+            sg, sh = g[ids].sum(), h[ids].sum()
             best = (1e-6, None)
             for j in range(len(FEATURES)) if left else ():
-                for cut in sorted({rows[i][0][j] for i in ids})[1:]:
-                    lg = lh = 0.0
-                    for i in ids:
-                        if rows[i][0][j] < cut:
-                            lg += g[i]
-                            lh += h[i]
-                    gain = lg * lg / (lh + damping) + (sg - lg) ** 2 / (sh - lh + damping) - sg * sg / (sh + damping)
-                    if gain > best[0]:
-                        best = (gain, (j, cut))
+                values, place = np.unique(x[ids, j], return_inverse=True)
+                lg, lh = np.bincount(place, g[ids]).cumsum()[:-1], np.bincount(place, h[ids]).cumsum()[:-1]
+                gain = lg * lg / (lh + damping) + (sg - lg) ** 2 / (sh - lh + damping) - sg * sg / (sh + damping)
+                if len(gain) and gain.max() > best[0]:
+                    best = (gain.max(), (j, int(values[gain.argmax() + 1])))
             if not best[1]:
-                return -rate * sg / (sh + damping)
+                leaf = float(-rate * sg / (sh + damping))
+                margin[ids] += leaf
+                return leaf
             j, cut = best[1]
-            return (j, cut, grow([i for i in ids if rows[i][0][j] < cut], left - 1), grow([i for i in ids if rows[i][0][j] >= cut], left - 1))
+            low = x[ids, j] < cut
+            return (j, cut, grow(ids[low], left - 1), grow(ids[~low], left - 1))
 
-        out.trees.append(grow(list(range(len(rows))), depth))
-        margin = [out.margin(r[0]) for r in rows]
+        out.trees.append(grow(np.arange(len(rows)), depth))
     return out
 
 
+def even(rows: list[tuple[tuple, float, float]]) -> list[tuple[tuple, float, float]]:
+    """(features, positives, count) rows so weighted that each generator has the same number of labels in all."""
+    each: dict[int, float] = {}
+    for f, _, n in rows:
+        each[f[0]] = each.get(f[0], 0.0) + n
+    whole = sum(each.values()) / max(1, len(each))
+    return [(f, y * whole / each[f[0]], n * whole / each[f[0]]) for f, y, n in rows]
+
+
 def _sample(docs: DataFrame, most: int) -> DataFrame:
     """hash and text of at most ``most`` distinct texts. Each kind of ``DRAWN`` has an equal part of them, however rare it is: of the texts
     that may hold it, those with the least hash. A first pass estimates how many there are of each kind, a second one
@@ -347,12 +358,12 @@ def _calibrated(scored: list[tuple[float, int, int]], precision: float) -> float
     return max(threshold, 0.5)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Trees:
-    """Learn from the candidates of at most ``sample_docs`` texts, and of their copies with spelled e-mails.
+def fit(docs: DataFrame, sample_docs: int | None = None, precision: float = PRECISION) -> Trees:
+    """Learn from the candidates of all texts, and of their copies with spelled e-mails; of at most ``sample_docs`` texts only if that is asked for.
 
     What reaches the driver are the distinct feature vectors, whose number the features' ranges bound.
     """
-    sample = _sample(docs, sample_docs)
+    sample = docs.select(text_of(docs)).select(F.xxhash64("text").alias("hash"), "text").filter("text is not null") if sample_docs is None else _sample(docs, sample_docs)
     form = F.when(F.pmod("hash", F.lit(6)) < 3, " at ").when(F.pmod("hash", F.lit(6)) < 5, " (at) ").otherwise("[at]")
     dot = F.when(F.pmod("hash", F.lit(6)) < 3, " dot ").when(F.pmod("hash", F.lit(6)) < 5, " (dot) ").otherwise("[dot]")
     spelled = F.regexp_replace("text", F.lit(r"([A-Za-z0-9._%+-]{1,64}+)@([A-Za-z0-9-]{1,63}+)\.([A-Za-z0-9-]{1,63}+)"), F.concat(F.lit("$1"), form, F.lit("$2"), dot, F.lit("$3")))
@@ -374,7 +385,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PREC
     table = seen.groupBy("held", *FEATURES).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).orderBy("held", *FEATURES).collect()
     vector = lambda r: tuple(r[f] for f in FEATURES)
     learn = [(vector(r), float(r["pos"]), float(r["n"])) for r in table if not r["held"]]
-    model = boost(learn) if learn else Trees(-10.0)
+    model = boost(even(learn)) if learn else Trees(-10.0)
     for rank in range(len(BASE), len(KINDS)):
         model.thresholds[rank] = _calibrated([(model.score(vector(r)), r["pos"], r["n"]) for r in table if r["held"] and r["generator"] == rank], precision)
     return model
