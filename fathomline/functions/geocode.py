@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 DIGITS = "23456789CFGHJMPQRVWX"
 
 
-def _digit(value: Column) -> Column:
-    return F.substring(F.lit(DIGITS), value.cast("int") + 1, F.lit(1))
+def _spread(value: Column, digits: int) -> Column:
+    """The digits of a number of base 20, each with a free place behind it."""
+    return sum(((F.floor(value / 20**k) % 20) * 400**k for k in range(digits)), F.lit(0).cast("long"))
+
+
+def _said(value: Column, size: int) -> Column:
+    """A number in ``size`` of the code's digits."""
+    return F.translate(F.lpad(F.conv(value.cast("long"), 10, 20), size, "0"), "0123456789ABCDEFGHIJ", DIGITS)
 
 
 def olc_encode(lat: Column, lon: Column, size: int = 11) -> Column:
@@ -22,13 +28,19 @@ def olc_encode(lat: Column, lon: Column, size: int = 11) -> Column:
     clipped = F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0))
     up = F.when(clipped >= 90, 90 - back).otherwise(clipped) + 90
     right = F.pmod(lon + 180, F.lit(360.0))
-    coarse = [F.floor(F.round(x * 8000, 6)).cast("long") for x in (up, right)]
-    pairs = [_digit(F.floor(v / 20**k) % 20) for k in (4, 3, 2, 1, 0) for v in coarse]
-    fine_up = F.floor(F.round(up * (8000 * 3125), 5)).cast("long") % 3125
-    fine_right = F.floor(F.round(right * (8000 * 1024), 5)).cast("long") % 1024
-    fine = [_digit((F.floor(fine_up / 5**k) % 5) * 4 + F.floor(fine_right / 4**k) % 4) for k in (4, 3, 2, 1, 0)]
-    code = F.rpad(F.substring(F.concat(*pairs, *fine), 1, size), 8, "0") if size < 8 else F.substring(F.concat(*pairs, *fine), 1, size)
-    return F.concat(F.substring(code, 1, 8), F.lit("+"), F.substring(code, 9, 7))
+    whole = lambda x, scale, places: F.floor(F.round(x * scale, places)).cast("long")
+    numbers = F.struct(
+        whole(up, 8000, 6).alias("up"), whole(right, 8000, 6).alias("right"), (whole(up, 8000 * 3125, 5) % 3125).alias("fine_up"), (whole(right, 8000 * 1024, 5) % 1024).alias("fine_right")
+    )
+
+    def said(x: Column) -> Column:
+        code = _said(_spread(x["up"], 5) * 20 + _spread(x["right"], 5), 10)
+        fine = sum((((F.floor(x["fine_up"] / 5**k) % 5) * 4 + F.floor(x["fine_right"] / 4**k) % 4) * 20**k for k in range(5)), F.lit(0).cast("long"))
+        code = F.substring(F.concat(code, _said(fine, 5)) if size > 10 else code, 1, size)
+        return F.rpad(code, 8, "0") if size < 8 else code
+
+    # As a lambda's variable a number is computed once; copied for each digit the code would outgrow what the JVM compiles.
+    return F.get(F.transform(F.transform(F.array(numbers), said), lambda code: F.concat(F.left(code, F.lit(8)), F.lit("+"), F.substring(code, 9, 7))), F.lit(0))
 
 
 def olc_decode(code: Column) -> Column:
@@ -80,12 +92,28 @@ class OpenLocation:
     def neighbours(self, code: Column) -> Column:
         if self.size % 2 or not 2 <= self.size <= 10:
             raise ValueError(f"codes of {self.size} digits have no square cells")
-        side = 20.0 ** (2 - self.size // 2)
-        steps = F.array(*(F.struct(F.lit(up * side).alias("up"), F.lit(right * side).alias("right")) for up in (0, -1, 1) for right in (0, -1, 1)))
+        # Whole numbers and one base conversion a neighbour, not a point's whole code. A shorter code stands for its middle.
+        half = self.size // 2
+        high, wide = int(180 * 20.0 ** (half - 2)), int(360 * 20.0 ** (half - 2))
+
+        def place(code: Column) -> Column:
+            clean = F.regexp_replace(F.upper(code), "[+0 ]", "")
+            pairs = F.translate(F.rpad(F.left(clean, F.lit(self.size)), self.size, "GG22222222"), DIGITS, "0123456789abcdefghij")
+            number = lambda part: F.conv(F.regexp_replace(pairs, "(.)(.)", part), 20, 10).cast("long")
+            return F.struct(number("$1").alias("up"), number("$2").alias("right"))
+
+        spread = lambda x: _spread(x, half).cast("long")
+
+        def text(value: Column) -> Column:
+            whole = F.rpad(_said(value, self.size), max(8, self.size), "0")
+            return F.concat(F.left(whole, F.lit(8)), F.lit("+"), F.substring(whole, 9, 7))
+
+        steps = F.array(*(F.lit(k).cast("long") for k in (0, -1, 1)))
 
-        def around(box: Column) -> Column:
-            return F.transform(steps, lambda s: F.struct((box["lat"] + s["up"]).alias("lat"), (F.pmod(box["lon"] + s["right"] + 180, F.lit(360.0)) - 180).alias("lon")))
+        def around(at: Column) -> Column:
+            rows = F.transform(F.filter(F.transform(steps, lambda k: at["up"] + k), lambda row: (row >= 0) & (row < high)), spread)
+            columns = F.transform(F.transform(steps, lambda k: F.pmod(at["right"] + k, F.lit(wide))), spread)
+            return F.flatten(F.transform(rows, lambda a: F.transform(columns, lambda b: text(a * 20 + b))))
 
         # Variables of lambdas keep the long expressions of the code from being copied for each neighbour.
-        points = F.flatten(F.transform(F.transform(F.array(code), olc_decode), around))
-        return F.array_distinct(F.transform(F.filter(points, lambda p: F.abs(p["lat"]) < 90), lambda p: self.encode(p["lat"], p["lon"])))
+        return F.array_distinct(F.flatten(F.transform(F.transform(F.array(code), place), around)))

@@ -4,12 +4,18 @@ A rule says when two waypoints match. Key rules (name, identifier, geocode prefi
 The distance rule is a range join: points fall into cells at least as wide as the limit (``cells``), one side
 looks into the nine cells around it, and the exact distance decides. An arbitrary predicate is tried
 within groups that agree in a key; a comparison of all pairs has to be asked for. The result is a table of edges (left_id, right_id, rule).
+
+Edges may be as many as the product of the sides, so nothing is sorted or gathered by edge: each rule gives a pair of rows once, so edges need no
+``distinct`` where ids are unique; the pairs of one key are made by blocks in many tasks (``paired``); and what key rules say about single
+waypoints (matched or not, how often) or about groups of them comes from counts by key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +26,29 @@ from ..scratch import settle
 from .cells import Cells
 
 NEAR = 0.05
+BLOCK = 2_048
+PAIRS = 1 << 24
+
+
+def paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """The inner join of two sides by columns ``key`` (no nulls). Beyond ``PAIRS`` pairs a key of many is dealt into blocks of some ``BLOCK`` rows of either side, and each pair
+    of blocks is a key of its own; there are as many partitions as make some ``PAIRS`` pairs each. So neither a frequent key nor a large product is one task."""
+    sizes = a.groupBy(*key).agg(F.count(F.lit(1)).alias("na_")).join(b.groupBy(*key).agg(F.count(F.lit(1)).alias("nb_")), key)
+    cost = F.col("na_").cast("double") * F.col("nb_")
+    total = sizes.agg(F.sum(cost)).first()[0] or 0
+    if total <= PAIRS:
+        return a.join(b, key)
+    # Keys that hold so many of the pairs are at most 50,000, whatever the sides.
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+    hot = F.broadcast(sizes.filter(cost > max(PAIRS / 16, total / 50_000)).select(*key, parts("na_"), parts("nb_")))
+    number = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, int(total // PAIRS) + 1))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other)
+        return df.join(hot, key, "left").select(*df.columns, mine, every).repartition(number, *key, "na_", "nb_")
+
+    return dealt(a, "na_", "nb_").join(dealt(b, "nb_", "na_"), [*key, "na_", "nb_"]).drop("na_", "nb_")
 
 
 @dataclass(frozen=True)
@@ -31,10 +60,14 @@ class KeyRule:
     null_matches: bool = False
 
     def edges(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select(F.col("id").alias("left_id"), self.key("left").alias("a"))
-        b = right.select(F.col("id").alias("right_id"), self.key("right").alias("b"))
-        on = a["a"].eqNullSafe(b["b"]) if self.null_matches else a["a"] == b["b"]
-        return a.join(b, on).select("left_id", "right_id", F.lit(self.name).alias("rule"))
+        a, b = self.keyed(left, "left", F.col("id").alias("left_id")), self.keyed(right, "right", F.col("id").alias("right_id"))
+        return paired(a, b, ["key", "no_key"]).select("left_id", "right_id", F.lit(self.name).alias("rule"))
+
+    def keyed(self, points: DataFrame, side: str, *columns: Column) -> DataFrame:
+        """``columns`` with key and no_key (whether it is missing); points that can't match are left out."""
+        rows = points.select(*columns, self.key(side).alias("key_"))
+        rows = rows.select(*rows.columns[:-1], F.coalesce(F.col("key_").cast("string"), F.lit("")).alias("key"), F.col("key_").isNull().alias("no_key"))
+        return rows if self.null_matches else rows.filter("not no_key")
 
 
 @dataclass(frozen=True)
@@ -55,7 +88,7 @@ class NearRule:
         a = points(left, "left", cells.cell(F.col("lat"), F.col("lon")))
         b = points(right, "right", F.explode(cells.around(F.col("lat"), F.col("lon"))))
         near = distance(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"), self.radius, self.wrap) <= self.limit
-        return a.join(b, ["row", "column"]).filter(near).select("left_id", "right_id", F.lit(self.name).alias("rule"))
+        return paired(a.dropna(subset=["row", "column"]), b.dropna(subset=["row", "column"]), ["row", "column"]).filter(near).select("left_id", "right_id", F.lit(self.name).alias("rule"))
 
 
 @dataclass(frozen=True)
@@ -72,7 +105,7 @@ class CodeRule:
         a = left.select(F.col("id").alias("left_id"), F.col("lat").alias("left_lat"), F.col("lon").alias("left_lon"), code.alias("code"))
         b = right.select(F.col("id").alias("right_id"), F.col("lat").alias("right_lat"), F.col("lon").alias("right_lon"), code.alias("own"))
         b = b.withColumn("code", F.explode(self.geocode.neighbours(F.col("own"))))
-        pairs = a.join(b, "code")
+        pairs = paired(a.dropna(subset=["code"]), b.dropna(subset=["code"]), ["code"])
         if self.limit is not None:
             pairs = pairs.filter(distance(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"), self.radius, wrap=True) <= self.limit)
         return pairs.select("left_id", "right_id", F.lit(self.name).alias("rule"))
@@ -92,8 +125,9 @@ class PredicateRule:
         if self.key is None and not self.all_pairs:
             raise ValueError(f"rule {self.name!r} has no key to join by; ask for all_pairs to compare every pair")
         key = F.lit(0) if self.key is None else self.key()
-        l, r = left.withColumn("rule_key", key).alias("l"), right.withColumn("rule_key", key).alias("r")
-        return l.join(r, (F.col("l.rule_key") == F.col("r.rule_key")) & self.predicate()).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.lit(self.name).alias("rule"))
+        # Structs under the aliases' names: the predicate's ``l.lat`` is a field of one.
+        l, r = (df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name), key.alias("rule_key")).dropna(subset=["rule_key"]) for df, name in ((left, "l"), (right, "r")))
+        return paired(l, r, ["rule_key"]).filter(self.predicate()).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.lit(self.name).alias("rule"))
 
 
 def by_name() -> KeyRule:
@@ -109,20 +143,72 @@ def by_geocode(n: int) -> KeyRule:
     return KeyRule(f"geocode{n}", lambda side: F.substring("geocode", 1, n))
 
 
+def unique(points: DataFrame) -> bool:
+    """Whether no id stands twice."""
+    return points.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _by_counts(left: DataFrame, right: DataFrame, rules: list) -> bool:
+    """Whether edges can be counted by key: key rules of different names, and unique ids."""
+    return all(isinstance(r, KeyRule) for r in rules) and len({r.name for r in rules}) == len(rules) and unique(left) and unique(right)
+
+
 def match(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
     """Distinct edges of all rules."""
-    edges = rules[0].edges(left, right)
-    for rule in rules[1:]:
-        edges = edges.unionByName(rule.edges(left, right))
-    return edges.distinct()
+    edges = reduce(DataFrame.unionByName, (rule.edges(left, right) for rule in rules))
+    once = all(isinstance(r, (KeyRule, NearRule, CodeRule, PredicateRule)) for r in rules) and len({r.name for r in rules}) == len(rules)
+    return edges if once and unique(left) and unique(right) else edges.distinct()
+
 
+def touched(left: DataFrame, right: DataFrame, rules: list, side: str) -> DataFrame:
+    """id (not always once) of the waypoints of a ``side`` (left, right) that an edge touches; of key rules without making the edges."""
+    points, others, other = (left, right, "right") if side == "left" else (right, left, "left")
 
-def outer_merge(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per edge, then the unmatched of either side: left_id, right_id, rule, status (both, first, second)."""
+    def of(rule) -> DataFrame:
+        if not isinstance(rule, KeyRule):
+            return rule.edges(left, right).select(F.col(f"{side}_id").alias("id"))
+        return rule.keyed(points, side, F.col("id")).join(rule.keyed(others, other).distinct(), ["key", "no_key"], "left_semi").select("id")
+
+    return reduce(DataFrame.unionAll, map(of, rules))
+
+
+def rank(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
+    """``rank_by_matches`` of the left waypoints, of key rules without making the edges."""
+    if not _by_counts(left, right, rules):
+        return rank_by_matches(left, match(left, right, rules), "left_id")
+    each = [rule.keyed(left, "left", F.col("id")).join(rule.keyed(right, "right").groupBy("key", "no_key").agg(F.count(F.lit(1)).alias("n")), ["key", "no_key"]).select("id", "n") for rule in rules]
+    counts = reduce(DataFrame.unionAll, each).groupBy("id").agg(F.sum("n").alias("match_count"))
+    return left.select("id").join(counts, "id", "left").select("id", F.coalesce("match_count", F.lit(0)).alias("match_count")).orderBy(F.desc("match_count"), "id")
+
+
+def crosswalk_by(left: DataFrame, right: DataFrame, rules: list, column: str = "sym") -> DataFrame:
+    """``crosswalk`` of the edges of rules; of key rules without making the edges: pairs that agree in several keys are counted in and out by turns."""
+    if not _by_counts(left, right, rules):
+        return crosswalk(left, right, match(left, right, rules), column)
+
+    def counted(some: tuple, points: DataFrame, side: str) -> DataFrame:
+        rows = points.select(F.col(column).alias("value_"), *(F.col(f"`{c}`") for c in points.columns))
+        for k, rule in enumerate(some):
+            rows = rule.keyed(rows, side, *(F.col(f"`{c}`") for c in rows.columns)).withColumnsRenamed({"key": f"key{k}_", "no_key": f"no{k}_"})
+        keys = [f"{c}{k}_" for k in range(len(some)) for c in ("key", "no")]
+        return rows.groupBy(F.col("value_").alias(f"{side}_{column}"), *keys).agg(F.count(F.lit(1)).alias(f"{side}_n"))
+
+    parts = []
+    for size in range(1, len(rules) + 1):
+        for some in combinations(rules, size):
+            a, b = counted(some, left, "left"), counted(some, right, "right")
+            keys = [c for c in a.columns if c in b.columns]
+            parts.append(a.join(b, keys).select(f"left_{column}", f"right_{column}", (F.lit((-1) ** (size + 1)) * F.col("left_n") * F.col("right_n")).alias("n")))
+    return reduce(DataFrame.unionAll, parts).groupBy(f"left_{column}", f"right_{column}").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def outer_merge(left: DataFrame, right: DataFrame, edges: DataFrame, rules: list | None = None) -> DataFrame:
+    """One row per edge, then the unmatched of either side: left_id, right_id, rule, status (both, first, second). With the ``rules`` that the edges come from the unmatched are found without them."""
     both = edges.select("left_id", "right_id", "rule", F.lit("both").alias("status"))
     none = F.lit(None).cast("string")
-    first = only(left, edges, "left_id").select(F.col("id").alias("left_id"), F.lit(None).cast(edges.schema["right_id"].dataType).alias("right_id"), none.alias("rule"), F.lit("first").alias("status"))
-    second = only(right, edges, "right_id").select(F.lit(None).cast(edges.schema["left_id"].dataType).alias("left_id"), F.col("id").alias("right_id"), none.alias("rule"), F.lit("second").alias("status"))
+    found = {side: edges.select(F.col(f"{side}_id").alias("id")) if rules is None else touched(left, right, rules, side) for side in ("left", "right")}
+    first = left.join(found["left"], "id", "left_anti").select(F.col("id").alias("left_id"), F.lit(None).cast(edges.schema["right_id"].dataType).alias("right_id"), none.alias("rule"), F.lit("first").alias("status"))
+    second = right.join(found["right"], "id", "left_anti").select(F.lit(None).cast(edges.schema["left_id"].dataType).alias("left_id"), F.col("id").alias("right_id"), none.alias("rule"), F.lit("second").alias("status"))
     return both.unionByName(first).unionByName(second)
 
 
@@ -167,6 +253,8 @@ def deduplicate(points: DataFrame, prefix: int = 10, preferred_only: bool = Fals
 
 def survey(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
     """The difference report: line_no, text. Matched left waypoints with their partners by rule, then ``+`` lines for what only the right has."""
+    if _by_counts(left, right, rules):
+        return _survey_by_counts(left, right, rules)
     edges = match(left, right, rules)
     named = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.coalesce("name", F.lit("")).alias(f"{side}_name"), F.col("geocode").alias(f"{side}_code"))
     lines = edges.join(named(left, "left"), "left_id").join(named(right, "right"), "right_id")
@@ -176,6 +264,31 @@ def survey(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
     return numbered(every, ["part", "k1", "k2", "k3", "text"], "line_no").select("line_no", "text")
 
 
+def _survey_by_counts(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
+    """The lines of ``survey`` without sorting them: a line's number is that of its waypoint's and rule's first line, which the counts by key say, and the partner's place among those of its key."""
+    name = F.coalesce("name", F.lit("")).alias("name")
+    tail = F.concat(F.coalesce("name", F.lit("")), F.lit(" ("), F.coalesce("geocode", F.lit("null")), F.lit(")")).alias("tail")
+    in_key = Window.partitionBy("key", "no_key").orderBy("tail")
+    partners = {rule.name: rule.keyed(right, "right", tail).withColumn("at", F.row_number().over(in_key) - 1) for rule in rules}
+    counted = lambda rule: partners[rule.name].groupBy("key", "no_key").agg(F.count(F.lit(1)).alias("n"))
+    heads = reduce(DataFrame.unionAll, (rule.keyed(left, "left", F.lit(rule.name).alias("rule"), name, F.col("id").cast("string").alias("id")).join(counted(rule), ["key", "no_key"]) for rule in rules))
+    order = ["name", "id", "rule"]
+    ordered = settle(heads.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("place", F.monotonically_increasing_id()).withColumn("range", F.shiftright("place", 33))
+    ranges = ordered.groupBy("range").agg(F.sum("n").alias("lines"))  # as many rows as ranges
+    base = ranges.select("range", (F.sum("lines").over(Window.orderBy("range")) - F.col("lines")).alias("base"))
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("place")) - F.col("n")
+    heads = settle(ordered.withColumn("first", before).join(F.broadcast(base), "range").select("rule", "name", "key", "no_key", (F.col("base") + F.col("first")).alias("first")))
+
+    def lines(rule: KeyRule) -> DataFrame:
+        pairs = paired(heads.filter(F.col("rule") == rule.name).select("key", "no_key", "name", "first"), partners[rule.name], ["key", "no_key"])
+        return pairs.select((F.col("first") + F.col("at")).alias("line_no"), F.concat(F.lit(f"  {rule.name} "), "name", F.lit(" = "), "tail").alias("text"))
+
+    total = ranges.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    new = right.join(touched(left, right, rules, "right"), "id", "left_anti").select(name, F.col("id").cast("string").alias("id"), F.format_string("+ %s %s", F.coalesce("name", F.lit("")), "geocode").alias("text"))
+    new = numbered(new, ["name", "id", "text"], "line_no").select((F.col("line_no") + total).alias("line_no"), "text")
+    return reduce(DataFrame.unionAll, [*map(lines, rules), new])
+
+
 def duplicates_report(points: DataFrame, prefix: int = 10) -> DataFrame:
     """line_no, text: of each group of doubles (geocodes that share a prefix) a line for the group, the one that stays, and those it stands for."""
     keyed = points.select(F.substring("geocode", 1, prefix).alias("cluster"), "id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("last_updated", F.lit("1900-01-01").cast("timestamp")).alias("at"))

@@ -247,28 +247,34 @@ for _name, _on in _EDGE.items():
 _EDGES = _SIDES + ", e as (" + " union ".join(f"select l.id as left_id, r.id as right_id, '{n}' as rule from l join r on {_EDGE[n]}" for n in ("guid", "geocode8")) + ")"
 
 
+_BOTH = [match.by_guid(), match.by_geocode(8)]
+
+
 def _edges(spark, sf_dir):
-    left, right = views.left_points(spark, sf_dir), views.right_points(spark, sf_dir)
-    return left, right, match.match(left, right, [match.by_guid(), match.by_geocode(8)])
+    left, right = _sides(spark, sf_dir)
+    return left, right, match.match(left, right, _BOTH)
+
+
+def _sides(spark, sf_dir):
+    return views.left_points(spark, sf_dir), views.right_points(spark, sf_dir)
 
 
 @query(_EDGES + """ select left_id::VARCHAR as left_id, right_id::VARCHAR as right_id, rule, 'both' as status from e union all select id::VARCHAR, null, null, 'first' from l where id not in (select left_id from e)
 union all select null, id::VARCHAR, null, 'second' from r where id not in (select right_id from e)""")
 def match_outer_merge(spark, sf_dir):
-    merged = match.outer_merge(*_edges(spark, sf_dir))
+    merged = match.outer_merge(*_edges(spark, sf_dir), _BOTH)
     return merged.select(F.col("left_id").cast("string").alias("left_id"), F.col("right_id").cast("string").alias("right_id"), "rule", "status")
 
 
 @query(_EDGES + " select id, name, geocode from r where id not in (select right_id from e)")
 def match_left_anti_new(spark, sf_dir):
-    _, right, edges = _edges(spark, sf_dir)
-    return match.only(right, edges, "right_id").select("id", "name", "geocode")
+    left, right = _sides(spark, sf_dir)
+    return right.join(match.touched(left, right, _BOTH, "right"), "id", "left_anti").select("id", "name", "geocode")
 
 
 @query(_EDGES + " select l.id, count(e.left_id) as match_count from l left join e on l.id = e.left_id group by l.id")
 def match_rank(spark, sf_dir):
-    left, _, edges = _edges(spark, sf_dir)
-    return match.rank_by_matches(left, edges, "left_id")
+    return match.rank(*_sides(spark, sf_dir), _BOTH)
 
 
 @query(_EDGES + " select left_id, rule, array_to_string(list_sort(list(distinct right_id)), ',') as right_ids from e group by left_id, rule")
