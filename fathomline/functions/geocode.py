@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 DIGITS = "23456789CFGHJMPQRVWX"
 
 
-def _spread(value: Column, digits: int) -> Column:
+def _spread(value: Column) -> Column:
     """The digits of a number of base 20, each with a free place behind it."""
-    return sum(((F.floor(value / 20**k) % 20) * 400**k for k in range(digits)), F.lit(0).cast("long"))
+    return F.conv(F.regexp_replace(F.conv(value.cast("long"), 10, 20), "(.)", "0$1"), 20, 10).cast("long")
 
 
 def _said(value: Column, size: int) -> Column:
@@ -29,18 +29,13 @@ def olc_encode(lat: Column, lon: Column, size: int = 11) -> Column:
     up = F.when(clipped >= 90, 90 - back).otherwise(clipped) + 90
     right = F.pmod(lon + 180, F.lit(360.0))
     whole = lambda x, scale, places: F.floor(F.round(x * scale, places)).cast("long")
-    numbers = F.struct(
-        whole(up, 8000, 6).alias("up"), whole(right, 8000, 6).alias("right"), (whole(up, 8000 * 3125, 5) % 3125).alias("fine_up"), (whole(right, 8000 * 1024, 5) % 1024).alias("fine_right")
-    )
-
-    def said(x: Column) -> Column:
-        code = _said(_spread(x["up"], 5) * 20 + _spread(x["right"], 5), 10)
-        fine = sum((((F.floor(x["fine_up"] / 5**k) % 5) * 4 + F.floor(x["fine_right"] / 4**k) % 4) * 20**k for k in range(5)), F.lit(0).cast("long"))
-        code = F.substring(F.concat(code, _said(fine, 5)) if size > 10 else code, 1, size)
-        return F.rpad(code, 8, "0") if size < 8 else code
-
-    # As a lambda's variable a number is computed once; copied for each digit the code would outgrow what the JVM compiles.
-    return F.get(F.transform(F.transform(F.array(numbers), said), lambda code: F.concat(F.left(code, F.lit(8)), F.lit("+"), F.substring(code, 9, 7))), F.lit(0))
+    # Each number is used once, in base conversions: copied for each digit the code would outgrow what the JVM compiles.
+    code = _said(_spread(whole(up, 8000, 6)) * 20 + _spread(whole(right, 8000, 6)), 10)
+    if size > 10:
+        digits = lambda x, base: F.conv(F.conv(x, 10, base), 20, 10).cast("long")
+        code = F.concat(code, _said(digits(whole(up, 8000 * 3125, 5) % 3125, 5) * 4 + digits(whole(right, 8000 * 1024, 5) % 1024, 4), 5))
+    code = F.substring(code, 1, size)
+    return F.regexp_replace(F.rpad(code, 8, "0") if size < 8 else code, "^(.{8})", "$1+")
 
 
 def olc_decode(code: Column) -> Column:
@@ -102,8 +97,6 @@ class OpenLocation:
             number = lambda part: F.conv(F.regexp_replace(pairs, "(.)(.)", part), 20, 10).cast("long")
             return F.struct(number("$1").alias("up"), number("$2").alias("right"))
 
-        spread = lambda x: _spread(x, half).cast("long")
-
         def text(value: Column) -> Column:
             whole = F.rpad(_said(value, self.size), max(8, self.size), "0")
             return F.concat(F.left(whole, F.lit(8)), F.lit("+"), F.substring(whole, 9, 7))
@@ -111,8 +104,8 @@ class OpenLocation:
         steps = F.array(*(F.lit(k).cast("long") for k in (0, -1, 1)))
 
         def around(at: Column) -> Column:
-            rows = F.transform(F.filter(F.transform(steps, lambda k: at["up"] + k), lambda row: (row >= 0) & (row < high)), spread)
-            columns = F.transform(F.transform(steps, lambda k: F.pmod(at["right"] + k, F.lit(wide))), spread)
+            rows = F.transform(F.filter(F.transform(steps, lambda k: at["up"] + k), lambda row: (row >= 0) & (row < high)), _spread)
+            columns = F.transform(F.transform(steps, lambda k: F.pmod(at["right"] + k, F.lit(wide))), _spread)
             return F.flatten(F.transform(rows, lambda a: F.transform(columns, lambda b: text(a * 20 + b))))
 
         # Variables of lambdas keep the long expressions of the code from being copied for each neighbour.
