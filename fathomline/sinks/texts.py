@@ -1,10 +1,15 @@
 """GPX, HTML and Markdown documents, and CSV reports.
 
-A document is one route or one set of waypoints, so its rows fit one aggregate's row.
+A document is one route or one set of waypoints, so its rows fit one aggregate's row; tracks and routes of any length are written by ``write_points_gpx``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +43,47 @@ def waypoints_gpx(points: DataFrame, by: list[str], seq: str = "seq") -> DataFra
     return _joined(points, by, seq, line, "\n").withColumn("text", F.concat(F.lit(head), "text", F.lit("\n</gpx>\n")))
 
 
-def points_gpx(points: DataFrame, by: list[str], name: str, kind: str = "trk", seq: str = "seq") -> DataFrame:
-    """GPX 1.1 documents of one track (``trk``: lat, lon, time) or route (``rte``: lat, lon, name, description) for each ``by``, called by column ``name``."""
+GPX_HEAD = '<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">'
+
+
+def _points_lines(name: str, kind: str) -> tuple[Column, Column, str]:
+    """A point's line, and what stands before and behind the points of a track (``trk``) or route (``rte``)."""
     tag = lambda label, value: F.when(value.isNotNull(), F.concat(F.lit(f"<{label}>"), escape(value), F.lit(f"</{label}>"))).otherwise("")
     if kind == "trk":
         point, inner, wrap = "trkpt", tag("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), ("<trkseg>\n", "\n</trkseg>")
     else:
         point, inner, wrap = "rtept", F.concat(tag("name", F.col("name")), tag("desc", F.col("description"))), ("", "")
     line = F.concat(F.format_string(f'<{point} lat="%s" lon="%s">', F.col("lat"), F.col("lon")), inner, F.lit(f"</{point}>"))
-    head = F.concat(F.lit(f'<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1">\n<{kind}>'), tag("name", F.col(name).cast("string")), F.lit("\n" + wrap[0]))
-    return _joined(points, by, seq, line, "\n").withColumn("text", F.concat(head, "text", F.lit(f"{wrap[1]}\n</{kind}>\n</gpx>\n")))
+    return line, F.concat(F.lit(f"<{kind}>"), tag("name", F.col(name).cast("string")), F.lit("\n" + wrap[0])), f"{wrap[1]}\n</{kind}>\n"
+
+
+def points_gpx(points: DataFrame, by: list[str], name: str, kind: str = "trk", seq: str = "seq") -> DataFrame:
+    """GPX 1.1 documents of one track (``trk``: lat, lon, time) or route (``rte``: lat, lon, name, description) for each ``by``, called by column ``name``."""
+    line, head, tail = _points_lines(name, kind)
+    return _joined(points, by, seq, line, "\n").withColumn("text", F.concat(F.lit(GPX_HEAD + "\n"), head, "text", F.lit(f"{tail}</gpx>\n")))
+
+
+def write_points_gpx(points: DataFrame, path: str, by: str, order: list[str], kind: str = "trk") -> None:
+    """GPX 1.1 files below ``path`` with a track or route for each ``by``, called by it, its points in an order. They are dealt to the files by ranges of ``by`` and ``order``, and the files' names are in that
+    order: one that is longer than a file goes on under its name in the next (``gpx.read_tracks`` and ``read_routes`` join them). Null is no key."""
+    line, head, tail = _points_lines(by, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda x: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array([x], pa.string())], names=["value"])
+        current = None
+        for batch in batches:
+            keys, heads = batch.column("key"), batch.column("head")
+            new = [0, *(np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()] if batch.num_rows else []
+            for a, b in zip(new, [*new[1:], batch.num_rows]):
+                if keys[a].as_py() != current:
+                    yield text((GPX_HEAD if current is None else tail.strip()) + "\n" + heads[a].as_py().rstrip("\n"))
+                    current = keys[a].as_py()
+                yield text(batch.column("line").slice(a, b - a))
+        if current is not None:
+            yield text(tail.strip() + "\n</gpx>")
+
+    rows = points.dropna(subset=[by]).repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    rows.select(F.col(by).cast("string").alias("key"), head.alias("head"), line.alias("line")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def _cells(df: DataFrame, columns: list[str], make) -> list[Column]:
