@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm import decontaminate, line_dedup, sentencepiece_dropout, simhash, toxicity
-from fathomline.llm.common import fresh_path, table
+from fathomline.llm.common import fresh_path, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    """One document of each component of fingerprints stays; of those, one of each group of texts that are alike word by word, whose fingerprints can differ in more bits."""
+    return simhash.representatives(stored(simhash.one_of_each(docs), "fingerprints"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

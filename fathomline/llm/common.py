@@ -69,7 +69,7 @@ def utf8(values: pa.Array) -> list[bytes]:
 
 def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with a function that is built once per task and gets slices of some ``SLICE_BYTES``, so that a worker never holds
-    the texts of a whole batch in several forms."""
+    the texts of a whole batch in several forms. What the batches took is given back when a task ends: the worker goes on to the next stage."""
 
     if df.sparkSession.conf.get(BATCH_SETTING) == BATCH_USUAL:  # not set by the caller; long texts fill batches of that size
         df.sparkSession.conf.set(BATCH_SETTING, f"{2 * SLICE_BYTES}b")
@@ -80,6 +80,8 @@ def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Call
             rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
             for k in range(0, batch.num_rows, rows):
                 yield step(batch.slice(k, rows))
+        del step
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

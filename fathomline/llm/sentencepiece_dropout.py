@@ -141,7 +141,7 @@ class Paths:
 class DropoutBPE:
     """Encoder and decoder of one model, seed and rate."""
 
-    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, remembered: int = 400_000):
+    def __init__(self, path: str | None = None, rate: float = 0.1, seed: int = 0, remembered: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or model_path())

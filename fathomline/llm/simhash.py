@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join
-from .common import carry, give_back, map_carried, named, settle, text_of, utf8
+from .common import carry, give_back, map_batches, map_carried, named, settle, text_of, utf8
 from .graph import components, few
 
 SEED = 42
@@ -113,6 +113,23 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     return give_back(fps.join(classes(fps), "fp"), keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay: of each component of fingerprints, as ``near_duplicates`` has them, the row with the smallest doc_id (rows that tie in doc_id: the least text hashes, then
+    one of the equal rows; null ids come last). Columns as they come."""
+    names, own, key = docs.columns, named("doc_id").cast("long"), ["id", "no_id", "t1", "t2"]
+    ids = [F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("no_id"), *jaccard_join.text_hashes(docs)]
+
+    def make():
+        return lambda batch: pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), pa.array([fingerprint(x) for x in utf8(batch.column("text"))], pa.int64())], names=[*key, "fp"])
+
+    fps = settle(map_batches(docs.select(*ids, text_of(docs)), "id long, no_id boolean, t1 long, t2 long, fp long", make))
+    least = settle(fps.groupBy("fp").agg(F.min(F.struct("no_id", "id", "t1", "t2")).alias("one")))
+    roots = components(link(least.select("fp")))
+    found = least.join(few(roots.select(F.col("node").alias("fp"), "root"), roots.count()), "fp", "left")
+    stay = settle(found.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("one").alias("one")).select(*(F.col("one").getField(c).alias(c) for c in key)))
+    return give_back(carry(docs, names, *ids).join(stay, key, "left_semi").dropDuplicates(key), names)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each group of near copies (by ``jaccard_join``, not by fingerprints: five words, similarity 0.8; texts without
     words are one group) the row with the smallest doc_id (rows that tie in doc_id: the least text hashes, then one of the equal
