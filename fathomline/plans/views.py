@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+ROUTE_ROWS = 250_000  # rows of a task
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,7 +25,10 @@ FIXES = "select user_id, event_id, ts as time, 36.0::DOUBLE + (event_id % 997) /
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route waypoints: route l_orderkey, order l_linenumber, departure the order's date."""
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("departure"))
+    # A task sorts its part several times (join, numbers, what comes after), so the parts are as many as the rows ask for, whatever the session's usual number.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROUTE_ROWS + 1)
+    rows = rows.repartition(parts, "l_orderkey")
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("departure")).repartition(parts, "l_orderkey")
     return rows.join(orders, "l_orderkey").select(
         F.col("l_orderkey").alias("route"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("seq"), "departure",
         (36 + (F.col("l_partkey") % 997) / F.lit(500.0)).alias("lat"), (-77 + (F.col("l_suppkey") % 991) / F.lit(400.0)).alias("lon"),
