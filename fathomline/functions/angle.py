@@ -27,7 +27,8 @@ def parse_angle(text: Column) -> Column:
 
     Fractional seconds are dropped and integers need no hemisphere only as plain numbers.
     """
-    plain = F.trim(text).try_cast("double")
+    # What ends in a hemisphere is no number: to try it would raise and catch an exception for each such text.
+    plain = F.when(~F.upper(F.right(F.trim(text), F.lit(1))).isin("N", "S", "E", "W"), F.trim(text).try_cast("double"))
     plain = F.when(~F.isnan(plain) & (F.abs(plain) < F.lit(float("inf"))), plain)
     d = _signed(text, DEGREES, 2, _number(text, DEGREES, 1))
     dm = _signed(text, DEGREES_MINUTES, 3, _number(text, DEGREES_MINUTES, 1) + _number(text, DEGREES_MINUTES, 2) / 60)

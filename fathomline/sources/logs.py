@@ -150,31 +150,44 @@ def read_route_table(spark: SparkSession, path: str) -> DataFrame:
 def route_legs(tables: DataFrame, include_leg0: bool = False) -> DataFrame:
     """Typed legs of route tables: source_file, seq and the leg's columns. Leg 0 (``---``) is the way to the
     start and is left out unless asked for."""
-    rows = tables.select("source_file", F.split(F.get("leg_lines", 0), "\t").alias("header"), F.posexplode(F.slice("leg_lines", F.lit(2), F.greatest(F.size("leg_lines"), F.lit(1)))).alias("seq", "line"))
-    cells = F.split("line", "\t")
+    header = F.split(F.get("leg_lines", 0), "\t")
+    places = F.struct(*(F.array_position("header", F.lit(name)).cast("int").alias(f"c{k}") for k, name in enumerate(LEG)))
+    tables = tables.withColumn("header", header).withColumn("places", places)
+    lines = F.transform(F.slice("leg_lines", F.lit(2), F.greatest(F.size("leg_lines"), F.lit(1))), lambda x: F.split(x, "\t"))
+    rows = tables.select("source_file", "places", F.posexplode(lines).alias("seq", "cells"))
 
-    def cell(name: str):
-        at = F.array_position("header", F.lit(name)).cast("int")
-        return F.when(at == 0, F.raise_error(F.lit(f"the table has no column {name}"))).otherwise(F.trim(F.get(cells, at - 1)))
+    def cell(k: int, name: str) -> Column:
+        at = F.col("places").getField(f"c{k}")
+        return F.when(at == 0, F.raise_error(F.lit(f"the table has no column {name}"))).otherwise(F.trim(F.get("cells", at - 1))).alias(name)
 
+    def add(df: DataFrame, *values: Column) -> DataFrame:
+        """Columns behind a generator: they are computed there, once, and in code of their own, which the JVM compiles where one piece for all columns would be too long."""
+        return df.select("*", F.inline(F.array(F.struct(*values))))
+
+    number = lambda name, p: F.regexp_extract(name, p, 1).try_cast("double")
     eta = r"^(?:Start: )?(.{16})\s\((\w+)\)"
-    number = lambda name, p: F.regexp_extract(cell(name), p, 1).try_cast("double")
+    rows = rows.select("source_file", "seq", F.inline(F.array(F.struct(*(cell(LEG.index(x), x) for x in LEG if x != "ETD")))))
+    rows = add(rows, parse_angle(F.col("Latitude")).alias("lat"))
+    rows = add(rows, parse_angle(F.col("Longitude")).alias("lon"))
+    rows = add(rows, number("Distance", r"^\s*(\d+\.?\d*)\s\w+").alias("distance_"), number("Bearing", r"^\s*(\d+)\s.\w+").alias("bearing_"))
+    rows = add(rows, parse_duration(F.col("ETE")).alias("ete_seconds"))
+    rows = add(rows, F.regexp_extract("ETA", eta, 1).alias("eta_"), F.regexp_extract("ETA", eta, 2).alias("eta_summary"), F.when(F.col("Course") != "Arrived", number("Course", r"^\s*(\d+)\s.\w+")).alias("course_"))
     legs = rows.select(
         "source_file",
         "seq",
-        F.when(cell("Leg") == "---", 0).otherwise(cell("Leg").try_cast("int")).alias("leg"),
-        cell("To waypoint").alias("name"),
-        parse_angle(cell("Latitude")).alias("lat"),
-        parse_angle(cell("Longitude")).alias("lon"),
-        cell("Description").alias("description"),
-        number("Distance", r"^\s*(\d+\.?\d*)\s\w+").alias("distance"),
-        number("Bearing", r"^\s*(\d+)\s.\w+").alias("bearing"),
-        parse_duration(cell("ETE")).alias("ete_seconds"),
-        F.try_to_timestamp(F.regexp_extract(cell("ETA"), eta, 1), F.lit("MM/dd/yyyy HH:mm")).alias("eta"),
-        F.regexp_extract(cell("ETA"), eta, 2).alias("eta_summary"),
-        cell("Speed").try_cast("double").alias("speed"),
-        cell("Next tide event").alias("tide"),
-        F.when(cell("Course") != "Arrived", number("Course", r"^\s*(\d+)\s.\w+")).alias("course"),
+        F.when(F.col("Leg") == "---", 0).otherwise(F.col("Leg").try_cast("int")).alias("leg"),
+        F.col("To waypoint").alias("name"),
+        "lat",
+        "lon",
+        F.col("Description").alias("description"),
+        F.col("distance_").alias("distance"),
+        F.col("bearing_").alias("bearing"),
+        "ete_seconds",
+        F.try_to_timestamp("eta_", F.lit("MM/dd/yyyy HH:mm")).alias("eta"),
+        "eta_summary",
+        F.col("Speed").try_cast("double").alias("speed"),
+        F.col("Next tide event").alias("tide"),
+        F.col("course_").alias("course"),
     )
     return legs if include_leg0 else legs.filter("leg <> 0")
 
