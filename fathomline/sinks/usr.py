@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import POLAR
-from ..sources.usr import LAYOUT
+from ..sources.usr import LAYOUT, ROUTE, WAYPOINT
 
 # What a field has that the row leaves out.
 USUAL = {"format": 6, "data_stream_version": 10, "unknown": -1, "waypt_stream_version": 2, "route_stream_version": 1, "unknown_2": -1, "alarm_radius": 0.0, "depth": 0.0, "LORAN_GRI": -1}
@@ -55,3 +55,25 @@ def usr_content(title: Column, waypoints: Column, routes: Column) -> Column:
         return pd.Series([encode({"file_title": t, "waypoints": w, "routes": r}) for t, w, r in zip(title, waypoints, routes)])
 
     return run(title, waypoints, routes)
+
+
+def waypoint_bytes(point: Column) -> Column:
+    """The bytes of a waypoint (a struct with fields of the layout), for ``usr_file``."""
+
+    @F.pandas_udf("binary")
+    def run(points: pd.DataFrame) -> pd.Series:
+        return pd.Series([encode(x, WAYPOINT) for x in points.to_dict("records")], dtype=object)
+
+    return run(point)
+
+
+def usr_file(title: Column, number: Column, waypoints: Column, routes: Column) -> Column:
+    """As ``usr_content``, from the ``number`` of waypoints and their bytes one behind the other: they are never objects at once."""
+
+    @F.pandas_udf("binary")
+    def run(title: pd.Series, number: pd.Series, waypoints: pd.Series, routes: pd.Series) -> pd.Series:
+        k = [name for name, _ in LAYOUT].index("waypoints")
+        tail = [x for x in LAYOUT[k + 1 :] if x[0] != "routes"]
+        return pd.Series([encode({"file_title": t}, LAYOUT[:k]) + struct.pack("<i", n) + w + _field(ROUTE, r) + encode({}, tail) for t, n, w, r in zip(title, number, waypoints, routes)])
+
+    return run(title, number, waypoints, routes)

@@ -95,19 +95,34 @@ def with_symbol(rows: DataFrame) -> DataFrame:
     return joined.withColumn("sym", F.coalesce("known", F.concat_ws(",", "icon_id", "color_id"))).drop("known")
 
 
-def usr_waypoints(usr: DataFrame) -> DataFrame:
-    """source_file, seq, lat, lon, name, description, sym, last_updated, uuid."""
-    points = usr.select("source_file", F.posexplode("waypoints").alias("seq", "w")).select("source_file", "seq", "w.*")
+def _waypoints(points: DataFrame) -> DataFrame:
     at = F.timestamp_micros(F.unix_micros(F.col("waypt_creation_date").cast("timestamp")) + F.col("waypt_creation_time") * 1000)
     return with_symbol(points).select("source_file", "seq", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("waypt_name").alias("name"), F.col("waypt_description").alias("description"), "sym", at.alias("last_updated"), "uuid")
 
 
+def _legs(routes: DataFrame, points: DataFrame) -> DataFrame:
+    legs = routes.select("source_file", F.col("route_name").alias("route"), F.posexplode("leg_uuids").alias("seq", "uuid"))
+    return legs.join(points.select("source_file", "uuid", "name", "lat", "lon"), ["source_file", "uuid"], "left")
+
+
+def usr_waypoints(usr: DataFrame) -> DataFrame:
+    """source_file, seq, lat, lon, name, description, sym, last_updated, uuid."""
+    return _waypoints(usr.select("source_file", F.posexplode("waypoints").alias("seq", "w")).select("source_file", "seq", "w.*"))
+
+
 def usr_routes(usr: DataFrame) -> DataFrame:
     """source_file, route, seq, uuid and the waypoint's name and position, in leg order; a leg whose waypoint is missing has nulls."""
-    routes = usr.select("source_file", F.explode("routes").alias("r"))
-    legs = routes.select("source_file", F.col("r.route_name").alias("route"), F.posexplode("r.leg_uuids").alias("seq", "uuid"))
-    points = usr_waypoints(usr).select("source_file", "uuid", "name", "lat", "lon")
-    return legs.join(points, ["source_file", "uuid"], "left")
+    return _legs(usr.select("source_file", F.inline("routes")), usr_waypoints(usr))
+
+
+def waypoints_of_files(files: DataFrame) -> DataFrame:
+    """``usr_waypoints`` of (source_file, content), record by record: no row holds a file's waypoints."""
+    return _waypoints(USR.read_each(files, "waypoints"))
+
+
+def routes_of_files(files: DataFrame) -> DataFrame:
+    """``usr_routes`` of (source_file, content), record by record."""
+    return _legs(USR.read_each(files, "routes"), waypoints_of_files(files))
 
 
 def hex_lines(files: DataFrame, width: int = 16) -> DataFrame:
