@@ -11,7 +11,8 @@ What is remembered, in a bounded table, depends on no draw: for a unit and a set
 candidates, the segmentation and the places popped on the way, as a tree whose branches are further skips.
 An occurrence walks from the unit's root: it draws for the places of its node, goes on to the branch of the
 first skipped one, and ends where nothing more is skipped. A branch not met before is computed by the
-agenda, many units in step.
+agenda, many units in step. Only what comes again is remembered: a unit from its second occurrence on, a branch where its node
+was visited ``OFTEN`` times; other occurrences go through the agenda by themselves, in step too.
 
 Characters the model lacks become byte pieces, and so does the model's own blank sign where
 a text holds it, so decoding gives back every text exactly.
@@ -49,6 +50,8 @@ NONE = np.iinfo(np.int32).max
 IN_STEP = 4_096
 WORD = 21  # characters of a remembered unit: at most 3 * 20 candidates are popped, so the skipped ones fit 64 bits
 UNKNOWN, ALONE = -1, -2
+OFTEN = 8
+MET = 1 << 22
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -121,9 +124,11 @@ class Paths:
         self.branch.extend(np.full(len(places), UNKNOWN))
         return np.arange(first, len(self), dtype=np.int32)
 
-    def thinned(self) -> Paths:
-        """What was visited twice since it was last thinned; a branch is visited no oftener than where it leaves from."""
-        keep = np.flatnonzero(self.visits.now() > 1)
+    def thinned(self, most: int) -> Paths:
+        """What was visited most, ``most`` nodes or fewer, with half of its visits; a branch is visited no oftener than where it leaves from."""
+        visits = self.visits.now()
+        least = int(np.partition(visits, -most - 1)[-most - 1]) if most < len(visits) else 0
+        keep = np.flatnonzero(visits > max(1, least))
         new = np.full(len(self) + 1, UNKNOWN, np.int32)
         new[keep] = np.arange(len(keep))
         out = Paths()
@@ -135,6 +140,7 @@ class Paths:
         there = spread(at, size)
         out.add(number[self.unit.data[keep]], self.skipped.data[keep], self.ids.data[spread(ids_at, ids_size)], ids_size, self.places.data[there], size)
         out.branch.data[: out.branch.used] = new[self.branch.data[there]]  # UNKNOWN is the last place
+        out.visits.data[: len(keep)] = visits[keep] // 2
         return out
 
 
@@ -166,6 +172,7 @@ class DropoutBPE:
                 self.raw.append(plain.encode())
         self._pair_tables()
         self.paths = Paths()
+        self.met, self.marks = np.zeros(MET, bool), 0
 
     def keys(self, text: str, n: int) -> list[int]:
         """The hash keys of a text's ``n`` units."""
@@ -312,7 +319,7 @@ class DropoutBPE:
         rounds: list[np.ndarray] = []
         live = cols
         while len(live):
-            best = agenda.min(0) if len(live) == agenda.shape[1] else agenda[:, live].min(0)
+            best = agenda.min(0)[live]  # cheaper than to gather the live columns
             going = best < NONE
             if not going.all():
                 live, best = live[going], best[going]
@@ -375,8 +382,19 @@ class DropoutBPE:
             made = self._compute(np.arange(first, first + len(known)), np.zeros(len(known), np.uint64))
             paths.root.update(zip(known, made.tolist()))
 
+    def _met(self, units: list[str]) -> np.ndarray:
+        """Which units came before, by a table of marks (several units may share one), or come twice here."""
+        if self.marks > MET // 4:
+            self.met[:], self.marks = False, 0
+        slot = np.fromiter(map(hash, units), np.int64, len(units)) & (MET - 1)
+        _, of, count = np.unique(slot, return_inverse=True, return_counts=True)
+        again = self.met[slot] | (count[of] > 1)
+        self.met[slot] = True
+        self.marks += int((~again).sum())
+        return again
+
     def _walk(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Where each occurrence ends: past the branches of all candidates that its hashes skip."""
+        """Where each occurrence ends: past the branches of all candidates that its hashes skip. ALONE: past one that isn't remembered yet."""
         paths, limit = self.paths, np.uint64(self.limit)
         node, done = node.copy(), np.zeros(len(node), np.int64)
         live = np.arange(len(node))
@@ -390,6 +408,10 @@ class DropoutBPE:
             first = np.flatnonzero(np.diff(of, prepend=-1))
             live, slot = of[first], places[hit[first]]
             goes = paths.branch.data[slot]
+            rare = (goes == UNKNOWN) & (paths.visits.data[node[live]] < OFTEN)
+            if rare.any():
+                node[live[rare]] = ALONE
+                live, slot, goes = live[~rare], slot[~rare], goes[~rare]
             if (goes == UNKNOWN).any():
                 new, where = np.unique(slot[goes == UNKNOWN], return_index=True)
                 leaves = node[live[goes == UNKNOWN][where]]
@@ -403,10 +425,8 @@ class DropoutBPE:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit little-endian integers."""
-        if len(self.paths) >= self.remembered:
-            self.paths = self.paths.thinned()
-            if len(self.paths) >= self.remembered // 2:
-                self.paths = Paths()
+        if max(len(self.paths), len(self.paths.root)) >= self.remembered:
+            self.paths = self.paths.thinned(self.remembered // 2)
         units: list[str] = []
         counts = []
         for text in texts:
@@ -418,17 +438,21 @@ class DropoutBPE:
         key = self._keys(texts, counts)
         root = self.paths.root.get
         node = np.fromiter(map(root, units, repeat(UNKNOWN)), np.int32, len(units))
-        lacking = np.flatnonzero(node == UNKNOWN).tolist()
-        if lacking:
-            new = dict.fromkeys(units[i] for i in lacking if len(units[i]) <= WORD)
+        lacking = np.flatnonzero(node == UNKNOWN)
+        if len(lacking):
+            node[lacking] = ALONE
+            names = [units[i] for i in lacking.tolist()]
+            again = np.flatnonzero(self._met(names)).tolist()
+            new = dict.fromkeys(names[i] for i in again if len(names[i]) <= WORD)
             if new:
                 self._learn(list(new))
-            node[lacking] = [root(units[i], ALONE) for i in lacking]
+                node[lacking[again]] = [root(names[i], ALONE) for i in again]
+        if self.limit:
+            shared = np.flatnonzero(node >= 0)
+            node[shared] = self._walk(node[shared], key[shared])
         apart = np.flatnonzero(node == ALONE)
         shared = np.flatnonzero(node >= 0)
         where = node[shared]
-        if self.limit:
-            where = self._walk(where, key[shared])
         paths = self.paths
         sizes = np.zeros(len(units), np.int64)
         sizes[shared] = paths.ids_size.data[where]
@@ -443,9 +467,9 @@ class DropoutBPE:
         return [out[a:b].tobytes() for a, b in zip([0, *last], last)]
 
     def _apart(self, units: list[str], key: np.ndarray) -> list:
-        """Occurrences that are not remembered: long units, and units with unknown characters."""
+        """Occurrences that are not remembered: rare or long units, rare branches, and units with unknown characters."""
         out: list = [None] * len(units)
-        middle = [i for i, u in enumerate(units) if WORD < len(u) <= SHORT]
+        middle = [i for i, u in enumerate(units) if len(u) <= SHORT]
         for part in self._by_length(np.fromiter((len(units[i]) for i in middle), np.int64, len(middle))):
             at = np.array(middle)[part]
             symbols, sizes, whole = self._symbols([units[i] for i in at.tolist()])
