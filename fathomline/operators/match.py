@@ -6,7 +6,7 @@ looks into the nine cells around it, and the exact distance decides. An arbitrar
 within groups that agree in a key; a comparison of all pairs has to be asked for. The result is a table of edges (left_id, right_id, rule).
 
 Edges may be as many as the product of the sides, so nothing is sorted or gathered by edge: each rule gives a pair of rows once, so edges need no
-``distinct`` where ids are unique; the pairs of one key are made by blocks in many tasks (``paired``); and what key rules say about single
+``distinct`` where ids are unique, and of key rules only those between ids of several keys need one elsewhere; the pairs of one key are made by blocks in many tasks (``paired``); and what key rules say about single
 waypoints (matched or not, how often) or about groups of them comes from counts by key.
 """
 
@@ -63,6 +63,21 @@ class KeyRule:
         a, b = self.keyed(left, "left", F.col("id").alias("left_id")), self.keyed(right, "right", F.col("id").alias("right_id"))
         return paired(a, b, ["key", "no_key"]).select("left_id", "right_id", F.lit(self.name).alias("rule"))
 
+    def distinct_edges(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """The distinct edges where ids may stand twice. Of waypoints that are distinct by id and key an edge comes twice only where both of its ids have several keys: only those edges are gathered."""
+        keys = ["key", "no_key"]
+        a, b = self.keyed(left, "left", F.col("id").alias("left_id")).distinct(), self.keyed(right, "right", F.col("id").alias("right_id")).distinct()
+        many = {c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(c) for df, c in ((a, "left_id"), (b, "right_id"))}
+        if any(some.isEmpty() for some in many.values()):
+            parts = [paired(a, b, keys)]
+        else:
+            several = lambda df, c: df.join(many[c], c, "left_semi").unionByName(df.filter(F.col(c).isNull()))
+            single = lambda df, c: df.filter(F.col(c).isNotNull()).join(many[c], c, "left_anti")
+            far = several(a, "left_id")
+            both = paired(far, several(b, "right_id"), keys).select("left_id", "right_id").distinct()
+            parts = [both, paired(single(a, "left_id"), b, keys), paired(far, single(b, "right_id"), keys)]
+        return reduce(DataFrame.unionByName, (p.select("left_id", "right_id", F.lit(self.name).alias("rule")) for p in parts))
+
     def keyed(self, points: DataFrame, side: str, *columns: Column) -> DataFrame:
         """``columns`` with key and no_key (whether it is missing); points that can't match are left out."""
         rows = points.select(*columns, self.key(side).alias("key_"))
@@ -155,9 +170,11 @@ def _by_counts(left: DataFrame, right: DataFrame, rules: list) -> bool:
 
 def match(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
     """Distinct edges of all rules."""
-    edges = reduce(DataFrame.unionByName, (rule.edges(left, right) for rule in rules))
-    once = all(isinstance(r, (KeyRule, NearRule, CodeRule, PredicateRule)) for r in rules) and len({r.name for r in rules}) == len(rules)
-    return edges if once and unique(left) and unique(right) else edges.distinct()
+    every = lambda of: reduce(DataFrame.unionByName, map(of, rules))
+    usual = lambda rule: rule.edges(left, right)
+    if not all(isinstance(r, (KeyRule, NearRule, CodeRule, PredicateRule)) for r in rules) or len({r.name for r in rules}) < len(rules):
+        return every(usual).distinct()
+    return every(usual) if unique(left) and unique(right) else every(lambda rule: rule.distinct_edges(left, right) if isinstance(rule, KeyRule) else usual(rule).distinct())
 
 
 def touched(left: DataFrame, right: DataFrame, rules: list, side: str) -> DataFrame:
