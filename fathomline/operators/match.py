@@ -7,7 +7,7 @@ within groups that agree in a key; a comparison of all pairs has to be asked for
 
 Edges may be as many as the product of the sides, so nothing is sorted or gathered by edge: each rule gives a pair of rows once, so edges need no
 ``distinct`` where ids are unique, and of key rules only those between ids of several keys need one elsewhere; the pairs of one key are made by blocks in many tasks (``paired``); and what key rules say about single
-waypoints (matched or not, how often) or about groups of them comes from counts by key.
+waypoints (matched or not, how often) or about groups of them comes from counts by key, where a frequent key's waypoints are looked up by blocks too (``looked_up``).
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from .cells import Cells
 NEAR = 0.05
 BLOCK = 2_048
 PAIRS = 1 << 24
+ROWS = 1 << 18
 
 
 def paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -51,6 +52,21 @@ def paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return dealt(a, "na_", "nb_").join(dealt(b, "nb_", "na_"), [*key, "na_", "nb_"]).drop("na_", "nb_")
 
 
+def looked_up(a: DataFrame, b: DataFrame, key: list[str], how: str, most: int) -> DataFrame:
+    """The join of ``a`` with ``b``, which has a key (no nulls) once, ``how`` left_semi or inner. A key of more than ``ROWS`` rows of ``a`` is dealt into blocks of some ``ROWS``, each a key of its own
+    that ``b`` has as well: else all rows of a frequent key are sorted by one task. Such keys are looked for where ``a`` has rows enough, of which there are ``most`` at most."""
+    if most <= ROWS:
+        return a.join(b, key, how)
+    blocks = F.ceil(F.col("blocks_") / ROWS).cast("int").alias("blocks_")
+    hot = a.groupBy(*key).agg(F.count(F.lit(1)).alias("blocks_")).filter(F.col("blocks_") > ROWS).select(*key, blocks)
+    if hot.isEmpty():
+        return a.join(b, key, how)
+    hot, of = F.broadcast(hot), F.coalesce("blocks_", F.lit(1))
+    rows = a.join(hot, key, "left").select(*a.columns, F.pmod(F.xxhash64(*a.columns), of).cast("int").alias("block_"))
+    every = b.join(hot, key, "left").select(*b.columns, F.explode(F.sequence(F.lit(0), of - 1)).alias("block_"))
+    return rows.join(every, [*key, "block_"], how).drop("block_")
+
+
 @dataclass(frozen=True)
 class KeyRule:
     """Waypoints match where the keys agree; with ``null_matches`` two missing keys agree as well."""
@@ -180,11 +196,12 @@ def match(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
 def touched(left: DataFrame, right: DataFrame, rules: list, side: str) -> DataFrame:
     """id (not always once) of the waypoints of a ``side`` (left, right) that an edge touches; of key rules without making the edges."""
     points, others, other = (left, right, "right") if side == "left" else (right, left, "left")
+    most = points.count() if any(isinstance(r, KeyRule) for r in rules) else 0
 
     def of(rule) -> DataFrame:
         if not isinstance(rule, KeyRule):
             return rule.edges(left, right).select(F.col(f"{side}_id").alias("id"))
-        return rule.keyed(points, side, F.col("id")).join(rule.keyed(others, other).distinct(), ["key", "no_key"], "left_semi").select("id")
+        return looked_up(rule.keyed(points, side, F.col("id")), rule.keyed(others, other).distinct(), ["key", "no_key"], "left_semi", most).select("id")
 
     return reduce(DataFrame.unionAll, map(of, rules))
 
@@ -193,7 +210,8 @@ def rank(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
     """``rank_by_matches`` of the left waypoints, of key rules without making the edges."""
     if not _by_counts(left, right, rules):
         return rank_by_matches(left, match(left, right, rules), "left_id")
-    each = [rule.keyed(left, "left", F.col("id")).join(rule.keyed(right, "right").groupBy("key", "no_key").agg(F.count(F.lit(1)).alias("n")), ["key", "no_key"]).select("id", "n") for rule in rules]
+    most = left.count()
+    each = [looked_up(rule.keyed(left, "left", F.col("id")), rule.keyed(right, "right").groupBy("key", "no_key").agg(F.count(F.lit(1)).alias("n")), ["key", "no_key"], "inner", most).select("id", "n") for rule in rules]
     counts = reduce(DataFrame.unionAll, each).groupBy("id").agg(F.sum("n").alias("match_count"))
     return left.select("id").join(counts, "id", "left").select("id", F.coalesce("match_count", F.lit(0)).alias("match_count")).orderBy(F.desc("match_count"), "id")
 
