@@ -29,6 +29,7 @@ NEAR = 0.05
 BLOCK = 2_048
 PAIRS = 1 << 24
 ROWS = 1 << 18
+KEYS = 1 << 16
 
 
 def paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -52,11 +53,14 @@ def paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return dealt(a, "na_", "nb_").join(dealt(b, "nb_", "na_"), [*key, "na_", "nb_"]).drop("na_", "nb_")
 
 
-def looked_up(a: DataFrame, b: DataFrame, key: list[str], how: str, most: int) -> DataFrame:
+def looked_up(a: DataFrame, b: DataFrame, key: list[str], how: str, most: int, others: int) -> DataFrame:
     """The join of ``a`` with ``b``, which has a key (no nulls) once, ``how`` left_semi or inner. A key of more than ``ROWS`` rows of ``a`` is dealt into blocks of some ``ROWS``, each a key of its own
-    that ``b`` has as well: else all rows of a frequent key are sorted by one task. Such keys are looked for where ``a`` has rows enough, of which there are ``most`` at most."""
+    that ``b`` has as well: else all rows of a frequent key are sorted by one task. Such keys are looked for where ``a`` has rows enough, of which there are ``most`` at most.
+    If ``b``, made of ``others`` rows, comes of the smaller side and has ``KEYS`` keys or fewer, it is broadcast instead, and ``a`` isn't shuffled."""
     if most <= ROWS:
         return a.join(b, key, how)
+    if others <= most and b.limit(KEYS + 1).count() <= KEYS:
+        return a.join(F.broadcast(b), key, how)
     blocks = F.ceil(F.col("blocks_") / ROWS).cast("int").alias("blocks_")
     hot = a.groupBy(*key).agg(F.count(F.lit(1)).alias("blocks_")).filter(F.col("blocks_") > ROWS).select(*key, blocks)
     if hot.isEmpty():
@@ -196,12 +200,12 @@ def match(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
 def touched(left: DataFrame, right: DataFrame, rules: list, side: str) -> DataFrame:
     """id (not always once) of the waypoints of a ``side`` (left, right) that an edge touches; of key rules without making the edges."""
     points, others, other = (left, right, "right") if side == "left" else (right, left, "left")
-    most = points.count() if any(isinstance(r, KeyRule) for r in rules) else 0
+    sizes = (points.count(), others.count()) if any(isinstance(r, KeyRule) for r in rules) else ()
 
     def of(rule) -> DataFrame:
         if not isinstance(rule, KeyRule):
             return rule.edges(left, right).select(F.col(f"{side}_id").alias("id"))
-        return looked_up(rule.keyed(points, side, F.col("id")), rule.keyed(others, other).distinct(), ["key", "no_key"], "left_semi", most).select("id")
+        return looked_up(rule.keyed(points, side, F.col("id")), rule.keyed(others, other).distinct(), ["key", "no_key"], "left_semi", *sizes).select("id")
 
     return reduce(DataFrame.unionAll, map(of, rules))
 
@@ -210,8 +214,8 @@ def rank(left: DataFrame, right: DataFrame, rules: list) -> DataFrame:
     """``rank_by_matches`` of the left waypoints, of key rules without making the edges."""
     if not _by_counts(left, right, rules):
         return rank_by_matches(left, match(left, right, rules), "left_id")
-    most = left.count()
-    each = [looked_up(rule.keyed(left, "left", F.col("id")), rule.keyed(right, "right").groupBy("key", "no_key").agg(F.count(F.lit(1)).alias("n")), ["key", "no_key"], "inner", most).select("id", "n") for rule in rules]
+    sizes = left.count(), right.count()
+    each = [looked_up(rule.keyed(left, "left", F.col("id")), rule.keyed(right, "right").groupBy("key", "no_key").agg(F.count(F.lit(1)).alias("n")), ["key", "no_key"], "inner", *sizes).select("id", "n") for rule in rules]
     counts = reduce(DataFrame.unionAll, each).groupBy("id").agg(F.sum("n").alias("match_count"))
     return left.select("id").join(counts, "id", "left").select("id", F.coalesce("match_count", F.lit(0)).alias("match_count")).orderBy(F.desc("match_count"), "id")
 
