@@ -53,8 +53,10 @@ def _waypoints(df: DataFrame, key: str, shift: float, away: float = 0.0) -> Data
     return rows.select("id", "lat", "lon", "name", "guid", olc_encode(F.col("lat"), F.col("lon")).alias("geocode"), F.expr("timestamp'2020-01-01' + make_dt_interval(days)").alias("last_updated"))
 
 
-def left_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _waypoints(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 0.0)
+def left_points(spark: SparkSession, sf_dir: str, parts: int = 1) -> DataFrame:
+    """``parts``: so many tasks make them, if it is more than one; otherwise as the table is read."""
+    keys = load(spark, sf_dir, "customer").select("c_custkey")
+    return _waypoints(keys.repartition(parts, "c_custkey") if parts > 1 else keys, "c_custkey", 0.0)
 
 
 def right_points(spark: SparkSession, sf_dir: str) -> DataFrame:
